@@ -124,3 +124,24 @@ def exact_quantiles(df: DataFrame, by, value: str, probs: dict[str, float]) -> D
         outputs.append((low + (position - F.floor(position)) * (high - low)).alias(name))
     picked = runs.groupBy(*by).agg(F.max("n_all").alias("n_all"), *picks)
     return picked.select(*by, F.col("n_all").alias("n"), *outputs)
+
+
+def first_rows(df: DataFrame, order: str, n: int) -> DataFrame:
+    """The ``n`` smallest rows by a unique column, for ``n`` in the thousands.
+
+    A plain ordered limit sends ``n`` rows of every input task to one task. The
+    n-th smallest of any subset bounds the n-th smallest of the whole, so bounds
+    from random subsets cut the candidates down to a few times ``n`` first.
+    """
+    kept, total = df, df.count()
+    while total > 16 * n:
+        subset = kept.select(order).sample((n / total) ** 0.5)
+        bound = subset.orderBy(order).limit(n).agg(F.max(order), F.count(F.lit(1))).first()
+        if bound[1] < n:
+            break
+        kept = df.filter(F.col(order) <= F.lit(bound[0]))
+        remaining = kept.count()
+        if remaining > total / 2:
+            break
+        total = remaining
+    return kept.orderBy(order).limit(n)

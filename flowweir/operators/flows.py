@@ -78,9 +78,11 @@ def _times_of(keyed: DataFrame, buckets: DataFrame, timeout_us: int, *extra) ->
 def _starts_by_fold(keyed: DataFrame, buckets: DataFrame, timeout_us: int) -> DataFrame:
     """Flow starts of segments whose times fit in one bounded array."""
     times = (
-        _times_of(keyed, buckets, timeout_us)
+        _bucketed(keyed, timeout_us)
+        .select(*BUCKET, "ts_us")
+        .join(buckets.select(*BUCKET, "segment_us"), BUCKET)
         .groupBy(*SEGMENT)
-        .agg(F.array_sort(F.collect_list("ts_us")).alias("times"))
+        .agg(F.sort_array(F.collect_set("ts_us")).alias("times"))
     )
     starts = F.aggregate(
         "times",
@@ -89,7 +91,7 @@ def _starts_by_fold(keyed: DataFrame, buckets: DataFrame, timeout_us: int) -> Da
             t - F.element_at(found, -1) > timeout_us, F.concat(found, F.array(t))
         ).otherwise(found),
     )
-    return times.select(*SEGMENT, F.explode(starts).alias("start_us"))
+    return times.select(*SEGMENT, F.explode_outer(starts).alias("start_us"))
 
 
 def _starts_by_doubling(keyed: DataFrame, buckets: DataFrame, timeout_us: int) -> DataFrame:
@@ -166,22 +168,42 @@ def _starts_by_doubling(keyed: DataFrame, buckets: DataFrame, timeout_us: int) -
     return reached.select(*SEGMENT, F.col("node_us").alias("start_us"))
 
 
-def flow_starts(
+def chained_starts(
     keyed: DataFrame, buckets: DataFrame, timeout_us: int, fold_limit: int = FOLD_LIMIT
-) -> DataFrame:
-    """All flow starts as (segment, start_us)."""
-    long = F.col("segment_end_us") - F.col("segment_us") > timeout_us
+) -> DataFrame | None:
+    """Flow starts inside segments longer than the timeout, None without any."""
+    sizes = buckets.filter(F.col("segment_end_us") - F.col("segment_us") > timeout_us)
+    largest = sizes.agg(
+        F.count(F.lit(1)).alias("rows"), F.max("segment_packets").alias("packets")
+    ).first()
+    if not largest["rows"]:
+        return None
     foldable = F.col("segment_packets") <= fold_limit
-    first = buckets.select(*SEGMENT, F.col("segment_us").alias("start_us")).distinct()
-    # Every segment's first time is a start; the chains add the rest.
-    starts = first
-    chained = buckets.filter(long & foldable)
-    if not chained.isEmpty():
-        starts = starts.unionByName(_starts_by_fold(keyed, chained, timeout_us))
-    huge = buckets.filter(long & ~foldable)
-    if not huge.isEmpty():
-        starts = starts.unionByName(_starts_by_doubling(keyed, huge, timeout_us))
-    return starts.distinct()
+    if largest["packets"] <= fold_limit:
+        return _starts_by_fold(keyed, sizes, timeout_us)
+    return _starts_by_fold(keyed, sizes.filter(foldable), timeout_us).unionByName(
+        _starts_by_doubling(keyed, sizes.filter(~foldable), timeout_us)
+    )
+
+
+def bucket_labels(
+    keyed: DataFrame, buckets: DataFrame, timeout_us: int, fold_limit: int = FOLD_LIMIT
+) -> DataFrame:
+    """Per (key, bucket): the flow running on entry and the one starting inside."""
+    root = F.when(F.col("first_us") == F.col("segment_us"), F.col("segment_us"))
+    labels = buckets.select(*BUCKET, root.alias("inner_us"))
+    starts = chained_starts(keyed, buckets, timeout_us, fold_limit)
+    if starts is not None:
+        placed = starts.select(
+            *KEY, floor_div("start_us", timeout_us).alias("bucket"), "start_us"
+        )
+        labels = labels.join(placed, BUCKET, "left").select(
+            *BUCKET, F.coalesce("start_us", "inner_us").alias("inner_us")
+        )
+    before = (
+        Window.partitionBy(*KEY).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    return labels.withColumn("entry_us", F.last("inner_us", ignorenulls=True).over(before))
 
 
 def assign_flows(
@@ -190,18 +212,7 @@ def assign_flows(
     """Label every IP packet with its flow key and ``flow_start_us``."""
     keyed = flow_keys(packets)
     buckets = stage_table(segment_buckets(keyed, timeout_us), "buckets")
-    starts = flow_starts(keyed, buckets, timeout_us, fold_limit).select(
-        *KEY,
-        floor_div("start_us", timeout_us).alias("bucket"),
-        F.col("start_us").alias("inner_us"),
-    )
-    by_time = Window.partitionBy(*KEY).orderBy("bucket")
-    before = by_time.rowsBetween(Window.unboundedPreceding, -1)
-    labels = (
-        buckets.select(*BUCKET)
-        .join(starts, BUCKET, "left")
-        .withColumn("entry_us", F.last("inner_us", ignorenulls=True).over(before))
-    )
+    labels = bucket_labels(keyed, buckets, timeout_us, fold_limit)
     inside = F.col("inner_us").isNotNull() & (F.col("ts_us") >= F.col("inner_us"))
     return (
         _bucketed(keyed, timeout_us)

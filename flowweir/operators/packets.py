@@ -6,17 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowweir.functions.ordered import with_rank
-from flowweir.schema import FLOW, KEY
+from flowweir.schema import FLOW
 
 TCP, UDP = 6, 17
 
 
 def _is_tcp() -> Column:
-    return F.col("ip_proto") == TCP
+    """Has a TCP header; a later IP fragment carries the number but no ports."""
+    return (F.col("ip_proto") == TCP) & F.col("src_port").isNotNull()
 
 
 def _is_udp() -> Column:
-    return F.col("ip_proto") == UDP
+    return (F.col("ip_proto") == UDP) & F.col("src_port").isNotNull()
 
 
 def _header_words(c: str) -> Column:
@@ -24,12 +25,18 @@ def _header_words(c: str) -> Column:
     return F.coalesce(F.nullif(F.col(c), F.lit(0)), F.lit(5))
 
 
+def _filled(text: Column) -> Column:
+    return F.coalesce(text, F.lit(""))
+
+
 def flow_keys(packets: DataFrame) -> DataFrame:
     """Add the direction-free flow key; frames without an IP layer are dropped.
 
     ``from_lo`` says whether the packet was sent by the smaller endpoint. It
     stands in for the endpoint comparison later on, so the direction of a packet
-    stays a boolean however the flow turns out to be oriented.
+    stays a boolean however the flow turns out to be oriented. Key columns are
+    never null (a missing value reads as empty), so that no later join on the
+    key loses a packet or re-evaluates the key to test it for null.
     """
     transport = _is_tcp() | _is_udp()
     port = lambda c: F.when(transport, F.coalesce(F.col(c), F.lit(0))).otherwise(0)
@@ -37,7 +44,7 @@ def flow_keys(packets: DataFrame) -> DataFrame:
         "*",
         F.when(_is_tcp(), "TCP")
         .when(_is_udp(), "UDP")
-        .otherwise(F.col("ip_proto").cast("string"))
+        .otherwise(_filled(F.col("ip_proto").cast("string")))
         .alias("protocol"),
         port("src_port").alias("src_end_port"),
         port("dst_port").alias("dst_end_port"),
@@ -45,12 +52,12 @@ def flow_keys(packets: DataFrame) -> DataFrame:
     src_ip, dst_ip = F.col("src_ip"), F.col("dst_ip")
     src_port, dst_port = F.col("src_end_port"), F.col("dst_end_port")
     from_lo = (src_ip < dst_ip) | ((src_ip == dst_ip) & (src_port <= dst_port))
-    return ends.withColumn("from_lo", from_lo).select(
-        *packets.columns,
+    return ends.withColumn("from_lo", F.coalesce(from_lo, F.lit(True))).select(
+        *[_filled(F.col(c)).alias(c) if c == "capture_id" else c for c in packets.columns],
         "protocol",
-        F.when(F.col("from_lo"), src_ip).otherwise(dst_ip).alias("lo_ip"),
+        F.when(F.col("from_lo"), _filled(src_ip)).otherwise(_filled(dst_ip)).alias("lo_ip"),
         F.when(F.col("from_lo"), src_port).otherwise(dst_port).alias("lo_port"),
-        F.when(F.col("from_lo"), dst_ip).otherwise(src_ip).alias("hi_ip"),
+        F.when(F.col("from_lo"), _filled(dst_ip)).otherwise(_filled(src_ip)).alias("hi_ip"),
         F.when(F.col("from_lo"), dst_port).otherwise(src_port).alias("hi_port"),
         "from_lo",
     )
@@ -134,15 +141,3 @@ def packet_listing(flow_packets: DataFrame) -> DataFrame:
         endpoint_text("dst_ip", "dst_port").alias("destination"),
     )
     return with_rank(shown, FLOW, ["ts_us", "packet_id"], "packet_index")
-
-
-__all__ = [
-    "KEY",
-    "flow_keys",
-    "packet_measures",
-    "packet_listing",
-    "payload_bytes",
-    "header_bytes",
-    "full_header_bytes",
-    "tcp_flag",
-]

@@ -203,3 +203,41 @@ def label_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").selectExpr(
         "doc_id", "toxic AS label", "1 - quality AS prediction"
     )
+
+
+def label_windows(spark: SparkSession, sf_dir: str, parts: int = 10) -> DataFrame:
+    """Equal time windows over the packets, alternately benign and attack."""
+    span = packets(spark, sf_dir).agg(
+        F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi")
+    )
+    cut = span.selectExpr("lo", f"(hi - lo) div {parts} AS width", f"explode(sequence(0, {parts - 1})) AS i")
+    return cut.selectExpr(
+        "concat('window-', i) AS scenario",
+        "cast(i % 2 AS int) AS label",
+        "(lo + i * width) / 1e6D AS start_epoch",
+        "(lo + (i + 1) * width - 1) / 1e6D AS end_epoch",
+        "concat('window-', i, '.pcap') AS pcap",
+    )
+
+
+def mixed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` as a mixed table with gaps, infinities and repeats."""
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS order_no",
+        "CASE WHEN l_orderkey % 37 = 0 THEN NULL WHEN l_partkey % 43 = 0 THEN double('Infinity') "
+        "ELSE l_quantity END AS quantity",
+        "CASE WHEN l_partkey % 31 = 0 THEN NULL ELSE l_extendedprice END AS price",
+        "CASE WHEN l_suppkey % 29 = 0 THEN NULL ELSE l_returnflag END AS flag",
+        "l_linestatus AS status",
+        "explode(CASE WHEN l_orderkey % 100 = 1 THEN array(1, 2) ELSE array(1) END) AS copy",
+    ).drop("copy")
+
+
+# Leaf of tree j for part k and supplier m, in place of a fitted forest.
+LEAF_TREES = 10
+
+
+def leaf_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored flows with ten leaf numbers each."""
+    leaves = ", ".join(f"cast((k div {j + 1} + {j} * m) % 17 AS int)" for j in range(LEAF_TREES))
+    return scored_flows(spark, sf_dir).withColumn("leaves", F.expr(f"array({leaves})"))
