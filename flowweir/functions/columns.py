@@ -24,9 +24,16 @@ def number_or_null(text) -> Column:
     return as_column(text).try_cast("double")
 
 
+def is_finite(c) -> Column:
+    """True for numbers other than NaN and the infinities, null for null.
+
+    NaN sorts above every number in Spark, so one comparison covers both.
+    """
+    return F.abs(as_column(c)) < F.lit(float("inf"))
+
+
 def finite_or_null(c) -> Column:
-    c = as_column(c)
-    return F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)
+    return F.when(is_finite(c), as_column(c))
 
 
 def safe_number(c) -> Column:

@@ -5,14 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowweir.functions.columns import as_column, number_or_null
+from flowweir.functions.columns import as_column, is_finite, number_or_null
 from flowweir.schema import FEATURES, NON_NEGATIVE_LIVE
 
 
-def _is_finite(c: Column) -> Column:
-    return ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
-
-
 def feature_violations(live: bool = True) -> Column:
     """Broken feature rules of a row as an array of ``feature:reason``.
 
@@ -22,7 +18,7 @@ def feature_violations(live: bool = True) -> Column:
     rules = []
     for f in FEATURES:
         value = number_or_null(F.col(f))
-        reason = F.when(value.isNull(), "not_numeric").when(~_is_finite(value), "not_finite")
+        reason = F.when(value.isNull(), "not_numeric").when(~is_finite(value), "not_finite")
         if live and f in NON_NEGATIVE_LIVE:
             reason = reason.when(value < 0, "negative")
         rules.append((reason.isNotNull(), F.concat(F.lit(f"{f}:"), reason)))
@@ -57,7 +53,7 @@ def score_violation(probabilities="probabilities", prediction="prediction") -> C
     return (
         F.when(p.isNull() | y.isNull(), "missing")
         .when(F.size(p) != 2, "shape")
-        .when(~F.forall(p, lambda x: F.coalesce(_is_finite(x), F.lit(False))), "not_finite")
+        .when(~F.forall(p, lambda x: F.coalesce(is_finite(x), F.lit(False))), "not_finite")
         .when(F.exists(p, lambda x: (x < 0.0) | (x > 1.0)), "out_of_range")
         # Relative 1e-5 and absolute 1e-8 tolerance around 1.
         .when(F.abs(total - 1.0) > 1e-8 + 1e-5, "sum")
@@ -70,10 +66,10 @@ def capture_violation(packet_count="packet_count", duration="capture_duration")
     """First broken rule of a capture record, null for a valid one."""
     n, d = number_or_null(packet_count), number_or_null(duration)
     return (
-        F.when(n.isNull() | ~_is_finite(n) | (n != F.floor(n)), "packet_count_not_integer")
+        F.when(n.isNull() | ~is_finite(n) | (n != F.floor(n)), "packet_count_not_integer")
         .when(d.isNull(), "duration_not_numeric")
         .when(n < 0, "packet_count_negative")
-        .when(~_is_finite(d) | (d < 0), "duration_invalid")
+        .when(~is_finite(d) | (d < 0), "duration_invalid")
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from flowweir.functions.columns import (
     finite_or_null,
+    is_finite,
     label_not_benign,
     number_or_null,
     trimmed,
@@ -38,12 +39,12 @@ def clean_flow_records(raw: DataFrame, *carry) -> DataFrame:
 
     Narrow: one projection and one filter over the scan.
     """
-    typed = canonical_text(raw, *carry, "Label")
-    finite = typed.select(
-        *carry, "Label", *[finite_or_null(F.col(f)).alias(f) for f in FEATURES]
-    ).na.drop(subset=FEATURES)
-    kept = reduce(lambda a, b: a & b, [F.col(f) >= 0 for f in NON_NEGATIVE_PREPARED])
-    return finite.filter(kept)
+    infinity = F.lit(float("inf"))
+    tests = [
+        (F.col(f) >= 0) & (F.col(f) < infinity) if f in NON_NEGATIVE_PREPARED else is_finite(f)
+        for f in FEATURES
+    ]
+    return canonical_text(raw, *carry, "Label").filter(reduce(lambda a, b: a & b, tests))
 
 
 def stored_types(df: DataFrame, *carry, label="label") -> DataFrame:
@@ -88,8 +89,8 @@ def provenance_dedup(raw: DataFrame, order: str = "row_key") -> DataFrame:
 def canonical_scan(table: DataFrame, target: str = "label") -> DataFrame:
     """Contract check, projection to the 21 columns, incomplete rows dropped."""
     require_columns(table, [*FEATURES, target])
-    finite = table.select(*[finite_or_null(F.col(f)).alias(f) for f in FEATURES], target)
-    return finite.na.drop()
+    complete = reduce(lambda a, b: a & b, [is_finite(f) for f in FEATURES])
+    return table.select(*FEATURES, target).filter(complete & F.col(target).isNotNull())
 
 
 def _numeric_columns(df: DataFrame):

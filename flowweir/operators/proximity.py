@@ -42,36 +42,73 @@ def _bands(vectors: DataFrame, trees: int, bands: int) -> DataFrame:
     return vectors.select("*", F.inline(pieces))
 
 
-def _best_in_blocks(missed: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-    """Best partner of each missed vector among one block of detected ones."""
-    columns = ["source_label", "leaves", "matches", "best_key", "best_probability"]
-    if missed.empty or found.empty:
-        return pd.DataFrame(columns=columns)
-    found = found.sort_values("best_key", kind="stable")
-    theirs = np.stack(found["leaves"].to_numpy())
-    best, count = [], []
-    for vector in missed["leaves"]:
-        matches = (theirs == np.asarray(vector)).sum(axis=1)
-        at = int(matches.argmax())
-        best.append(at)
-        count.append(int(matches[at]))
-    picked = found.iloc[best]
-    return pd.DataFrame(
-        {
-            "source_label": missed["source_label"].to_numpy(),
-            "leaves": missed["leaves"].to_numpy(),
-            "matches": count,
-            "best_key": picked["best_key"].to_numpy(),
-            "best_probability": picked["best_probability"].to_numpy(),
-        }
-    )
-
-
 _BEST_SCHEMA = (
     "source_label string, leaves array<int>, matches int, best_key string, best_probability double"
 )
 
 
+SMALL_CELL = 65_536
+
+
+def _agreements(ours: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+    """Number of equal leaves for every (missed, detected) pair of one cell."""
+    if len(ours) * len(theirs) <= SMALL_CELL:
+        return (ours[:, None, :] == theirs[None, :, :]).sum(axis=2, dtype=np.int32)
+    total = np.zeros((len(ours), len(theirs)), dtype=np.int32)
+    for tree in range(ours.shape[1]):
+        total += ours[:, tree, None] == theirs[None, :, tree]
+    return total
+
+
+def _compare_cells(batches):
+    """Best partner per missed vector and cell.
+
+    Rows arrive sorted by cell, missed before detected, detected by key, so the
+    first best one is the one wanted. A cell may continue in the next batch; it
+    holds at most one block of either side, so what is carried over is bounded.
+    """
+
+    def finish(rows):
+        leaves = np.stack(rows["leaves"].to_numpy())
+        found = rows["is_found"].to_numpy(dtype=bool)
+        number = rows["cell"].to_numpy()
+        edges = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1), len(rows)]
+        at, partner, matches = [], [], []
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            split = hi - int(found[lo:hi].sum())
+            if lo < split < hi:
+                equal = _agreements(leaves[lo:split], leaves[split:hi])
+                best = equal.argmax(axis=1)
+                at.append(np.arange(lo, split))
+                partner.append(best + split)
+                matches.append(equal[np.arange(split - lo), best])
+        if not at:
+            return
+        at, partner = np.concatenate(at), np.concatenate(partner)
+        yield pd.DataFrame(
+            {
+                "source_label": rows["source_label"].to_numpy()[at],
+                "leaves": rows["leaves"].to_numpy()[at],
+                "matches": np.concatenate(matches),
+                "best_key": rows["best_key"].to_numpy()[partner],
+                "best_probability": rows["best_probability"].to_numpy()[partner],
+            }
+        )
+
+    kept = None
+    for batch in batches:
+        rows = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
+        if rows.empty:
+            continue
+        number = rows["cell"].to_numpy()
+        last = int((number != number[-1]).sum())
+        if last:
+            yield from finish(rows.iloc[:last])
+        kept = rows.iloc[last:]
+    if kept is not None and not kept.empty:
+        yield from finish(kept)
+
+
 def _nearest(candidates: DataFrame) -> DataFrame:
     """Most matches, the smallest key on a tie."""
     top = F.min(F.struct((-F.col("matches")).alias("neg"), "best_key", "best_probability"))
@@ -112,12 +149,36 @@ def _tier(missed: DataFrame, found: DataFrame, trees: int, disagreements: int, b
         )
 
     cell = [*_BAND, "left_block", "right_block"]
-    candidates = (
-        placed(left, "left", "right")
-        .groupBy(*cell)
-        .cogroup(placed(right, "right", "left").groupBy(*cell))
-        .applyInPandas(_best_in_blocks, _BEST_SCHEMA)
+    missed_side = placed(left, "left", "right").select(
+        *cell,
+        "leaves",
+        F.lit(False).alias("is_found"),
+        F.lit(None).cast("string").alias("best_key"),
+        F.lit(None).cast("double").alias("best_probability"),
+    )
+    found_side = placed(right, "right", "left").select(
+        *cell, "leaves", F.lit(True).alias("is_found"), "best_key", "best_probability"
+    )
+    cells = (
+        missed_side.unionByName(found_side)
+        .repartition(*cell)
+        .sortWithinPartitions(*cell, "is_found", "best_key")
+        .select(
+            F.concat_ws(
+                "|",
+                *["source_label", "band"],
+                F.array_join(F.col("band_value").cast("array<string>"), ","),
+                "left_block",
+                "right_block",
+            ).alias("cell"),
+            "source_label",
+            "leaves",
+            "is_found",
+            "best_key",
+            "best_probability",
+        )
     )
+    candidates = cells.mapInPandas(_compare_cells, _BEST_SCHEMA)
     return _nearest(candidates)
 
 
