@@ -109,7 +109,7 @@ def clean_impute(df: DataFrame) -> DataFrame:
     """Unique rows; infinities are missing; numbers get the median, the rest the mode.
 
     Fill values come from running counts (numbers) and value counts (text), both
-    merged before the shuffle. The one row of fill values is joined by broadcast.
+    merged before the shuffle. The driver reads one fill value per column.
     """
     numeric = _numeric_columns(df)
     other = [c for c in df.columns if c not in numeric]
@@ -117,19 +117,17 @@ def clean_impute(df: DataFrame) -> DataFrame:
     kinds = dict(unique.dtypes)
     rows = unique.select(
         *[
-            finite_or_null(F.col(c)).alias(c) if kinds[c] in ("double", "float") else F.col(c)
+            finite_or_null(c).alias(c) if kinds[c] in ("double", "float") else F.col(c)
             for c in df.columns
         ]
     )
-    fills = None
+    fills = {}
     if numeric:
         long = rows.select(*[F.col(c).cast("double").alias(c) for c in numeric]).unpivot(
             [], numeric, "column", "value"
         )
         medians = exact_quantiles(long, ["column"], "value", {"median": 0.5})
-        fills = medians.groupBy().agg(
-            *[F.max(F.when(F.col("column") == c, F.col("median"))).alias(f"_fill_{c}") for c in numeric]
-        )
+        fills.update({r["column"]: F.lit(r["median"]) for r in medians.collect()})
     if other:
         text = rows.select(*[F.col(c).cast("string").alias(c) for c in other]).unpivot(
             [], other, "column", "value"
@@ -139,27 +137,17 @@ def clean_impute(df: DataFrame) -> DataFrame:
         modes = counts.groupBy("column").agg(
             F.min(F.struct((-F.col("count")).alias("rank"), "value")).alias("top")
         )
-        modes = modes.groupBy().agg(
-            *[
-                F.coalesce(
-                    F.max(F.when(F.col("column") == c, F.col("top.value"))), F.lit("Unknown")
-                ).alias(f"_fill_{c}")
-                for c in other
-            ]
-        )
-        fills = modes if fills is None else fills.crossJoin(modes)
-    if fills is None:
-        return rows
-    # One row of scalars, so its size is fixed by the number of columns.
-    filled = rows.crossJoin(F.broadcast(fills))
-
-    def fill(c):
-        value = F.col(f"_fill_{c}")
+        fills.update(dict.fromkeys(other, F.lit("Unknown")))
+        fills.update({r["column"]: F.lit(r["top"]["value"]) for r in modes.collect()})
+
+    def filled(c):
+        if c not in fills:
+            return F.col(c)
         if c in numeric and kinds[c] not in ("double", "float"):
-            return F.coalesce(F.col(c).cast("double"), value).alias(c)
-        return F.coalesce(F.col(c), value.cast(kinds[c])).alias(c)
+            return F.coalesce(F.col(c).cast("double"), fills[c]).alias(c)
+        return F.coalesce(F.col(c), fills[c].cast(kinds[c])).alias(c)
 
-    return filled.select(*[fill(c) for c in df.columns])
+    return rows.select(*[filled(c) for c in df.columns])
 
 
 def one_hot(df: DataFrame, label: str | None = None, max_categories: int = 10_000) -> DataFrame:

@@ -399,6 +399,31 @@ SQL["reproduction_multiset"] = _with(
     f"""SELECT CAST(0 AS BIGINT) AS only_left,
       (SELECT count(*) FROM clean) - (SELECT count(*) FROM (SELECT DISTINCT {F20}, {_ATTACK} FROM clean)) AS only_right""",
 )
+_CHANGED = (
+    RAW
+    + _DEDUP
+    + f""",
+built AS (SELECT row_key, {_FLOAT20}, binary_label AS label, ('0x' || substr(md5(row_key), 1, 6))::BIGINT AS h FROM firsts),
+planted AS (
+  SELECT *, h % 101 = 0 AS gone,
+    CASE WHEN h % 97 = 0 THEN (CAST(flow_bytes + 1 AS FLOAT) <> flow_bytes)::INTEGER
+      + (CAST(idle_time + 1 AS FLOAT) <> idle_time)::INTEGER ELSE 0 END AS cells
+  FROM built
+)"""
+)
+SQL["reproduction_diff"] = _with(
+    _CHANGED,
+    """SELECT count(*) FILTER (WHERE NOT gone) AS regenerated_rows, count(*) AS frozen_rows, CAST(0 AS BIGINT) AS only_regenerated,
+      count(*) FILTER (WHERE gone) AS only_frozen, CAST(coalesce(sum(cells) FILTER (WHERE NOT gone), 0) AS BIGINT) AS differing_cells,
+      count(*) FILTER (WHERE NOT gone AND cells > 0) AS differing_rows,
+      count(*) FILTER (WHERE NOT gone AND h % 89 = 0) AS differing_labels, 'FAIL' AS status FROM planted""",
+)
+SQL["alignment_report"] = _with(
+    _CHANGED,
+    """SELECT count(*) FILTER (WHERE NOT gone) AS matched, CAST(0 AS BIGINT) AS only_frozen,
+      count(*) FILTER (WHERE gone) AS only_provenance, count(*) FILTER (WHERE NOT gone AND cells > 0) AS feature_mismatch,
+      count(*) FILTER (WHERE NOT gone AND h % 89 = 0) AS label_mismatch FROM planted""",
+)
 SQL["safe_numbers"] = _with(
     RAW,
     """SELECT row_key, CASE WHEN isinf(flow_rate) THEN 0.0 ELSE flow_rate END AS flow_rate,
@@ -551,8 +576,8 @@ SQL["stream_detection_log"] = SQL["detection_log_rows"]
 SQL["recent_history"] = _with(
     _VERDICTS,
     f"""SELECT timestamp, CASE WHEN prediction = 1 THEN 'ATTACK' ELSE 'NORMAL' END AS verdict,
-      printf('%.2f%%', confidence) AS confidence_text, severity, packets_captured,
-      printf('%.2fs', capture_duration) AS duration_text
+      confidence || '%' AS confidence_text, severity, packets_captured,
+      capture_duration || 's' AS duration_text
     FROM (SELECT {_LOG} FROM verdicts) ORDER BY timestamp DESC LIMIT 10""",
 )
 _PAIRS = "pairs AS (SELECT toxic AS label, 1 - quality AS prediction FROM labels)"
@@ -634,10 +659,10 @@ SQL["error_slices"] = _with(
     SCORED + f""",
 long AS ({_long("scored", "row_key, binary_label AS y, prediction AS p", _SLICED)}),
 ranked AS (
-  SELECT *, (row_number() OVER (PARTITION BY feature ORDER BY value, row_key) - 1) / (count(*) OVER (PARTITION BY feature) - 1)::DOUBLE AS at
+  SELECT *, (row_number() OVER (PARTITION BY feature ORDER BY value, row_key) - 1) / (count(*) OVER (PARTITION BY feature) - 1)::DOUBLE AS pos
   FROM long
 )""",
-    """SELECT feature, CASE WHEN at <= 0.25 THEN 'Q1' WHEN at <= 0.5 THEN 'Q2' WHEN at <= 0.75 THEN 'Q3' ELSE 'Q4' END AS slice,
+    """SELECT feature, CASE WHEN pos <= 0.25 THEN 'Q1' WHEN pos <= 0.5 THEN 'Q2' WHEN pos <= 0.75 THEN 'Q3' ELSE 'Q4' END AS slice,
       count(*) AS rows, count(*) FILTER (WHERE y = 1) AS attacks, count(*) FILTER (WHERE y = 0 AND p = 1) AS false_positives,
       count(*) FILTER (WHERE y = 1 AND p = 0) AS false_negatives,
       count(*) FILTER (WHERE y = 0 AND p = 1) / nullif(count(*) FILTER (WHERE y = 0), 0)::DOUBLE AS benign_fpr,
@@ -799,7 +824,7 @@ SQL["feature_drift"] = _with(
     _DRIFT,
     """SELECT feature, round(ma, 4) AS reference_mean, round(mb, 4) AS live_mean, round(sd, 3) AS standardised_difference,
       round(d, 3) AS ks_statistic, round(CASE WHEN z < 0.2 THEN 1.0::DOUBLE ELSE greatest(0.0, least(1.0,
-        2 * list_sum(list_transform(range(1, 101), i -> (CASE WHEN i % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2.0 * i * i * z * z))))) END, 4) AS ks_p_value,
+        2 * (SELECT sum((CASE WHEN i % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2.0::DOUBLE * i * i * z * z)) FROM range(1, 101) t(i)))) END, 4) AS ks_p_value,
       verdict FROM drift""",
 )
 SQL["drift_verdict_lists"] = _with(
@@ -824,9 +849,13 @@ SQL["split_counts"] = _with(
     "SELECT CASE WHEN run < 4 THEN 'train' ELSE 'test' END AS split, binary_label, count(*) AS rows FROM scored GROUP BY ALL",
 )
 SQL["straddling_runs"] = _with(
-    SCORED,
-    """SELECT source_label, run FROM scored GROUP BY ALL
-    HAVING count(DISTINCT CASE WHEN run < 4 THEN 'train' ELSE 'test' END) > 1""",
+    SCORED
+    + """,
+drawn AS (
+  SELECT source_label, run, row_number() OVER (PARTITION BY binary_label ORDER BY md5(row_key || '#42'), row_key)
+      <= round(count(*) OVER (PARTITION BY binary_label) * 0.2) AS test FROM scored
+)""",
+    "SELECT source_label, run FROM drawn GROUP BY ALL HAVING bool_or(test) AND NOT bool_and(test)",
 )
 SQL["class_weights"] = _with(
     SCORED,

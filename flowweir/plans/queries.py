@@ -262,7 +262,7 @@ def _frozen_and_regenerated(spark, sf_dir):
     built = PR.provenance_dedup(T.raw_flow_records(spark, sf_dir)).withColumnRenamed(
         "binary_label", "label"
     )
-    bucket = F.crc32(F.col("row_key").cast("binary"))
+    bucket = F.conv(F.substring(F.md5("row_key"), 1, 6), 16, 10).cast("bigint")
     changed = built.filter(bucket % 101 != 0).select(
         "row_key",
         *[
@@ -688,7 +688,9 @@ def split_counts(spark, sf_dir):
 
 @query
 def straddling_runs(spark, sf_dir):
-    split = SP.run_split(T.scored_flows(spark, sf_dir))
+    """Runs that a row-wise draw tears apart, unlike the split by run."""
+    scored = T.scored_flows(spark, sf_dir).select("row_key", "binary_label", "source_label", "run")
+    split = SP.stratified_split(scored, "binary_label", "row_key")
     return SP.straddling_runs(split, ["source_label", "run"])
 
 
@@ -699,7 +701,7 @@ def class_weights(spark, sf_dir):
 
 @query
 def heuristic_attack_score(spark, sf_dir):
-    scored = SP.heuristic_attack_score(T.scored_flows(spark, sf_dir), "row_key")
+    scored = SP.heuristic_attack_score(T.scored_flows(spark, sf_dir))
     return scored.select("row_key", F.round("attack_score", 6).alias("attack_score"), "label")
 
 
@@ -707,7 +709,7 @@ def _labelled_flows(spark, sf_dir):
     """Assembled flows with rule-based labels, split by digest."""
     flows = FL.eligible_flows(_flows(spark, sf_dir))
     key = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in FLOW]), 256)
-    labelled = SP.heuristic_attack_score(stage_table(flows.withColumn("flow_key", key), "flows"), "flow_key")
+    labelled = SP.heuristic_attack_score(stage_table(flows.withColumn("flow_key", key), "flows"))
     return stage_table(SP.stratified_split(labelled, "label", "flow_key"), "labelled")
 
 

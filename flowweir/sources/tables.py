@@ -89,16 +89,15 @@ def append_rows(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def recent_history(log: DataFrame, order: str, rows: int = 10) -> DataFrame:
-    """Newest log rows with their display texts."""
+    """Newest log rows with their display texts, as the log holds the numbers."""
     newest = log.orderBy(F.desc(order)).limit(rows)
     return newest.select(
-        order,
         "timestamp",
         F.when(F.col("prediction") == 1, "ATTACK").otherwise("NORMAL").alias("verdict"),
-        F.format_string("%.2f%%", "confidence").alias("confidence_text"),
+        F.concat(F.col("confidence").cast("string"), F.lit("%")).alias("confidence_text"),
         "severity",
         "packets_captured",
-        F.format_string("%.2fs", "capture_duration").alias("duration_text"),
+        F.concat(F.col("capture_duration").cast("string"), F.lit("s")).alias("duration_text"),
     )
 
 
