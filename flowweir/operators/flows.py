@@ -191,19 +191,27 @@ def bucket_labels(
 ) -> DataFrame:
     """Per (key, bucket): the flow running on entry and the one starting inside."""
     root = F.when(F.col("first_us") == F.col("segment_us"), F.col("segment_us"))
-    labels = buckets.select(*BUCKET, root.alias("inner_us"))
+    rows = buckets.select(*BUCKET, root.alias("inner_us"))
     starts = chained_starts(keyed, buckets, timeout_us, fold_limit)
     if starts is not None:
-        placed = starts.select(
-            *KEY, floor_div("start_us", timeout_us).alias("bucket"), "start_us"
-        )
-        labels = labels.join(placed, BUCKET, "left").select(
-            *BUCKET, F.coalesce("start_us", "inner_us").alias("inner_us")
+        rows = rows.unionByName(
+            starts.select(
+                *KEY,
+                floor_div("start_us", timeout_us).alias("bucket"),
+                F.col("start_us").alias("inner_us"),
+            )
         )
     before = (
         Window.partitionBy(*KEY).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     )
-    return labels.withColumn("entry_us", F.last("inner_us", ignorenulls=True).over(before))
+    # One shuffle by key serves both steps; a key has few rows here, one or two
+    # per bucket.
+    return (
+        rows.repartition(*KEY)
+        .groupBy(*BUCKET)
+        .agg(F.max("inner_us").alias("inner_us"))
+        .withColumn("entry_us", F.last("inner_us", ignorenulls=True).over(before))
+    )
 
 
 def assign_flows(

@@ -13,7 +13,14 @@ from flowweir.schema import DIRECT_COLUMNS, FEATURES, RAW_COLUMNS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One source table, spread over the cores when it has fewer splits.
+
+    A small table is a single row group, which one task would read and then
+    carry through every narrow step. Tables with enough splits stay as they are.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _epoch_us(df: DataFrame, name: str) -> str:
