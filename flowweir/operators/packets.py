@@ -139,5 +139,9 @@ def packet_listing(flow_packets: DataFrame) -> DataFrame:
         flag_text().alias("flags"),
         endpoint_text("src_ip", "src_port").alias("source"),
         endpoint_text("dst_ip", "dst_port").alias("destination"),
+        F.when(F.col("forward_is_lo"), F.col("lo_ip")).otherwise(F.col("hi_ip")).alias("forward_ip"),
+        F.when(F.col("forward_is_lo"), F.col("lo_port"))
+        .otherwise(F.col("hi_port"))
+        .alias("forward_port"),
     )
     return with_rank(shown, FLOW, ["ts_us", "packet_id"], "packet_index")

@@ -87,21 +87,15 @@ def active_idle(spark, sf_dir):
 @query
 def flow_groups(spark, sf_dir):
     grouped = FL.flow_groups(FL.assign_flows(T.packets(spark, sf_dir)))
-    forward = F.col("forward_is_lo")
-    return PK.packet_listing(grouped).join(
-        grouped.select(
-            "packet_id",
-            F.when(forward, F.col("lo_ip")).otherwise(F.col("hi_ip")).alias("forward_ip"),
-            F.when(forward, F.col("lo_port")).otherwise(F.col("hi_port")).alias("forward_port"),
-        ),
-        "packet_id",
-    ).select(*FLOW, "packet_id", "packet_index", "forward_ip", "forward_port")
+    return PK.packet_listing(grouped).select(
+        *FLOW, "packet_id", "packet_index", "forward_ip", "forward_port"
+    )
 
 
 @query
 def packet_details(spark, sf_dir):
     """Packets of the first ten eligible flows of each capture."""
-    assigned = stage_table(FL.assign_flows(T.packets(spark, sf_dir)), "assigned")
+    assigned = FL.assign_flows(T.packets(spark, sf_dir))
     flows = FL.features_from_aggregates(FL.flow_aggregates(assigned))
     numbered = FL.with_flow_seq(FL.eligible_flows(flows))
     shown = numbered.filter(F.col("flow_seq") <= 10).select(*FLOW, "flow_seq")
