@@ -17,11 +17,6 @@ def one(df):
     return rows[0].asDict()
 
 
-def sizes(packets, times, **kw):
-    df = FL.flow_features(packets([packet(i, t) for i, t in enumerate(times)]), **kw)
-    return [int(r.flow_packets) for r in df.orderBy("flow_start_us").collect()]
-
-
 def test_hand_computed_tcp_flow(packets):
     got = one(
         FL.flow_features(
@@ -86,26 +81,36 @@ def test_active_idle_leaves_the_last_period_out(packets):
     assert got["active_time"] == 2_000_000 and got["idle_time"] == 6_000_000
 
 
+BOUNDARY_CASES = [
+    ([0, 1, 120], [3]),
+    ([0, 1, 120.000001], [2, 1]),
+    ([0, 120.000001], [1, 1]),
+    ([0, 10, 130], [2, 1]),
+    ([0, 100, 200, 300], [2, 2]),
+    ([5], [1]),
+]
+
+
 @pytest.mark.parametrize("fold_limit", [FL.FOLD_LIMIT, 0])
-@pytest.mark.parametrize(
-    "times,expected",
-    [
-        ([0, 1, 120], [3]),
-        ([0, 1, 120.000001], [2, 1]),
-        ([0, 120.000001], [1, 1]),
-        ([0, 10, 130], [2, 1]),
-        ([0, 100, 200, 300], [2, 2]),
-        ([5], [1]),
-    ],
-)
-def test_timeout_boundary(packets, times, expected, fold_limit):
-    assert sizes(packets, times, fold_limit=fold_limit) == expected
-
-
-def test_udp_and_other_headers(packets):
-    assert one(FL.flow_features(packets([packet(0, 0, proto=17)])))["header_length"] == 8
-    assert one(FL.flow_features(packets([packet(0, 0, proto=1)])))["header_length"] == 20
-    assert one(FL.flow_features(packets([packet(0, 0, dataofs=0)])))["header_length"] == 20
+def test_timeout_boundary(packets, fold_limit):
+    rows = [
+        packet(i, t, capture=f"c{case}")
+        for case, (times, _) in enumerate(BOUNDARY_CASES)
+        for i, t in enumerate(times)
+    ]
+    got = FL.flow_features(packets(rows), fold_limit=fold_limit).orderBy("flow_start_us").collect()
+    for case, (_, expected) in enumerate(BOUNDARY_CASES):
+        assert [int(r.flow_packets) for r in got if r.capture_id == f"c{case}"] == expected
+
+
+def test_header_lengths(packets):
+    rows = [
+        packet(0, 0, proto=17, capture="udp"),
+        packet(1, 0, proto=1, capture="icmp"),
+        packet(2, 0, dataofs=0, capture="tcp"),
+    ]
+    got = {r.capture_id: r.header_length for r in FL.flow_features(packets(rows)).collect()}
+    assert got == {"udp": 8, "icmp": 20, "tcp": 20}
 
 
 def test_average_counts_first_payload_twice(packets):
