@@ -134,10 +134,6 @@ def sample_class(count) -> Column:
     )
 
 
-def feature_columns():
-    return [F.col(f) for f in FEATURES]
-
-
 def unpivot_features(df, ids, features=FEATURES, value="value"):
     """One row per (input row, feature)."""
     typed = df.select(*ids, *[F.col(f).cast("double").alias(f) for f in features])

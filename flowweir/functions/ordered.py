@@ -18,13 +18,6 @@ _POSITION = "_position"
 _BLOCK = "_block"
 
 
-def _same(left: DataFrame, right: DataFrame, names) -> Column:
-    condition = F.lit(True)
-    for name in names:
-        condition = condition & left[name].eqNullSafe(right[name])
-    return condition
-
-
 def _join_null_safe(left: DataFrame, right: DataFrame, names, how="inner") -> DataFrame:
     renamed = right.select(
         *[F.col(n).alias(f"_r_{n}") for n in names],
