@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowweir.llm.exact_dedup import exact_dedup
+from flowweir.llm.mixing import mix_sizes
 from flowweir.llm.pii import KINDS, find_personal_data
 from flowweir.llm.quality import clean_lines
+from flowweir.llm.simhash import simhash_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -52,3 +54,18 @@ def op7_personal_data(spark, sf_dir):
         F.sha2(listed(base), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def op2_simhash(spark, sf_dir):
+    groups = simhash_groups(_table(spark, sf_dir, "documents"))
+    return groups.select(
+        F.col("id").alias("doc_id"),
+        F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
+        "component_id",
+    )
+
+
+@query
+def op4_source_mix(spark, sf_dir):
+    return mix_sizes(_table(spark, sf_dir, "documents"))
