@@ -21,6 +21,8 @@ STATE_STORE = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # A run takes all files in few batches: a store need not stay open between them.
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 
