@@ -154,3 +154,22 @@ SELECT t.doc_id,
 FROM (SELECT doc_id FROM documents) t LEFT JOIN spans USING (doc_id)
 GROUP BY t.doc_id
 """
+
+# Every turn costs three control strings of eight characters; escaping adds one per place.
+SQL["op10_chat"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'),
+                   (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+)
+SELECT conv_id,
+       count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), ''))
+         AS loss_sha256,
+       sum(24 + length(role) + length(text)
+           + len(regexp_extract_all(role, '<\\*\|')) + len(regexp_extract_all(text, '<\\*\|')))::BIGINT
+         AS formatted_chars
+FROM turns GROUP BY conv_id
+"""

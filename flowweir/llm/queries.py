@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowweir.llm.chat import format_conversations
 from flowweir.llm.exact_dedup import exact_dedup
 from flowweir.llm.mixing import mix_sizes
+from flowweir.llm.packing import pack
 from flowweir.llm.pii import KINDS, find_personal_data
 from flowweir.llm.quality import clean_lines
 from flowweir.llm.simhash import simhash_groups
+from flowweir.llm.vocabularies import vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -69,3 +72,25 @@ def op2_simhash(spark, sf_dir):
 @query
 def op4_source_mix(spark, sf_dir):
     return mix_sizes(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_packing(spark, sf_dir):
+    packed = pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return packed.withColumnRenamed("id", "doc_id")
+
+
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+@query
+def op10_chat(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame(
+        [(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)],
+        "conv_id long, turn long, role string, text string",
+    )
+    formatted = format_conversations(
+        turns.unionByName(extra), vocabulary("byte_bpe_50k.json"), outputs=False
+    )
+    return formatted.withColumnRenamed("id", "conv_id")
