@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from flowweir.llm.licences import LONGER, RULES, SENTENCES
+
 LOWERED = (
     "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 )
@@ -173,3 +175,42 @@ SELECT conv_id,
          AS formatted_chars
 FROM turns GROUP BY conv_id
 """
+
+
+def _licence_sql() -> str:
+    known = ", ".join(f"('{s}', '{n}')" for n, forms in SENTENCES.items() for s in forms)
+    holds: dict[str, str] = {}
+    for licence, rule in RULES:
+        found = f"contains(line, ',{','.join(rule)},')"
+        holds[licence] = f"{holds[licence]} OR {found}" if licence in holds else found
+    for short, longer in LONGER.items():
+        holds[short] = f"({holds[short]}) AND NOT ({holds[longer]})"
+    listed = ", ".join(f"CASE WHEN {hit} THEN '{name}' END" for name, hit in holds.items())
+    return rf"""
+WITH known(sentence, name) AS (VALUES {known}),
+sentences AS (
+  SELECT doc_id, i, trim(regexp_replace(lower(parts[i]), '[^a-z0-9]+', ' ', 'g')) AS sentence
+  FROM (
+    SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (
+      SELECT doc_id,
+             string_split_regex(coalesce(text, ''), '[.!?;:]+(?:[\x20\x09-\x0D]+|$)|\n+') AS parts
+      FROM documents
+    )
+  )
+),
+found AS (
+  SELECT doc_id, count(*) AS n, string_agg(name, ',' ORDER BY i) AS names
+  FROM sentences JOIN known USING (sentence) GROUP BY doc_id
+),
+lines AS (
+  SELECT d.doc_id, coalesce(n, 0) AS n, coalesce(names, '') AS names,
+         ',' || coalesce(names, '') || ',' AS line
+  FROM documents d LEFT JOIN found f ON d.doc_id = f.doc_id
+)
+SELECT doc_id, n AS n_sentences, names AS sentence_ids,
+       array_to_string(list_sort(list_filter([{listed}], lambda x: x IS NOT NULL)), ',') AS licences
+FROM lines
+"""
+
+
+SQL["op3_licences"] = _licence_sql()

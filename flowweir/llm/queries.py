@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from flowweir.llm.chat import format_conversations
 from flowweir.llm.exact_dedup import exact_dedup
+from flowweir.llm.language import identify, train
+from flowweir.llm.licences import scan_licences
 from flowweir.llm.mixing import mix_sizes
 from flowweir.llm.packing import pack
 from flowweir.llm.pii import KINDS, find_personal_data
@@ -94,3 +96,19 @@ def op10_chat(spark, sf_dir):
         turns.unionByName(extra), vocabulary("byte_bpe_50k.json"), outputs=False
     )
     return formatted.withColumnRenamed("id", "conv_id")
+
+
+@query
+def op8_language(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return identify(docs, train(docs)).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op3_licences(spark, sf_dir):
+    return scan_licences(_table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        F.size("sentence_ids").cast("long").alias("n_sentences"),
+        F.array_join("sentence_ids", ",").alias("sentence_ids"),
+        F.array_join("licences", ",").alias("licences"),
+    )
