@@ -13,6 +13,7 @@ from flowweir.llm.language import identify, train
 from flowweir.llm.licences import scan_licences
 from flowweir.llm.mixing import mix_sizes
 from flowweir.llm.packing import pack
+from flowweir.llm.passages import shared_passages
 from flowweir.llm.pii import KINDS, find_personal_data
 from flowweir.llm.quality import clean_lines
 from flowweir.llm.simhash import simhash_groups
@@ -112,3 +113,8 @@ def op3_licences(spark, sf_dir):
         F.array_join("sentence_ids", ",").alias("sentence_ids"),
         F.array_join("licences", ",").alias("licences"),
     )
+
+
+@query
+def op6_substring_dedup(spark, sf_dir):
+    return shared_passages(_table(spark, sf_dir, "documents"))
