@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowweir.llm.exact_dedup import exact_dedup
-from flowweir.llm.text import frozen_rows, shared_table
+from flowweir.llm.mixing import mixed_documents
+from flowweir.llm.packing import pack
 from flowweir.llm.quality import clean_lines
+from flowweir.llm.simhash import simhash_groups
+from flowweir.llm.text import frozen_rows, shared_table
+from flowweir.llm.vocabularies import vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -29,9 +33,31 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup(docs, carry=True).filter("kept").select("doc.*")
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints the row with the smallest doc_id stays."""
+    rows = frozen_rows(docs, "near-rows")
+    named = rows.select(F.struct("doc.doc_id", "row").alias("key"), F.col("doc.text").alias("text"))
+    groups = simhash_groups(named, id_col="key")
+    kept = groups.filter(F.col("id.row") == F.col("component_id.row")).select("id.row")
+    return rows.join(kept, "row", "left_semi").select("doc.*")
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words the mix takes, in their documents; a document taken again has a row again."""
+    return mixed_documents(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all rows with their places in sequences of 4096 tokens."""
+    return pack(docs, vocabulary("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality rules", quality_stage),
     ("exact dedup", exact_stage),
+    ("near dedup", near_stage),
+    ("source mix", mixing_stage),
+    ("packing", packing_stage),
 ]
 
 # The mix draws pseudorandom blocks and packing runs a tokenizer: SQL expresses neither.
