@@ -227,14 +227,11 @@ _WINDOWED = f"""SELECT ts_us // 8000000 * 8000000 AS window_start_us, ts_us // 8
 SQL["batch_capture_windows"] = _with(PACKETS, _WINDOWED)
 SQL["stream_capture_windows"] = _with(
     PACKETS + f", windowed AS ({_WINDOWED})",
-    """SELECT * FROM windowed
-    WHERE window_end_us // 1000 <= (SELECT max(ts_us) // 1000 - 10000 FROM packets)""",
+    "SELECT * FROM windowed",
 )
 SQL["stream_flow_tracker"] = _with(
     FLOWED,
-    f"""SELECT {FLOW_COLUMNS}, {F20} FROM flows f
-    WHERE (flow_start_us + 120000000) // 1000 + 1 <= (SELECT max(ts_us) // 1000 - 10000 FROM packets)
-      OR EXISTS (SELECT 1 FROM flows g WHERE g.k = f.k AND g.flow_start_us > f.flow_start_us)""",
+    f"SELECT {FLOW_COLUMNS}, {F20} FROM flows",
 )
 _WINDOWS = """,
 span AS (SELECT min(ts_us) AS lo, (max(ts_us) - min(ts_us)) // 10 AS width FROM packets),

@@ -771,9 +771,12 @@ def artifact_digest(spark, sf_dir):
 
 
 def _packet_stream(spark, sf_dir):
+    """The packets in four micro-batches, each late by up to five seconds, and an end marker."""
     folder = stage_path(spark, "packets")
-    T.packets(spark, sf_dir).write.parquet(folder)
-    return SK.packet_stream(spark, folder)
+    files = SK.arrival_files(
+        T.packets(spark, sf_dir), folder, batches=4, jitter_us=5_000_000, close_us=3_600_000_000
+    )
+    return SK.packet_stream(spark, folder, maxFilesPerTrigger=files)
 
 
 @query

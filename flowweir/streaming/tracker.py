@@ -1,12 +1,15 @@
-"""Flow table over a packet stream: one small state per flow key.
+"""Flow table over a packet stream, equal to the batch one.
 
-The state holds running totals only, so it has the same size for a flow of ten
-packets and of ten million. A flow closes when a packet of its key arrives past
-the timeout, or when the watermark passes the end of its timeout.
+Two stateful steps. The first is a built-in aggregation that merges the packets of
+a key and microsecond and holds them back until the watermark has passed, so its
+output comes complete and in the order of time, batch by batch, whatever the order
+of arrival inside the lateness bound. The second keeps one small state per flow
+key and folds those rows into it.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +20,6 @@ from flowweir.operators.packets import flow_keys, packet_measures
 from flowweir.schema import ACTIVITY_GAP_US, FEATURES, FLOW, FLOW_TIMEOUT_US, KEY
 from flowweir.streaming.windows import LATENESS, with_event_time
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 _SUMS = ["lo_packets", "hi_packets", "lo_bytes", "hi_bytes", "header_bytes", "syn", "ack", "rst", "fin"]
 _ACTIVITY = ["active_us", "active_periods", "idle_us", "idle_periods"]
 _STATE = [
@@ -41,16 +42,18 @@ OUTPUT_SCHEMA = f"{_KEY_SCHEMA}, {_STATE_SCHEMA}"
 _ABSENT = -1
 
 
-def _open(packet) -> dict:
+def _opened(rows: pd.DataFrame, at: int) -> dict:
+    """State of a flow that starts at row ``at``, before any packet is added."""
+    start = int(rows["ts_us"].iat[at])
     state = dict.fromkeys(_STATE, 0)
     state.update(
-        flow_start_us=packet.ts_us,
-        first_us=packet.ts_us,
-        last_us=packet.ts_us,
-        period_us=packet.ts_us,
-        first_packet_id=packet.packet_id,
-        first_payload=packet.payload_bytes,
-        forward_is_lo=int(packet.from_lo),
+        flow_start_us=start,
+        first_us=start,
+        last_us=start,
+        period_us=start,
+        first_packet_id=int(rows["first_packet_id"].iat[at]),
+        first_payload=int(rows["first_payload"].iat[at]),
+        forward_is_lo=int(rows["forward_is_lo"].iat[at]),
         lo_first_us=_ABSENT,
         lo_last_us=_ABSENT,
         hi_first_us=_ABSENT,
@@ -59,29 +62,33 @@ def _open(packet) -> dict:
     return state
 
 
-def _add(state: dict, packet, gap_us: int) -> None:
-    side = "lo" if packet.from_lo else "hi"
-    gap = packet.ts_us - state["last_us"]
-    if gap > gap_us:
-        active = state["last_us"] - state["period_us"]
-        state["active_us"] += active
-        state["active_periods"] += int(active > 0)
-        state["idle_us"] += gap
-        state["idle_periods"] += 1
-        state["period_us"] = packet.ts_us
-    state["last_us"] = max(state["last_us"], packet.ts_us)
-    state[f"{side}_packets"] += 1
-    state[f"{side}_bytes"] += packet.payload_bytes
-    state["header_bytes"] += packet.header_bytes
-    for flag in ("syn", "ack", "rst", "fin"):
-        state[flag] += getattr(packet, flag)
-    if state[f"{side}_first_us"] == _ABSENT:
-        state[f"{side}_first_us"] = packet.ts_us
-    state[f"{side}_last_us"] = max(state[f"{side}_last_us"], packet.ts_us)
+def _added(state: dict, rows: pd.DataFrame, gap_us: int) -> None:
+    """Add rows of one flow, in order of time and not before what the state holds."""
+    times = rows["ts_us"].to_numpy()
+    earlier = np.concatenate(([state["last_us"]], times[:-1]))
+    quiet = times - earlier > gap_us
+    if quiet.any():
+        opens = times[quiet]
+        active = earlier[quiet] - np.concatenate(([state["period_us"]], opens[:-1]))
+        state["active_us"] += int(active.sum())
+        state["active_periods"] += int((active > 0).sum())
+        state["idle_us"] += int((times - earlier)[quiet].sum())
+        state["idle_periods"] += int(quiet.sum())
+        state["period_us"] = int(opens[-1])
+    state["last_us"] = int(times[-1])
+    state["first_packet_id"] = min(state["first_packet_id"], int(rows["first_packet_id"].min()))
+    for name in _SUMS:
+        state[name] += int(rows[name].sum())
+    for side in ("lo", "hi"):
+        seen = times[rows[f"{side}_packets"].to_numpy() > 0]
+        if len(seen):
+            if state[f"{side}_first_us"] == _ABSENT:
+                state[f"{side}_first_us"] = int(seen[0])
+            state[f"{side}_last_us"] = int(seen[-1])
 
 
 class FlowTracker(StatefulProcessor):
-    """Emits one aggregate row per closed flow."""
+    """Emits one aggregate row per closed flow. Python turns once per flow, not per packet."""
 
     def __init__(self, timeout_us: int = FLOW_TIMEOUT_US, gap_us: int = ACTIVITY_GAP_US):
         self.timeout_us = timeout_us
@@ -104,21 +111,25 @@ class FlowTracker(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         stored = self.flow.get() if self.flow.exists() else None
         state = dict(zip(_STATE, stored)) if stored else None
-        before = state["flow_start_us"] if state else None
-        closed = []
-        arrived = pd.concat(list(rows)).sort_values(["ts_us", "packet_id"], kind="stable")
-        for packet in arrived.itertuples(index=False):
-            if state and packet.ts_us - state["flow_start_us"] > self.timeout_us:
+        if state:
+            self.handle.deleteTimer(self._alarm(state))
+        arrived = pd.concat(list(rows)).sort_values("ts_us", kind="stable", ignore_index=True)
+        times, at, closed = arrived["ts_us"].to_numpy(), 0, []
+        while at < len(times):
+            if state and times[at] - state["flow_start_us"] > self.timeout_us:
                 closed.append(self._row(key, state))
                 state = None
             if state is None:
-                state = _open(packet)
-            _add(state, packet, self.gap_us)
-        if before is not None and before != state["flow_start_us"]:
-            self.handle.deleteTimer((before + self.timeout_us) // 1000 + 1)
-        if before != state["flow_start_us"]:
+                state = _opened(arrived, at)
+            end = np.searchsorted(times, state["flow_start_us"] + self.timeout_us, side="right")
+            _added(state, arrived.iloc[at:end], self.gap_us)
+            at = end
+        if self._alarm(state) <= timerValues.getCurrentWatermarkInMs():
+            closed.append(self._row(key, state))
+            self.flow.clear()
+        else:
             self.handle.registerTimer(self._alarm(state))
-        self.flow.update(tuple(int(state[c]) for c in _STATE))
+            self.flow.update(tuple(int(state[c]) for c in _STATE))
         yield self._frame(closed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -139,31 +150,33 @@ def track_flows(
 ) -> DataFrame:
     """Closed flows of a packet stream with their twenty features.
 
-    Needs the RocksDB state store. Equals the batch operator for packets that are
-    not later than ``lateness``; a packet older than its key's open flow counts
-    towards that flow, since nothing already emitted can change.
+    Equals the batch operator for packets not later than ``lateness``; later ones
+    are dropped. A flow is emitted when the watermark passes the end of its
+    timeout; an end marker (``streaming.sinks.end_marker``) closes those open at
+    the end of an input. Needs the RocksDB state store, which ``run_available``
+    sets for its query.
     """
-    packets.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    measured = packet_measures(flow_keys(with_event_time(packets))).select(
-        *KEY,
-        "ts",
-        "ts_us",
-        "packet_id",
-        "from_lo",
-        "payload_bytes",
-        "header_bytes",
-        "syn",
-        "ack",
-        "rst",
-        "fin",
-    )
-    closed = (
+    measured = packet_measures(flow_keys(with_event_time(packets)))
+    lo, hi = F.col("from_lo"), ~F.col("from_lo")
+    merged = (
         measured.withWatermark("ts", lateness)
-        .groupBy(*KEY)
-        .transformWithStateInPandas(
-            FlowTracker(timeout_us, gap_us), OUTPUT_SCHEMA, "Append", "EventTime"
+        .groupBy(*KEY, "ts")
+        .agg(
+            F.min("ts_us").alias("ts_us"),
+            F.min("packet_id").alias("first_packet_id"),
+            F.min_by("payload_bytes", "packet_id").cast("long").alias("first_payload"),
+            F.min_by("from_lo", "packet_id").cast("int").alias("forward_is_lo"),
+            F.count_if(lo).alias("lo_packets"),
+            F.count_if(hi).alias("hi_packets"),
+            F.sum(F.when(lo, F.col("payload_bytes")).otherwise(0)).alias("lo_bytes"),
+            F.sum(F.when(hi, F.col("payload_bytes")).otherwise(0)).alias("hi_bytes"),
+            F.sum("header_bytes").alias("header_bytes"),
+            *[F.sum(f).alias(f) for f in ("syn", "ack", "rst", "fin")],
         )
     )
+    closed = merged.groupBy(*KEY).transformWithStateInPandas(
+        FlowTracker(timeout_us, gap_us), OUTPUT_SCHEMA, "Append", "EventTime"
+    )
     present = lambda c: F.when(F.col(c) != _ABSENT, F.col(c)).alias(c)
     bounds = [f"{side}_{end}_us" for side in ("lo", "hi") for end in ("first", "last")]
     typed = closed.select(

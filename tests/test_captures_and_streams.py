@@ -60,21 +60,33 @@ def test_bad_capture_is_an_error(spark, tmp_path):
         CF.read_captures(spark, str(tmp_path)).collect()
 
 
-def test_stream_flow_tracker_equals_batch(spark, packets, traffic, tmp_path):
-    # Time order over several files, and a late marker that closes every flow.
-    end = packet(999, 5000.0, src="10.8.8.8", dst="10.8.8.9")
-    ordered = sorted(traffic, key=lambda r: r[2])
-    folder = str(tmp_path / "in")
-    for n in range(3):
-        packets(ordered[n * 100 : n * 100 + 100]).coalesce(1).write.mode("append").parquet(folder)
-    packets([end]).coalesce(1).write.mode("append").parquet(folder)
+def _tracked(spark, batches, folder):
+    for rows in batches:
+        rows.coalesce(1).write.mode("append").parquet(folder)
+    SK.end_marker(spark, 10**10).coalesce(1).write.mode("append").parquet(folder)
     stream = SK.packet_stream(spark, folder, maxFilesPerTrigger=1)
-    got = SK.run_available(TK.track_flows(stream), "tracked")
+    return SK.run_available(TK.track_flows(stream), "tracked")
+
+
+def test_stream_flow_tracker_equals_batch(spark, packets, traffic, tmp_path):
+    # Arrival in four batches, each packet up to nine seconds late; all flows are closed.
+    rng = random.Random(4)
+    arriving = sorted(traffic, key=lambda r: r[2] + rng.randrange(9_000_000))
+    batches = [packets(arriving[n : n + 75]) for n in range(0, 300, 75)]
+    got = _tracked(spark, batches, str(tmp_path / "in"))
     expected = FL.flow_features(packets(traffic)).select(*FLOW, *FEATURES)
     assert got.count() == expected.count()
     assert got.exceptAll(expected).count() == 0
 
 
+def test_stream_flow_starts_at_its_first_packet_in_time(spark, packets, tmp_path):
+    late = packet(2, 1000.0, src="10.0.0.2", dst="10.0.0.1", sport=80, dport=1000, payload=9)
+    rows = [packet(1, 1003.0, payload=5), late]
+    got = _tracked(spark, [packets([r]) for r in rows], str(tmp_path / "in")).collect()
+    assert [(r.flow_start_us, r.flow_duration) for r in got] == [(1_000_000_000, 3_000_000.0)]
+    assert got[0].fwd_packet_length == 9
+
+
 def test_stream_windows_equal_batch(spark, packets, traffic, tmp_path):
     folder = str(tmp_path / "in")
     packets([*traffic, packet(999, 5000.0)]).write.parquet(folder)
