@@ -146,8 +146,10 @@ def slot_table(sources: DataFrame, cap: int, block_words: int, shard_slots: int,
         )
         .withColumn("first", F.col("chunk") * CHUNK)
         .withColumn("last", F.least(F.col("first") + CHUNK, F.col("slots")))
-        .repartition("source_no", "chunk")
     )
+    # A chunk is one row and becomes thousands: by its size alone all would meet in one task.
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = chunks.repartition(tasks, "source_no", "chunk")
     return chunks.mapInPandas(_slot_batches(seed, shard_slots), SLOT_SCHEMA)
 
 
@@ -241,6 +243,8 @@ def mix(
 def taken_parts(parts: DataFrame, slots: DataFrame) -> DataFrame:
     """Parts whose block the mix uses, with ``times``."""
     times = slots.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
+    # Written, so that the join is planned by its true size: it grows with the corpus.
+    times = shared_table(times, "mix-times")
     return parts.join(times, ["source_no", "block"])
 
 
