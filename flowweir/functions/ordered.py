@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowweir.session import stage_table
 
@@ -64,37 +65,79 @@ def with_rank(df: DataFrame, by, order, rank: str = "rank") -> DataFrame:
     )
 
 
+def _running_sums(names):
+    """Function over the Arrow batches of one partition that adds running sums.
+
+    The sums run over the whole partition; the caller takes off what came before
+    the group.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        before = dict.fromkeys(names, 0)
+        for batch in batches:
+            columns = list(batch.columns)
+            for name in names:
+                own = batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+                sums = np.cumsum(own) + before[name]
+                if len(sums):
+                    before[name] = sums[-1]
+                columns.append(pa.array(sums))
+            yield pa.RecordBatch.from_arrays(
+                columns, names=[*batch.schema.names, *[f"_{n}_run" for n in names]]
+            )
+
+    return run
+
+
 def cumulative(df: DataFrame, by, value: str, totals: dict[str, Column]) -> DataFrame:
     """Running totals over the distinct values of each group.
 
-    Returns one row per (by, value) with, for each named total ``t``: ``t`` (at
-    this value), ``t_upto`` (this value and all smaller ones) and ``t_all``.
-    Equal values are merged on the map side before anything is moved.
+    Returns one row per (by, value) with, for each named total ``t`` (a count):
+    ``t`` (at this value), ``t_upto`` (this value and all smaller ones) and
+    ``t_all``. Equal values are merged on the map side before anything is moved,
+    and the sums are taken inside the range partitions before they are written.
     """
-    by = list(by)
-    merged = df.groupBy(*by, value).agg(*[e.alias(n) for n, e in totals.items()])
-    rows = ordered_blocks(merged, by, [value], "cumulative")
-    blocks = rows.groupBy(*by, _BLOCK).agg(*[F.sum(n).alias(f"_{n}_block") for n in totals])
+    by, names = list(by), list(totals)
+    merged = df.groupBy(*by, value).agg(*[e.cast("long").alias(n) for n, e in totals.items()])
+    keys = [*by, value]
+    sorted_rows = (
+        merged.repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
+        .withColumn(_BLOCK, F.spark_partition_id())
+    )
+    schema = T.StructType(
+        [*sorted_rows.schema.fields, *[T.StructField(f"_{n}_run", T.LongType()) for n in names]]
+    )
+    rows = stage_table(sorted_rows.mapInArrow(_running_sums(names), schema), "cumulative")
+    blocks = rows.groupBy(*by, _BLOCK).agg(
+        *[F.sum(n).alias(f"_{n}_block") for n in names],
+        # Counts are not negative, so the least is that of the group's first row.
+        *[F.min(F.col(f"_{n}_run") - F.col(n)).alias(f"_{n}_base") for n in names],
+    )
     group = Window.partitionBy(*by)
     earlier = group.orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select(
         *by,
         _BLOCK,
         *[
-            F.coalesce(F.sum(f"_{n}_block").over(earlier), F.lit(0)).alias(f"_{n}_before")
-            for n in totals
+            (F.coalesce(F.sum(f"_{n}_block").over(earlier), F.lit(0)) - F.col(f"_{n}_base")).alias(
+                f"_{n}_shift"
+            )
+            for n in names
         ],
-        *[F.sum(f"_{n}_block").over(group).alias(f"{n}_all") for n in totals],
-    )
-    inside = (
-        Window.partitionBy(*by, _BLOCK)
-        .orderBy(_POSITION)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        *[F.sum(f"_{n}_block").over(group).alias(f"{n}_all") for n in names],
     )
     joined = _join_null_safe(rows, offsets, [*by, _BLOCK])
-    for n in totals:
-        joined = joined.withColumn(f"{n}_upto", F.sum(n).over(inside) + F.col(f"_{n}_before"))
-    return joined.drop(_POSITION, _BLOCK, *[f"_{n}_before" for n in totals])
+    return joined.select(
+        *by,
+        value,
+        *names,
+        *[(F.col(f"_{n}_run") + F.col(f"_{n}_shift")).alias(f"{n}_upto") for n in names],
+        *[f"{n}_all" for n in names],
+    )
 
 
 def exact_quantiles(df: DataFrame, by, value: str, probs: dict[str, float]) -> DataFrame:
@@ -104,8 +147,13 @@ def exact_quantiles(df: DataFrame, by, value: str, probs: dict[str, float]) -> D
     buffer; this picks the two neighbouring ranks from running counts instead.
     Null values are ignored. Adds ``n``, the number of values.
     """
-    by = list(by)
     runs = cumulative(df.filter(F.col(value).isNotNull()), by, value, {"n": F.count(F.lit(1))})
+    return quantiles_of_runs(runs, by, value, probs)
+
+
+def quantiles_of_runs(runs: DataFrame, by, value: str, probs: dict[str, float], *more: Column):
+    """Quantiles from the running counts ``n`` of ``cumulative``, with ``more`` aggregates."""
+    by = list(by)
     upto, start = F.col("n_upto"), F.col("n_upto") - F.col("n")
     picks, outputs = [], []
     for name, p in probs.items():
@@ -115,26 +163,13 @@ def exact_quantiles(df: DataFrame, by, value: str, probs: dict[str, float]) -> D
             picks.append(F.max(F.when(hit, F.col(value))).alias(f"_{name}_{side}"))
         low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
         outputs.append((low + (position - F.floor(position)) * (high - low)).alias(name))
-    picked = runs.groupBy(*by).agg(F.max("n_all").alias("n_all"), *picks)
-    return picked.select(*by, F.col("n_all").alias("n"), *outputs)
+    extra = [f"_more{i}" for i in range(len(more))]
+    picked = runs.groupBy(*by).agg(
+        F.max("n_all").alias("n_all"), *picks, *[m.alias(x) for m, x in zip(more, extra)]
+    )
+    return picked.select(*by, F.col("n_all").alias("n"), *outputs, *extra)
 
 
 def first_rows(df: DataFrame, order: str, n: int) -> DataFrame:
-    """The ``n`` smallest rows by a unique column, for ``n`` in the thousands.
-
-    A plain ordered limit sends ``n`` rows of every input task to one task. The
-    n-th smallest of any subset bounds the n-th smallest of the whole, so bounds
-    from random subsets cut the candidates down to a few times ``n`` first.
-    """
-    kept, total = df, df.count()
-    while total > 16 * n:
-        subset = kept.select(order).sample((n / total) ** 0.5)
-        bound = subset.orderBy(order).limit(n).agg(F.max(order), F.count(F.lit(1))).first()
-        if bound[1] < n:
-            break
-        kept = df.filter(F.col(order) <= F.lit(bound[0]))
-        remaining = kept.count()
-        if remaining > total / 2:
-            break
-        total = remaining
-    return kept.orderBy(order).limit(n)
+    """The ``n`` smallest rows by ``order``, by their rank over range partitions."""
+    return with_rank(df, [], [order], "_rank").filter(F.col("_rank") <= n).drop("_rank")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowweir.functions.columns import sample_class, shift_verdict, unpivot_features
-from flowweir.functions.ordered import cumulative, exact_quantiles
+from flowweir.functions.ordered import _join_null_safe, cumulative, quantiles_of_runs
 from flowweir.schema import FEATURES
 
 SUMMARY_QUANTILES = {"q00": 0.0, "q50": 0.5, "q95": 0.95, "q99": 0.99, "q100": 1.0}
@@ -16,14 +16,30 @@ def distribution_summary(df: DataFrame, by=()) -> DataFrame:
     """Per feature: count, mean, population deviation, share of zeros, quantiles."""
     group = [*by, "feature"]
     long = unpivot_features(df, list(by))
-    moments = long.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_pop("value").alias("std"),
-        F.avg((F.col("value") == 0.0).cast("double")).alias("zero_fraction"),
+    value, n = F.col("value"), F.col("n")
+    # Moments are weighted sums over the distinct values: the same rows serve both.
+    runs = cumulative(long.filter(value.isNotNull()), group, "value", {"n": F.count(F.lit(1))})
+    summed = quantiles_of_runs(
+        runs,
+        group,
+        "value",
+        SUMMARY_QUANTILES,
+        F.sum(value * n) / F.sum(n),
+        F.sum(F.when(value == 0.0, n).otherwise(0)) / F.sum(n),
     )
-    quantiles = exact_quantiles(long, group, "value", SUMMARY_QUANTILES).drop("n")
-    return moments.join(quantiles, group)
+    means = summed.select(*group, F.col("_more0").alias("_mean"))
+    apart = _join_null_safe(runs.select(*group, "value", "n"), F.broadcast(means), group)
+    deviation = apart.groupBy(*group).agg(
+        F.sqrt(F.sum(n * (value - F.col("_mean")) ** 2) / F.sum(n)).alias("std")
+    )
+    named = summed.select(
+        *group,
+        F.col("n").alias("count"),
+        F.col("_more0").alias("mean"),
+        F.col("_more1").alias("zero_fraction"),
+        *SUMMARY_QUANTILES,
+    )
+    return _join_null_safe(named, deviation, group)
 
 
 def distribution_comparison(train: DataFrame, live: DataFrame) -> DataFrame:
@@ -74,15 +90,33 @@ def feature_drift(reference: DataFrame, live: DataFrame) -> DataFrame:
     )
     long = unpivot_features(both, ["is_reference"])
     ref, new = F.col("is_reference"), ~F.col("is_reference")
-    moments = long.groupBy("feature").agg(
-        F.avg(F.when(ref, F.col("value"))).alias("reference_mean"),
-        F.avg(F.when(new, F.col("value"))).alias("live_mean"),
-        F.var_samp(F.when(ref, F.col("value"))).alias("_ref_var"),
-        F.var_samp(F.when(new, F.col("value"))).alias("_live_var"),
-    )
     running = cumulative(
         long, ["feature"], "value", {"a": F.count_if(ref), "b": F.count_if(new)}
     )
+    value = F.col("value")
+    sums = running.groupBy("feature").agg(
+        *[
+            e.alias(f"_{name}_{part}")
+            for name in ("a", "b")
+            for part, e in (
+                ("mean", F.sum(value * F.col(name)) / F.max(f"{name}_all")),
+                ("rows", F.max(f"{name}_all")),
+            )
+        ]
+    )
+    # Twenty rows, one per feature.
+    apart = running.join(F.broadcast(sums), "feature")
+    moments = apart.groupBy("feature").agg(
+        F.max("_a_mean").alias("reference_mean"),
+        F.max("_b_mean").alias("live_mean"),
+        *[
+            (
+                F.sum(F.col(name) * (value - F.col(f"_{name}_mean")) ** 2)
+                / F.max(F.nullif(F.col(f"_{name}_rows") - 1, F.lit(0)))
+            ).alias(alias)
+            for name, alias in (("a", "_ref_var"), ("b", "_live_var"))
+        ],
+    )
     distance = F.abs(F.col("a_upto") / F.col("a_all") - F.col("b_upto") / F.col("b_all"))
     ks = running.groupBy("feature").agg(
         F.max(distance).alias("ks"), F.max("a_all").alias("n"), F.max("b_all").alias("m")

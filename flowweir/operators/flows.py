@@ -371,9 +371,11 @@ def flow_features(
 
 def with_flow_seq(flows: DataFrame) -> DataFrame:
     """Number the flows of a capture: keys in first-seen order, then by time."""
-    seen = flows.groupBy(*KEY).agg(F.min("first_packet_id").alias("key_first_packet"))
+    # A key has few flows, one per timeout at most; the rank reads its input twice.
+    first = F.min("first_packet_id").over(Window.partitionBy(*KEY))
+    seen = stage_table(flows.withColumn("key_first_packet", first), "flow-order")
     return with_rank(
-        flows.join(seen, KEY), ["capture_id"], ["key_first_packet", "flow_start_us"], "flow_seq"
+        seen, ["capture_id"], ["key_first_packet", "flow_start_us"], "flow_seq"
     ).drop("key_first_packet")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +15,7 @@ from flowweir.functions.columns import (
     number_or_null,
     trimmed,
 )
-from flowweir.functions.ordered import exact_quantiles, first_rows
+from flowweir.functions.ordered import exact_quantiles, first_rows, with_rank
 from flowweir.schema import (
     DIRECT_COLUMNS,
     FEATURES,
@@ -23,6 +23,7 @@ from flowweir.schema import (
     SUMMED_COLUMNS,
     require_columns,
 )
+from flowweir.session import stage_table
 
 
 def canonical_text(raw: DataFrame, *carry) -> DataFrame:
@@ -113,7 +114,8 @@ def clean_impute(df: DataFrame) -> DataFrame:
     """
     numeric = _numeric_columns(df)
     other = [c for c in df.columns if c not in numeric]
-    unique = missing_as_null(df).dropDuplicates()
+    # Three uses: medians, modes and the result.
+    unique = stage_table(missing_as_null(df).dropDuplicates(), "unique")
     kinds = dict(unique.dtypes)
     rows = unique.select(
         *[
@@ -150,33 +152,63 @@ def clean_impute(df: DataFrame) -> DataFrame:
     return rows.select(*[filled(c) for c in df.columns])
 
 
-def one_hot(df: DataFrame, label: str | None = None, max_categories: int = 10_000) -> DataFrame:
-    """Text and boolean columns as 0/1 columns, first category left out.
+def _encoded_columns(df: DataFrame, label: str | None) -> list[str]:
+    kinds = (T.StringType, T.BooleanType)
+    return [f.name for f in df.schema if isinstance(f.dataType, kinds) and f.name != label]
 
-    Categories become columns, so the driver has to learn them; it reads at most
-    ``max_categories`` + 1 distinct values per column and refuses wider ones.
+
+def one_hot(df: DataFrame, categories: dict[str, list[str]]) -> DataFrame:
+    """Columns as 0/1 columns for the named categories, the first one left out.
+
+    Categories become columns, so the caller names them; a null or any other
+    value has zeros only. ``category_positions`` takes any number of categories.
     """
-    wanted = [f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.BooleanType))]
-    wanted = [c for c in wanted if c != label]
-    if not wanted:
-        return df
-    long = df.select(*[F.col(c).cast("string").alias(c) for c in wanted]).unpivot(
-        [], wanted, "column", "value"
-    )
-    values = long.filter(F.col("value").isNotNull()).distinct()
-    sizes = {r["column"]: r["count"] for r in values.groupBy("column").count().collect()}
-    wide = sorted(c for c, n in sizes.items() if n > max_categories)
-    if wide:
-        raise ValueError(f"too many categories to encode: {wide}")
-    categories: dict[str, list[str]] = {c: [] for c in wanted}
-    for row in values.collect():
-        categories[row["column"]].append(row["value"])
     encoded = [
         F.coalesce((F.col(c).cast("string") == v).cast("int"), F.lit(0)).alias(f"{c}_{v}")
-        for c in wanted
-        for v in sorted(categories[c])[1:]
+        for c, values in categories.items()
+        for v in sorted(values)[1:]
     ]
-    return df.select(*[c for c in df.columns if c not in wanted], *encoded)
+    return df.select(*[c for c in df.columns if c not in categories], *encoded)
+
+
+def category_positions(df: DataFrame, label: str | None = None) -> DataFrame:
+    """The one-hot encoding as positions of its ones, for any number of categories.
+
+    Text and boolean columns give way to ``positions``, the sorted places (from
+    0) of the ones in a vector over all categories of all columns, each
+    column's first category left out. Categories are numbered by rank over the
+    distinct values and joined back: none goes through the driver.
+    """
+    wanted = _encoded_columns(df, label)
+    if not wanted:
+        return df.withColumn("positions", F.array().cast("array<long>"))
+    text = [F.col(c).cast("string").alias(c) for c in wanted]
+    rows = stage_table(
+        df.select("*", F.monotonically_increasing_id().alias("_row"), F.struct(*text).alias("_text")),
+        "encoded-rows",
+    )
+    long = rows.select("_row", *[F.col(f"_text.{c}").alias(c) for c in wanted]).unpivot(
+        ["_row"], wanted, "column", "value"
+    ).filter(F.col("value").isNotNull())
+    ranked = with_rank(long.select("column", "value").distinct(), [], ["column", "value"])
+    by_column = ranked.groupBy("column").agg(F.min("rank").alias("first"))
+    order = Window.orderBy("column")
+    # One row per encoded column.
+    columns = by_column.withColumn("skipped", F.row_number().over(order))
+    numbered = (
+        ranked.join(F.broadcast(columns), "column")
+        .filter(F.col("rank") > F.col("first"))
+        .select("column", "value", (F.col("rank") - F.col("skipped") - 1).alias("position"))
+    )
+    found = (
+        long.join(numbered, ["column", "value"])
+        .groupBy("_row")
+        .agg(F.sort_array(F.collect_list("position")).alias("positions"))
+    )
+    kept = [c for c in df.columns if c not in wanted]
+    return rows.join(found, "_row", "left").select(
+        *kept, F.coalesce("positions", F.array().cast("array<long>")).alias("positions")
+    )
 
 
 def split_features(df: DataFrame, label: str):
@@ -186,9 +218,9 @@ def split_features(df: DataFrame, label: str):
     return df.drop(label), df.select(label)
 
 
-def prepared_features(df: DataFrame, label: str) -> DataFrame:
+def prepared_features(df: DataFrame, categories: dict[str, list[str]]) -> DataFrame:
     """Clean, then encode; ``split_features`` separates the label afterwards."""
-    return one_hot(clean_impute(df), label)
+    return one_hot(clean_impute(df), categories)
 
 
 def dataset_profile(df: DataFrame) -> DataFrame:

@@ -47,13 +47,8 @@ _BEST_SCHEMA = (
 )
 
 
-SMALL_CELL = 65_536
-
-
 def _agreements(ours: np.ndarray, theirs: np.ndarray) -> np.ndarray:
     """Number of equal leaves for every (missed, detected) pair of one cell."""
-    if len(ours) * len(theirs) <= SMALL_CELL:
-        return (ours[:, None, :] == theirs[None, :, :]).sum(axis=2, dtype=np.int32)
     total = np.zeros((len(ours), len(theirs)), dtype=np.int32)
     for tree in range(ours.shape[1]):
         total += ours[:, tree, None] == theirs[None, :, tree]

@@ -429,7 +429,7 @@ SQL["safe_numbers"] = _with(
 SQL["benign_sample"] = _with(
     RAW,
     f"""SELECT row_key, {F20.replace("flow_rate", "CAST(flow_rate AS DOUBLE) AS flow_rate")} FROM (
-      SELECT * FROM raw WHERE source_label = 'BENIGN' AND copy = 1 ORDER BY row_key LIMIT 40000)
+      SELECT * FROM raw WHERE source_label = 'BENIGN' ORDER BY row_key LIMIT 40000)
     WHERE packet_rate IS NOT NULL""",
 )
 _MIXED = """
@@ -456,7 +456,13 @@ SQL["one_hot"] = _with(
     _MIXED,
     """SELECT order_no, quantity, price, CASE WHEN flag = 'N' THEN 1 ELSE 0 END AS flag_N,
       CASE WHEN flag = 'R' THEN 1 ELSE 0 END AS flag_R, CASE WHEN status = 'O' THEN 1 ELSE 0 END AS status_O
-    FROM mixed WHERE quantity IS NOT NULL AND price IS NOT NULL AND flag IS NOT NULL""",
+    FROM mixed""",
+)
+SQL["category_positions"] = _with(
+    _MIXED,
+    """SELECT order_no, quantity, price, array_to_string(list_filter(
+      [CASE flag WHEN 'N' THEN 0 WHEN 'R' THEN 1 END, CASE status WHEN 'O' THEN 2 END],
+      lambda x: x IS NOT NULL), ',') AS positions FROM mixed""",
 )
 SQL["prepared_features"] = _with(
     _MIXED,

@@ -290,14 +290,23 @@ def clean_impute(spark, sf_dir):
     return PR.clean_impute(T.mixed_records(spark, sf_dir))
 
 
+MIXED_CATEGORIES = {"flag": ["A", "N", "R"], "status": ["F", "O"]}
+
+
 @query
 def one_hot(spark, sf_dir):
-    return PR.one_hot(T.mixed_records(spark, sf_dir).na.drop(), label="order_no")
+    return PR.one_hot(T.mixed_records(spark, sf_dir), MIXED_CATEGORIES)
+
+
+@query
+def category_positions(spark, sf_dir):
+    encoded = PR.category_positions(T.mixed_records(spark, sf_dir), "order_no")
+    return encoded.withColumn("positions", F.array_join("positions", ","))
 
 
 @query
 def prepared_features(spark, sf_dir):
-    return PR.prepared_features(T.mixed_records(spark, sf_dir), "order_no")
+    return PR.prepared_features(T.mixed_records(spark, sf_dir), MIXED_CATEGORIES)
 
 
 @query
@@ -323,7 +332,7 @@ def safe_numbers(spark, sf_dir):
 
 @query
 def benign_sample(spark, sf_dir):
-    raw = T.raw_flow_records(spark, sf_dir).filter(F.col("copy") == 1)
+    raw = T.raw_flow_records(spark, sf_dir)
     table = PR.canonical_text(raw, "row_key", "Label").withColumnRenamed("Label", "label")
     return PR.benign_sample(table, "row_key")
 

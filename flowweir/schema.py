@@ -56,6 +56,7 @@ SUMMED_COLUMNS = {
     "header_length": ("Fwd Header Length", "Bwd Header Length"),
 }
 
+# The raw columns that are read.
 RAW_COLUMNS = [
     *DIRECT_COLUMNS.values(),
     "Total Length of Fwd Packets",
@@ -65,7 +66,7 @@ RAW_COLUMNS = [
     "Label",
 ]
 
-# Features that a prepared row must not carry below zero.
+# Features that a prepared row must not carry below zero.
 NON_NEGATIVE_PREPARED = [
     "flow_duration",
     "total_fwd_packets",
@@ -74,10 +75,27 @@ NON_NEGATIVE_PREPARED = [
     "flow_packets",
 ]
 
-# Live validation checks every feature except the two per-direction counts,
-# which are covered by the packet-count rule.
+# Features that a live row must not carry below zero. The two mean
+# packet lengths are not among them.
 NON_NEGATIVE_LIVE = [
-    f for f in FEATURES if f not in ("fwd_packet_length", "bwd_packet_length")
+    "flow_duration",
+    "total_fwd_packets",
+    "total_bwd_packets",
+    "flow_bytes",
+    "flow_packets",
+    "flow_rate",
+    "packet_rate",
+    "avg_packet_size",
+    "syn_count",
+    "ack_count",
+    "rst_count",
+    "fin_count",
+    "active_time",
+    "idle_time",
+    "header_length",
+    "down_up_ratio",
+    "fwd_iat_mean",
+    "bwd_iat_mean",
 ]
 
 FLOW_TIMEOUT_US = 120_000_000

@@ -81,14 +81,22 @@ def test_clean_without_any_text_value(spark):
 
 def test_one_hot_drops_first_category(spark):
     df = spark.createDataFrame([("a", True, "y"), ("b", False, "n"), ("c", True, "y")], "p string, q boolean, l string")
-    got = PR.one_hot(df, "l")
+    got = PR.one_hot(df, {"p": ["c", "a", "b"], "q": ["true", "false"]})
     assert got.columns == ["l", "p_b", "p_c", "q_true"]
-    with pytest.raises(ValueError):
-        PR.one_hot(df, "l", max_categories=2)
     with pytest.raises(ValueError):
         PR.split_features(df, "missing")
 
 
+def test_category_positions_match_the_columns(spark):
+    rows = [("a", True, "y"), ("b", None, "n"), (None, False, "y"), ("c", True, "y"), ("c", True, "y")]
+    df = spark.createDataFrame(rows, "p string, q boolean, l string")
+    got = PR.category_positions(df, "l")
+    assert got.columns == ["l", "positions"]
+    wide = PR.one_hot(df, {"p": ["a", "b", "c"], "q": ["false", "true"]})
+    ones = [[i for i, v in enumerate(r[1:]) if v] for r in wide.collect()]
+    assert sorted(r.positions for r in got.collect()) == sorted(ones)
+
+
 def test_feature_contract(spark):
     good = dict.fromkeys(FEATURES, "1")
     rows = [good, {**good, "flow_rate": "inf"}, {**good, "idle_time": "x"}, {**good, "fin_count": "-1"},
