@@ -17,55 +17,98 @@ from pyspark.sql import types as T
 from flowweir.functions.ordered import with_rank
 from flowweir.llm.text import full_text, shared_table
 
-CACHED_WORDS = 800_000
+CACHED_WORDS = 600_000
+TAIL = b".,!?;:$&%#*|"
 
 
-def _piece_batches(tokenizer_json: str, capacity: int, end_id: int, with_ids: bool):
-    """Function over Arrow batches of (id, text) that gives one row per piece.
+class WordIds:
+    """Ids of words, kept for the life of a Python worker and of bounded size.
 
     The tokenizer drops white space and never joins tokens across it, so the ids
-    of a text are those of its space-separated words in a row. They are kept in
-    a cache of bounded size.
+    of a text are those of its space-separated words in a row. It also parts
+    letters and digits from the marks in ``TAIL``, and lower-cases; so words
+    share the ids of their part before such marks, for plain ASCII in lower case.
     """
 
-    def run(batches):
+    def __init__(self, tokenizer_json: str):
         import os
-        import zlib
+
+        # A task has one core: its threads would take those of other tasks.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.words: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def parts(word: bytes) -> tuple[bytes, bytes]:
+        """The word as a core and a tail of marks that is tokenized on its own."""
+        # A control string counts in its own letter case only.
+        plain = word.lower() if word.isascii() and b"<|" not in word else word
+        core = plain.rstrip(TAIL)
+        if core and len(core) < len(plain) and core.decode()[-1].isalnum():
+            return core, plain[len(core) :]
+        return plain, b""
+
+    def learn(self, texts: list[list[bytes]]) -> None:
         from array import array
 
+        new = set().union(*texts).difference(self.words)
+        if len(self.words) + len(new) > CACHED_WORDS:
+            self.words.clear()
+            new = set().union(*texts)
+        if len(self.cores) > CACHED_WORDS:
+            self.cores.clear()
+        parts = {word: self.parts(word) for word in new}
+        wanted = {p for pair in parts.values() for p in pair if p}.difference(self.cores)
+        fresh = list(wanted)
+        for at in range(0, len(fresh), 10_000):
+            block = fresh[at : at + 10_000]
+            found = self.tokenizer.encode_batch_fast(
+                [w.decode() for w in block], add_special_tokens=False
+            )
+            self.cores.update(zip(block, (array("I", f.ids).tobytes() for f in found)))
+        cores = self.cores
+        cores[b""] = b""
+        self.words.update((w, cores[core] + cores[tail]) for w, (core, tail) in parts.items())
+
+
+_KNOWN: dict[str, WordIds] = {}
+
+
+def word_ids(tokenizer_json: str) -> WordIds:
+    """The worker's ids for this tokenizer; one tokenizer at a time is kept."""
+    if tokenizer_json not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[tokenizer_json] = WordIds(tokenizer_json)
+    return _KNOWN[tokenizer_json]
+
+
+def _piece_batches(tokenizer_json: str, capacity: int, end_id: int, with_ids: bool):
+    """Function over Arrow batches of (id, text) that gives one row per piece."""
+
+    def run(batches):
+        import zlib
+
         import numpy as np
         import pyarrow as pa
 
-        # A task has one core: its threads would take those of other tasks.
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        # Imported here, so that tasks of one worker share what it has learned.
+        from flowweir.llm.packing import word_ids
 
-        tokenizer = Tokenizer.from_str(tokenizer_json)
-        cache: dict[bytes, bytes] = {}
+        known = word_ids(tokenizer_json)
         end = np.array([end_id], "<u4").tobytes()
 
-        def learn(groups) -> None:
-            new = set().union(*groups).difference(cache)
-            if len(cache) + len(new) > CACHED_WORDS:
-                cache.clear()
-                new = set().union(*groups)
-            fresh = list(new)
-            for at in range(0, len(fresh), 10_000):
-                part = fresh[at : at + 10_000]
-                found = tokenizer.encode_batch_fast(
-                    [w.decode() for w in part], add_special_tokens=False
-                )
-                cache.update(zip(part, (array("I", f.ids).tobytes() for f in found)))
-
         for batch in batches:
             texts = batch.column(1).to_pylist()
             owner, piece, start, length, checksum, tokens = [], [], [], [], [], []
             for base in range(0, len(texts), 256):
                 # Bytes split at ASCII white space only, which the tokenizer drops too.
                 group = [t.encode().split() for t in texts[base : base + 256]]
-                learn(group)
+                known.learn(group)
                 for at, found in enumerate(group, base):
-                    ids = b"".join([*map(cache.__getitem__, found), end])
+                    ids = b"".join([*map(known.words.__getitem__, found), end])
                     for number, first in enumerate(range(0, len(ids), 4 * capacity)):
                         cut = ids[first : first + 4 * capacity]
                         owner.append(at)

@@ -337,7 +337,8 @@ def test_packing_round_trip(spark, edges):
 
     text = vocabulary("word_bpe_49k.json")
     tokenizer = Tokenizer.from_str(text)
-    extra = [(20, "a\x1cb \x85 c d <|endoftext|> x<|startoftext|>y It's 'll 2.5 é İ")]
+    extra = [
+        (20, "a\x1cb \x85 c d <|endoftext|> x<|startoftext|>y It's 'll 2.5 é İ")]
     rows = EDGES + NULL_ID + extra
     got = pack(table(spark, rows), text, with_ids=True).collect()
     expected = []
