@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowweir.functions.ordered import ordered_blocks, with_rank
-from flowweir.llm.text import full_text, shared_table
+from flowweir.llm.text import frozen_rows, full_text, shared_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 CHUNK = 4096
@@ -262,7 +262,12 @@ def mix_sizes(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_documents(
-    docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", **options
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+    text_col: str = "text",
+    chars_col: str = "n_chars",
+    **options,
 ) -> DataFrame:
     """The words that the mix takes, as rows with the columns of ``docs``.
 
@@ -272,15 +277,25 @@ def mixed_documents(
     document of which nothing is taken has no row.
     """
     cap = options.get("cap", 3)
-    placed, parts, slots = mix(docs, text_col=text_col, carry=docs.columns, **options)
+    # The plan works on row numbers; the texts are joined to it once, at the end.
+    rows = frozen_rows(docs, "mix-rows")
+    flat = rows.select(
+        F.col(f"doc.`{id_col}`").alias("doc_id"),
+        F.col(f"doc.`{source_col}`").alias("source"),
+        F.col(f"doc.`{text_col}`").alias("text"),
+        "row",
+    )
+    placed, parts, slots = mix(flat, carry=["row"], **options)
     used = (
         taken_parts(parts, slots)
         .groupBy("row")
         .agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words", "times"))).alias("used"))
     )
+    planned = placed.select("row", "size", F.col("doc.row").alias("original")).join(used, "row")
+    planned = shared_table(planned.select(F.col("original").alias("row"), "size", "used"), "mix-used")
     rounds = F.explode(F.sequence(F.lit(1), F.lit(cap))).alias("turn")
     here = F.filter("used", lambda u: u.times >= F.col("turn"))
-    repeated = placed.join(used, "row").select("doc", "size", "used", rounds)
+    repeated = rows.join(planned, "row").select("doc", "size", "used", rounds)
     chosen = repeated.select("doc", "size", here.alias("chosen")).filter(F.size("chosen") > 0)
     tokens = F.regexp_extract_all(full_text(f"doc.`{text_col}`"), F.lit(WORD), F.lit(0))
     some = F.array_join(
