@@ -48,7 +48,7 @@ def words(text: Column) -> Column:
 def shared_write(df: DataFrame, name: str) -> str:
     """Write ``df`` to the shared folder and return its path."""
     path = stage_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return path
 
 
