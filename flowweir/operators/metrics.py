@@ -140,6 +140,17 @@ def scenario_report(flows: DataFrame, packets: DataFrame) -> DataFrame:
     )
 
 
+def labelled_prediction_metrics(
+    labels: DataFrame, predictions: DataFrame, key: str = "flow_id"
+) -> DataFrame:
+    """Metrics over the flows that have both a label, benign or attack, and a prediction."""
+    label = F.trim("label")
+    known = labels.select(
+        key, F.when(label == "attack", 1).when(label == "benign", 0).alias("label")
+    ).filter(F.col("label").isNotNull())
+    return binary_metrics(known.join(predictions.select(key, "prediction"), key))
+
+
 def two_model_fpr(benign: DataFrame, first: str, second: str) -> DataFrame:
     """False alarms of two models on benign-only flows."""
     totals = benign.agg(

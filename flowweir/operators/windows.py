@@ -13,14 +13,16 @@ SLOT_US = 600_000_000
 def label_flows_by_window(
     flows: DataFrame, windows: DataFrame, start="flow_start_us", slot_us: int = SLOT_US
 ) -> DataFrame:
-    """Left interval join: a flow belongs to every window its start lies in.
+    """Left interval join: a flow belongs to every window of its capture its start lies in.
 
-    Windows are cut into time slots and joined on the slot, so neither side has
-    to be small and no pair outside a common slot is ever formed.
+    The capture of a window is the file name of its ``pcap`` without the ending.
+    Windows are cut into time slots and joined on (capture, slot), so neither
+    side has to be small and no pair outside a common slot is ever formed.
     """
     bounds = windows.select(
         "scenario",
         F.col("label").alias("window_label"),
+        F.regexp_replace(F.substring_index("pcap", "/", -1), r"\.pcap(ng)?$", "").alias("_capture"),
         F.round(F.col("start_epoch") * 1e6).cast("long").alias("_from"),
         F.round(F.col("end_epoch") * 1e6).cast("long").alias("_to"),
     )
@@ -30,8 +32,9 @@ def label_flows_by_window(
     )
     placed = flows.withColumn("_slot", floor_div(start, slot_us))
     inside = (F.col(start) >= F.col("_from")) & (F.col(start) <= F.col("_to"))
+    same = (F.col("f.capture_id") == F.col("w._capture")) & (F.col("f._slot") == F.col("w._slot"))
     return (
         placed.alias("f")
-        .join(slots.alias("w"), (F.col("f._slot") == F.col("w._slot")) & inside, "left")
-        .drop("_slot", "_from", "_to")
+        .join(slots.alias("w"), same & inside, "left")
+        .drop("_slot", "_from", "_to", "_capture")
     )

