@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Wide rows give generated methods beyond the JVM's size limit for compiling.
+JVM_OPTIONS = "-XX:-DontCompileHugeMethods"
+_scopes: list[str] = []
+
 
 def build_session(app: str = "flowweir", master: str | None = None, **conf) -> SparkSession:
     """Session with the settings the operators rely on.
@@ -22,6 +27,8 @@ def build_session(app: str = "flowweir", master: str | None = None, **conf) -> S
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.driver.extraJavaOptions": JVM_OPTIONS,
+        "spark.executor.extraJavaOptions": JVM_OPTIONS,
         **conf,
     }
     for key, value in settings.items():
@@ -45,8 +52,26 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+@contextmanager
+def stage_scope(spark: SparkSession):
+    """Delete what is staged inside when the block ends.
+
+    A result that reads staged tables has to be written inside the block.
+    Scopes nest; they are meant for one thread that drives its queries in turn.
+    """
+    folder = f"{shared_dir(spark)}/flowweir-stage/scope-{uuid.uuid4().hex}"
+    _scopes.append(folder)
+    try:
+        yield folder
+    finally:
+        _scopes.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/flowweir-stage/{name}-{uuid.uuid4().hex}"
+    folder = _scopes[-1] if _scopes else f"{shared_dir(spark)}/flowweir-stage"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:

@@ -1,66 +1,147 @@
 """Capture files: decode to packet rows, and the matching encoder.
 
 Record boundaries are walked once per file; the header fields of all its packets
-are then read with array indexing. Files are the unit of work, so a capture has
-to be rotated into files below the 2 GB limit of the binary reader.
+are then read with array indexing. Both common formats are read: the one of
+plain records and the newer one of typed blocks. Files are the unit of work, so a
+capture has to be rotated into files below the 2 GB limit of the binary reader;
+the files of one capture make one sequence of packets.
 """
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowweir.functions.ordered import with_rank
 from flowweir.schema import PACKET_SCHEMA
 
 # File magics (little-endian value) -> ticks per second.
 MAGICS = {0xA1B2C3D4: 1_000_000, 0xA1B23C4D: 1_000_000_000}
+# Block types of the newer format, its byte order mark, and the option
+# that holds the time resolution.
+SECTION, INTERFACE, SIMPLE_PACKET, PACKET = 0x0A0D0D0A, 1, 3, 6
+ORDER_MARK, RESOLUTION_OPTION = 0x1A2B3C4D, 9
 # Link type -> bytes before the network header.
 LINK_HEADER = {0: 4, 1: 14, 12: 0, 101: 0, 108: 4, 113: 16}
 ETHERNET, VLAN, IPV4 = 1, 0x8100, 0x0800
 TCP, UDP = 6, 17
 BATCH_PACKETS = 100_000
+# Packet ids are the number of the file times this, plus the place in the file.
+FILE_PACKETS = 1 << 36
+DAMAGE_SCHEMA = "path string, offset bigint, reason string"
 
 
-def _record_offsets(content: bytes, order: str):
-    """Start of each captured frame, with seconds, fraction and length."""
+def _plain_records(content: bytes):
+    """(start, microseconds, length, link type) of each record; offset and reason of damage."""
+    for order in ("<", ">"):
+        magic = struct.unpack_from(order + "I", content)[0]
+        if magic in MAGICS:
+            break
+    else:
+        return None, (0, "not a packet capture")
+    link = struct.unpack_from(order + "I", content, 20)[0] & 0xFFFF
+    if link not in LINK_HEADER:
+        return None, (20, f"unsupported link type {link}")
+    per_micro = MAGICS[magic] // 1_000_000
     header = struct.Struct(order + "IIII")
     found, at, end = [], 24, len(content)
-    while at + 16 <= end:
+    while at < end:
+        if at + 16 > end:
+            return found, (at, "record header is cut")
         seconds, fraction, kept, _ = header.unpack_from(content, at)
         if at + 16 + kept > end:
-            break
-        found.append((at + 16, seconds, fraction, kept))
+            return found, (at, "record is cut")
+        found.append((at + 16, seconds * 1_000_000 + fraction // per_micro, kept, link))
         at += 16 + kept
-    return np.array(found, dtype=np.int64).reshape(-1, 4)
+    return found, None
 
 
-def decode_capture(name: str, content: bytes):
-    """Yield packet frames of one capture file, in batches."""
-    if len(content) < 24:
-        return
-    for order in ("<", ">"):
-        magic = struct.unpack_from(order + "I", content)[0]
-        if magic in MAGICS:
+def _resolution(content: bytes, at: int, end: int, order: str) -> int:
+    """Ticks per second of an interface: a power of ten or of two, a million by default."""
+    while at + 4 <= end:
+        code, size = struct.unpack_from(order + "HH", content, at)
+        if code == RESOLUTION_OPTION and size:
+            value = content[at + 4]
+            return 2 ** (value & 127) if value & 128 else 10**value
+        if code == 0:
             break
-    else:
-        raise ValueError(f"{name}: not a packet capture file")
-    link = struct.unpack_from(order + "I", content, 20)[0] & 0xFFFF
-    if link not in LINK_HEADER:
-        raise ValueError(f"{name}: unsupported link type {link}")
-    per_second = MAGICS[magic]
+        at += 4 + size + (-size % 4)
+    return 1_000_000
+
+
+def _block_records(content: bytes):
+    """As ``_plain_records``, for the newer format of typed blocks."""
+    found, interfaces, order, at, end = [], [], "<", 0, len(content)
+    while at < end:
+        if at + 12 > end:
+            return found, (at, "block header is cut")
+        kind = struct.unpack_from(order + "I", content, at)[0]
+        if kind == SECTION:
+            order = "<" if struct.unpack_from("<I", content, at + 8)[0] == ORDER_MARK else ">"
+            interfaces = []
+        size = struct.unpack_from(order + "I", content, at + 4)[0]
+        if size < 12 or at + size > end:
+            return found, (at, "block is cut")
+        body, close = at + 8, at + size - 4
+        if kind == INTERFACE:
+            link = struct.unpack_from(order + "H", content, body)[0]
+            interfaces.append((link, _resolution(content, body + 8, close, order)))
+        elif kind in (PACKET, SIMPLE_PACKET):
+            if kind == PACKET:
+                number, high, low, kept, _ = struct.unpack_from(order + "IIIII", content, body)
+                start = body + 20
+            else:
+                # No time of its own: at the start of the epoch.
+                number, high, low, start = 0, 0, 0, body + 4
+                kept = min(struct.unpack_from(order + "I", content, body)[0], close - start)
+            if number >= len(interfaces):
+                return found, (at, f"unknown interface {number}")
+            link, per_second = interfaces[number]
+            if link not in LINK_HEADER:
+                return found, (at, f"unsupported link type {link}")
+            if start + kept > close:
+                return found, (at, "packet is cut")
+            found.append((start, (high << 32 | low) * 1_000_000 // per_second, kept, link))
+        at += size
+    return found, None
+
+
+def capture_records(content: bytes):
+    """Records of a capture file as an array, and what is wrong with it, if anything.
+
+    Records before a damaged place are kept. Without any readable record the
+    array is None.
+    """
+    if len(content) < 24:
+        return None, (0, "file header is cut")
+    blocks = struct.unpack_from("<I", content)[0] == SECTION
+    found, damage = (_block_records if blocks else _plain_records)(content)
+    if found is None:
+        return None, damage
+    return np.array(found, dtype=np.int64).reshape(-1, 4), damage
+
+
+def decode_capture(name: str, content: bytes, first_id: int = 0):
+    """Yield packet frames of one capture file, in batches."""
+    records, damage = capture_records(content)
+    if records is None:
+        raise ValueError(f"{name}: {damage[1]}")
     data = np.frombuffer(content, dtype=np.uint8)
-    records = _record_offsets(content, order)
     for lo in range(0, len(records), BATCH_PACKETS):
         part = records[lo : lo + BATCH_PACKETS]
-        yield _packet_frame(name, data, part, link, per_second, lo)
+        ids = first_id + lo + np.arange(len(part))
+        for link in np.unique(part[:, 3]).tolist():
+            here = part[:, 3] == link
+            yield _packet_frame(name, data, part[here], link, ids[here])
 
 
-def _packet_frame(name, data, records, link, per_second, first_id) -> pd.DataFrame:
-    start, seconds, fraction, kept = records.T
+def _packet_frame(name, data, records, link, ids) -> pd.DataFrame:
+    start, micros, kept, _ = records.T
     stop = start + kept
 
     def byte(at):
@@ -108,13 +189,11 @@ def _packet_frame(name, data, records, link, per_second, first_id) -> pd.DataFra
     def optional(values, present):
         return pd.Series(values).where(present).astype("Int32")
 
-    ids = first_id + np.arange(len(start))
-    ticks = fraction if per_second == 1_000_000 else fraction // 1000
     return pd.DataFrame(
         {
             "capture_id": name,
             "packet_id": ids,
-            "ts_us": seconds * 1_000_000 + ticks,
+            "ts_us": micros,
             "src_ip": address(network + 12),
             "dst_ip": address(network + 16),
             "ip_proto": optional(proto, is_ip),
@@ -129,28 +208,73 @@ def _packet_frame(name, data, records, link, per_second, first_id) -> pd.DataFra
     )
 
 
-def decode_captures(files: DataFrame, name: str = "path", content: str = "content") -> DataFrame:
-    """(name, content) rows to packets."""
+def decode_captures(
+    files: DataFrame, name: str = "path", content: str = "content", first_id: Column | None = None
+) -> DataFrame:
+    """(name, content) rows to packets, numbered from ``first_id`` in each file."""
 
     def run(batches):
         for batch in batches:
-            for title, body in zip(batch["name"], batch["content"]):
-                yield from decode_capture(title, bytes(body))
+            for title, body, first in zip(batch["name"], batch["content"], batch["first_id"]):
+                yield from decode_capture(title, bytes(body), int(first))
 
-    narrow = files.select(F.col(name).alias("name"), F.col(content).alias("content"))
+    narrow = files.select(
+        F.col(name).alias("name"),
+        F.col(content).alias("content"),
+        (F.lit(0) if first_id is None else first_id).cast("long").alias("first_id"),
+    )
     return narrow.mapInPandas(run, PACKET_SCHEMA)
 
 
-def read_captures(spark: SparkSession, path: str, pattern: str = "*.pcap") -> DataFrame:
-    """Packets of all capture files under a folder; capture_id is the file name."""
-    files = (
+def _capture_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", True)
         .load(path)
-        .withColumn("name", F.element_at(F.split("path", "/"), -1))
     )
-    return decode_captures(files, "name")
+
+
+def read_captures(
+    spark: SparkSession,
+    path: str,
+    pattern: str = "*.{pcap,pcapng,cap}",
+    capture_of: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """Packets of all capture files under a folder.
+
+    ``capture_of`` maps the path of a file to its capture; without it every file
+    is a capture, named by its full path. The files of a capture, rotated ones
+    for instance, follow each other in the order of their paths: packet ids grow
+    over (file, place), and a conversation over two files is one. Records after
+    a damaged place are not read; ``capture_damage`` lists such files.
+    """
+    files = _capture_files(spark, path, pattern)
+    places = with_rank(files.select("path"), [], ["path"], "file_number")
+    named = files.join(places, "path").withColumn(
+        "capture", F.col("path") if capture_of is None else capture_of(F.col("path"))
+    )
+    return decode_captures(
+        named, "capture", first_id=(F.col("file_number") - 1) * F.lit(FILE_PACKETS)
+    )
+
+
+def capture_damage(
+    spark: SparkSession, path: str, pattern: str = "*.{pcap,pcapng,cap}"
+) -> DataFrame:
+    """Path, offset and reason for every file that cannot be read to its end."""
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for title, body in zip(batch["path"], batch["content"]):
+                _, damage = capture_records(bytes(body))
+                if damage:
+                    found.append((title, *damage))
+            yield pd.DataFrame(found, columns=["path", "offset", "reason"])
+
+    files = _capture_files(spark, path, pattern).select("path", "content")
+    return files.mapInPandas(run, DAMAGE_SCHEMA)
 
 
 def _frame_bytes(p) -> bytes:

@@ -51,7 +51,43 @@ def test_capture_folder_and_padding(spark, tmp_path):
     assert [r.ts_us for r in got] == [7_000_000, 7_000_005, 7_000_010]
     assert [(r.src_ip, r.src_port, r.payload_len) for r in got[:2]] == [("10.0.0.1", 5000, 3)] * 2
     assert got[2].src_ip is None and got[0].frame_len == len(frame)
-    assert got[0].capture_id == "one.pcap"
+    assert got[0].capture_id.endswith("/one.pcap")
+    damage = CF.capture_damage(spark, str(tmp_path)).collect()
+    assert [(r.offset, r.reason) for r in damage] == [(len(body), "record header is cut")]
+
+
+def _udp_frame(src, dst, sport, dport, data):
+    ip = struct.pack(">BBHHHBBH", 0x45, 0, 28 + len(data), 0, 0, 64, 17, 0) + bytes(src) + bytes(dst)
+    return bytes(12) + b"\x08\x00" + ip + struct.pack(">HHHH", sport, dport, 8 + len(data), 0) + data
+
+
+def _block(kind, body):
+    body += bytes(-len(body) % 4)
+    size = struct.pack("<I", 12 + len(body))
+    return struct.pack("<I", kind) + size + body + size
+
+
+def test_both_formats_and_rotated_files_give_one_flow(spark, tmp_path):
+    there = _udp_frame([10, 0, 0, 1], [10, 0, 0, 2], 5000, 53, b"abc")
+    back = _udp_frame([10, 0, 0, 2], [10, 0, 0, 1], 53, 5000, b"defgh")
+    plain = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)
+    plain += struct.pack("<IIII", 7, 10, len(there), len(there)) + there
+    (tmp_path / "run_001.pcap").write_bytes(plain)
+    nanoseconds = struct.pack("<HHB3xHH", 9, 1, 9, 0, 0)
+    blocks = _block(0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1))
+    blocks += _block(1, struct.pack("<HHI", 1, 0, 65535) + nanoseconds)
+    at = 8_000_020_000
+    blocks += _block(6, struct.pack("<IIIII", 0, at >> 32, at & 0xFFFFFFFF, len(back), len(back)) + back)
+    (tmp_path / "run_002.pcapng").write_bytes(blocks)
+    whole = lambda path: F.regexp_extract(path, r"/([^/]+)_\d+\.[a-z]+$", 1)
+    got = CF.read_captures(spark, str(tmp_path), capture_of=whole)
+    assert [(r.capture_id, r.ts_us, r.payload_len) for r in got.orderBy("packet_id").collect()] == [
+        ("run", 7_000_010, 3),
+        ("run", 8_000_020, 5),
+    ]
+    flows = FL.flow_features(got).collect()
+    assert [(r.total_fwd_packets, r.total_bwd_packets, r.flow_duration) for r in flows] == [(1, 1, 1_000_010)]
+    assert CF.capture_damage(spark, str(tmp_path)).isEmpty()
 
 
 def test_bad_capture_is_an_error(spark, tmp_path):
