@@ -27,12 +27,17 @@ from flowweir.session import stage_table
 
 
 def canonical_text(raw: DataFrame, *carry) -> DataFrame:
-    """Raw columns under canonical names, still unchecked numbers."""
+    """Raw columns under canonical names, still unchecked numbers.
+
+    A generator makes the columns: filters on them stay above it, so that each
+    text is parsed once and not again inside the filter.
+    """
     number = lambda c: number_or_null(F.col(f"`{c}`"))
     columns = {f: number(c) for f, c in DIRECT_COLUMNS.items()}
     for feature, (first, second) in SUMMED_COLUMNS.items():
         columns[feature] = number(first) + number(second)
-    return raw.select(*carry, *[columns[f].alias(f) for f in FEATURES])
+    numbers = F.struct(*[columns[f].alias(f) for f in FEATURES])
+    return raw.select(*carry, F.inline(F.array(numbers)))
 
 
 def clean_flow_records(raw: DataFrame, *carry) -> DataFrame:

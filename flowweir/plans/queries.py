@@ -86,7 +86,8 @@ def active_idle(spark, sf_dir):
 
 @query
 def flow_groups(spark, sf_dir):
-    grouped = FL.flow_groups(FL.assign_flows(T.packets(spark, sf_dir)))
+    assigned = stage_table(FL.assign_flows(T.packets(spark, sf_dir)), "assigned")
+    grouped = FL.flow_groups(assigned)
     return PK.packet_listing(grouped).select(
         *FLOW, "packet_id", "packet_index", "forward_ip", "forward_port"
     )
@@ -95,7 +96,8 @@ def flow_groups(spark, sf_dir):
 @query
 def packet_details(spark, sf_dir):
     """Packets of the first ten eligible flows of each capture."""
-    assigned = FL.assign_flows(T.packets(spark, sf_dir))
+    # Three uses: features, forward side, listing.
+    assigned = stage_table(FL.assign_flows(T.packets(spark, sf_dir)), "assigned")
     flows = FL.features_from_aggregates(FL.flow_aggregates(assigned))
     numbered = FL.with_flow_seq(FL.eligible_flows(flows))
     shown = numbered.filter(F.col("flow_seq") <= 10).select(*FLOW, "flow_seq")
