@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowweir.functions.columns import floor_div, safe_divide
-from flowweir.functions.ordered import with_rank
+from flowweir.functions.ordered import ordered_blocks, with_rank
 from flowweir.operators.packets import flow_keys, packet_measures
 from flowweir.schema import ACTIVITY_GAP_US, FEATURES, FLOW, FLOW_TIMEOUT_US, KEY
 from flowweir.session import stage_table
@@ -99,8 +99,8 @@ def _starts_by_doubling(keyed: DataFrame, buckets: DataFrame, timeout_us: int) -
 
     Each time points to the first time more than ``timeout_us`` later, which
     lies in the next bucket or is the first time of the one after it, so the
-    pointers come from a window over (key, bucket): bounded by the distinct
-    microseconds of one bucket. The chain from the segment's first time is then
+    pointers come from a walk over (key, bucket), in range blocks that carry the
+    last target on: a flooded key is no single task's work. The chain from the segment's first time is then
     marked in log2(chain length) joins on (key, time), each written out.
     """
     in_segment = Window.partitionBy(*SEGMENT).orderBy("bucket")
@@ -128,14 +128,31 @@ def _starts_by_doubling(keyed: DataFrame, buckets: DataFrame, timeout_us: int) -
     )
     # Walking down in time, the last target seen is the nearest later one; a
     # target at exactly the timeout comes after its source and is not seen.
-    downward = (
-        Window.partitionBy(*SEGMENT, "slot")
-        .orderBy(F.desc("at_us"), F.asc("is_target"))
+    walk = ordered_blocks(
+        sources.unionByName(targets),
+        [*SEGMENT, "slot"],
+        [F.desc("at_us"), F.asc("is_target")],
+        "walk",
+    )
+    slot = [*SEGMENT, "slot"]
+    inside = (
+        Window.partitionBy(*slot, "_block")
+        .orderBy("_position")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    # A hot slot spreads over many blocks; each takes over the last target before it.
+    seen = F.when(F.col("target_us").isNotNull(), F.col("_position"))
+    ends = walk.groupBy(*slot, "_block").agg(F.max_by("target_us", seen).alias("_last"))
+    earlier = (
+        Window.partitionBy(*slot).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    carried = ends.select(
+        *slot, "_block", F.last("_last", ignorenulls=True).over(earlier).alias("_carried")
+    )
+    near = F.coalesce(F.last("target_us", ignorenulls=True).over(inside), F.col("_carried"))
     jumps = (
-        sources.unionByName(targets)
-        .withColumn("_near", F.last("target_us", ignorenulls=True).over(downward))
+        walk.join(carried, [*slot, "_block"])
+        .withColumn("_near", near)
         .filter(F.col("is_target") == 0)
         .select(
             *SEGMENT, "node_us", F.coalesce(F.col("_near"), F.col("_skip_us")).alias("next_us")

@@ -170,6 +170,23 @@ def test_assignment_equals_sequential_rule_with_a_hot_key(packets, fold_limit):
         assert all(r.flow_start_us == expected[r.ts_us] for r in members)
 
 
+def test_a_flooded_slot_spreads_over_blocks(spark, packets):
+    # 3,000 times of one key in three slots; small partitions that are not merged.
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions",)}
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rng = random.Random(3)
+        rows = [packet(i, rng.random() * 360) for i in range(3000)]
+        got = FL.assign_flows(packets(rows), fold_limit=0).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before["spark.sql.shuffle.partitions"])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    expected = greedy([r.ts_us for r in got], 120_000_000)
+    assert len(got) == 3000
+    assert all(r.flow_start_us == expected[r.ts_us] for r in got)
+
+
 def test_flow_numbers_follow_first_seen_order(packets):
     rows = [
         packet(0, 10, src="10.0.0.9", dst="10.0.0.1"),
