@@ -9,7 +9,7 @@ from flowweir.llm.text import full_text, let, words
 
 # Fixed values of the rules.
 SYMBOLS = "#*$%&|<>"
-SENTENCE_END = r"""[.!?…。！？]["'”’»)\]]*[\x20\x09-\x0D]*$"""
+SENTENCE_END = r"""[.!?…。！？]["'”’»)\]]*([\x20\x09-\x0D]|$)"""
 SEPARATORS = r"[|»›•·→]"
 BOILERPLATE = (
     "all rights reserved|cookie policy|privacy policy|terms of (use|service)|"
@@ -67,8 +67,8 @@ def _repeated_words(tokens: Column) -> Column:
 def line_fails(line: Column) -> Column:
     """Whether a line with a word breaks the punctuation, navigation or boilerplate rule.
 
-    Punctuation: it has no sentence end, or more symbols and exclamation marks
-    than a tenth of its characters. Navigation: two or more separators.
+    Punctuation: no sentence ends in it, or it has more symbols and exclamation
+    marks than a tenth of its characters. Navigation: two or more separators.
     Boilerplate: it is one of the known phrases, or has one and under twelve words.
     """
     marks = F.regexp_count(line, F.lit(r"[#*$%&|<>!]"))
