@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Sequence
+from unicodedata import is_normalized
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ class WordIds:
     of a text are those of its space-separated words in a row. It also parts
     letters and digits from the marks in ``TAIL``, and lower-cases; so words
     share the ids of their part before such marks, for plain ASCII in lower case.
+    This is for tokenizers of that kind: byte-level pairs with word ends.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -38,6 +40,10 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        # Byte-level alphabet: printable Latin-1 stands for itself, the rest follows 255.
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: 256 + n for n, b in enumerate(hidden)}
         self.words: dict[bytes, bytes] = {}
         self.cores: dict[bytes, bytes] = {}
 
@@ -51,6 +57,21 @@ class WordIds:
             return core, plain[len(core) :]
         return plain, b""
 
+    def encode(self, words: list[str]) -> list[list[int]]:
+        """Ids of words that normalisation and splitting leave as they are.
+
+        That holds for letters only, in lower case and composed form; they go to
+        the merges directly, which is three times as fast.
+        """
+        merge, alphabet = self.tokenizer.model.tokenize, self.alphabet
+        return [
+            [t.id for t in merge(w.encode().decode("latin-1").translate(alphabet))] for w in words
+        ]
+
+    @staticmethod
+    def is_plain(word: str) -> bool:
+        return word.isalpha() and word == word.lower() and is_normalized("NFC", word)
+
     def learn(self, texts: list[list[bytes]]) -> None:
         from array import array
 
@@ -62,13 +83,12 @@ class WordIds:
             self.cores.clear()
         parts = {word: self.parts(word) for word in new}
         wanted = {p for pair in parts.values() for p in pair if p}.difference(self.cores)
-        fresh = list(wanted)
-        for at in range(0, len(fresh), 10_000):
-            block = fresh[at : at + 10_000]
-            found = self.tokenizer.encode_batch_fast(
-                [w.decode() for w in block], add_special_tokens=False
-            )
-            self.cores.update(zip(block, (array("I", f.ids).tobytes() for f in found)))
+        fresh = [w.decode() for w in wanted]
+        plain = [w for w in fresh if self.is_plain(w)]
+        other = [w for w in fresh if not self.is_plain(w)]
+        found = self.tokenizer.encode_batch_fast(other, add_special_tokens=False)
+        for words, ids in ((plain, self.encode(plain)), (other, (f.ids for f in found))):
+            self.cores.update((w.encode(), array("I", i).tobytes()) for w, i in zip(words, ids))
         cores = self.cores
         cores[b""] = b""
         self.words.update((w, cores[core] + cores[tail]) for w, (core, tail) in parts.items())
