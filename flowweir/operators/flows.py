@@ -432,3 +432,19 @@ def export_rows(flows: DataFrame) -> DataFrame:
         *FEATURES,
         F.lit("").alias("label"),
     )
+
+
+def export_flow_file(packets: DataFrame, flows: DataFrame, path: str) -> DataFrame:
+    """Write the flow file as CSV; one row with packets, seconds and flows.
+
+    The flows are counted in the file that was written.
+    """
+    spark = packets.sparkSession
+    export_rows(flows).write.mode("overwrite").option("header", True).csv(path)
+    written = spark.read.option("header", True).csv(path).agg(F.count(F.lit(1)).alias("flows"))
+    seen = packets.agg(
+        F.count(F.lit(1)).alias("packets"),
+        ((F.max("ts_us") - F.min("ts_us")) / F.lit(1e6)).alias("seconds"),
+    )
+    one = F.lit(1).alias("one")
+    return seen.select("*", one).join(written.select("*", one), "one").drop("one")

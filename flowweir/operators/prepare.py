@@ -240,6 +240,11 @@ def dataset_profile(df: DataFrame) -> DataFrame:
     )
 
 
+def dataset_head(df: DataFrame, order: str, rows: int = 5) -> DataFrame:
+    """First rows of a dataset, as a profile shows them."""
+    return first_rows(df, order, rows)
+
+
 def reproduction_diff(regenerated: DataFrame, frozen: DataFrame, key: str) -> DataFrame:
     """Keyed comparison of two builds of the labelled table, one summary row."""
     mine = regenerated.select(key, *[F.col(c).alias(f"_l_{c}") for c in [*FEATURES, "label"]])

@@ -177,6 +177,11 @@ def _tier(missed: DataFrame, found: DataFrame, trees: int, disagreements: int, b
     return _nearest(candidates)
 
 
+def tiers(trees: int) -> list[int]:
+    """Disagreements allowed per tier: few at first, under long bands that few rows share."""
+    return sorted({0, *[2**i for i in range(trees.bit_length()) if 2**i < trees - 1], trees - 1})
+
+
 def leaf_proximity(rows: DataFrame, trees: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Closest detected row of the same family for every missed row.
 
@@ -205,7 +210,7 @@ def leaf_proximity(rows: DataFrame, trees: int, block_rows: int = BLOCK_ROWS) ->
     missed = stage_table(missed_rows.select(*_VECTOR).distinct(), "missed")
     settled = None
     waiting = missed
-    for disagreements in sorted({0, trees // 4, trees // 2, trees - 1}):
+    for disagreements in tiers(trees):
         found_now = stage_table(
             _tier(waiting, found, trees, disagreements, block_rows).filter(
                 F.col("matches") >= trees - disagreements

@@ -945,3 +945,11 @@ SQL["packets_to_verdict"] = _with(
     FROM packets p LEFT JOIN (SELECT capture_id, count(*) AS n FROM flows GROUP BY 1) f ON p.capture_id = f.capture_id
     GROUP BY p.capture_id""",
 )
+SQL["export_flow_file"] = _with(
+    FLOWED,
+    """SELECT (SELECT count(*) FROM packets) AS packets, (SELECT (max(ts_us) - min(ts_us)) / 1e6 FROM packets) AS seconds,
+      (SELECT count(*) FROM flows) AS flows""",
+)
+SQL["label_window_log"] = SQL["label_window_rows"]
+SQL["scenario_summary_file"] = SQL["scenario_overall"]
+SQL["dataset_head"] = _with(SCORED, f"SELECT row_key, {F20} FROM scored ORDER BY row_key LIMIT 5")

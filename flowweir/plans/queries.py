@@ -134,6 +134,13 @@ def export_flows(spark, sf_dir):
     return FL.export_rows(_flows(spark, sf_dir))
 
 
+@query
+def export_flow_file(spark, sf_dir):
+    packets = T.packets(spark, sf_dir)
+    path = stage_path(spark, "flow-file") + ".csv"
+    return FL.export_flow_file(packets, FL.flow_features(packets), path)
+
+
 @query
 def capture_features(spark, sf_dir):
     return CP.capture_features(T.packets(spark, sf_dir))
@@ -149,6 +156,17 @@ def label_window_rows(spark, sf_dir):
     return CT.label_window_rows(T.label_windows(spark, sf_dir))
 
 
+@query
+def label_window_log(spark, sf_dir):
+    """Label windows appended to their log capture by capture, then read back."""
+    windows = stage_table(CT.label_window_rows(T.label_windows(spark, sf_dir)), "windows")
+    path = stage_path(spark, "window-log")
+    odd = F.expr("cast(substring(pcap, 5, 1) AS int) % 2 = 1")
+    TB.append_rows(windows.filter(~odd), path)
+    TB.append_rows(windows.filter(odd), path)
+    return spark.read.schema(windows.schema).parquet(path)
+
+
 @query
 def label_flows_by_window(spark, sf_dir):
     windows = CT.label_window_rows(T.label_windows(spark, sf_dir))
@@ -316,6 +334,12 @@ def dataset_profile(spark, sf_dir):
     return PR.dataset_profile(T.mixed_records(spark, sf_dir))
 
 
+@query
+def dataset_head(spark, sf_dir):
+    """The first rows of a profile."""
+    return PR.dataset_head(T.scored_flows(spark, sf_dir).select("row_key", *FEATURES), "row_key")
+
+
 @query
 def safe_numbers(spark, sf_dir):
     raw = T.raw_flow_records(spark, sf_dir)
@@ -515,6 +539,15 @@ def scenario_overall(spark, sf_dir):
     return MT.binary_metrics(_scenario_flows(spark, sf_dir))
 
 
+@query
+def scenario_summary_file(spark, sf_dir):
+    """The overall metrics written as JSON and read back."""
+    metrics = MT.binary_metrics(_scenario_flows(spark, sf_dir))
+    path = stage_path(spark, "summary")
+    TB.write_report(metrics, path)
+    return spark.read.schema(metrics.schema).json(path)
+
+
 @query
 def labelled_prediction_metrics(spark, sf_dir):
     """A label file and the scores of nearly all flows, joined by flow id."""
