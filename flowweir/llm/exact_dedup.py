@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowweir.llm.text import ascii_lower, frozen_rows, full_text, shared_table
+from flowweir.llm.text import ascii_lower, full_text, numbered_rows, shared_table, shared_write
 from flowweir.session import stage_path
 
 STATE_STORE = {
@@ -126,12 +126,12 @@ def exact_dedup(
     wanted = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys(columns)])
     kind = dict(wanted.dtypes)[id_col]
     folded = ascii_lower(full_text(f"`{text_col}`"))
-    rows = frozen_rows(
-        wanted, "dedup-rows", digest=digest(folded), n_bytes=F.octet_length(folded)
-    )
+    numbered = numbered_rows(wanted, digest=digest(folded), n_bytes=F.octet_length(folded))
+    source = shared_write(numbered, "dedup-rows")
+    rows = spark.read.schema(numbered.schema).parquet(source)
     ident = F.col(f"doc.`{id_col}`")
     checkpoint = stage_path(spark, "dedup-state")
-    _run_stream(rows, rows.inputFiles()[0].rsplit("/", 1)[0], checkpoint, ident, kind)
+    _run_stream(rows, source, checkpoint, ident, kind)
 
     decided = rows.join(_state(spark, checkpoint), ["digest", "n_bytes"]).select(
         "row",

@@ -61,15 +61,19 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(shared_write(df, name))
 
 
-def frozen_rows(docs: DataFrame, name: str, **derived: Column) -> DataFrame:
+def numbered_rows(docs: DataFrame, **derived: Column) -> DataFrame:
     """Columns ``row`` (a number of its own for each row), ``doc`` and ``derived``.
 
-    The rows are written first, so that the numbers are the same in every pass.
     The given columns go into the struct ``doc``: no name of theirs can clash.
+    The numbers hold for one run; write the rows before they are used twice.
     """
-    packed = docs.select(
+    return docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
         *[e.alias(n) for n, e in derived.items()],
     )
-    return shared_table(packed, name)
+
+
+def frozen_rows(docs: DataFrame, name: str, **derived: Column) -> DataFrame:
+    """``numbered_rows``, written and read back: the same numbers in every pass."""
+    return shared_table(numbered_rows(docs, **derived), name)
