@@ -123,3 +123,13 @@ def shared_runs(texts, n):
         for g in grams:
             seen.setdefault(g, i)
     return found
+
+
+def common_words(a, b):
+    """Length of a longest common subsequence."""
+    line = [0] * (len(b) + 1)
+    for word in a:
+        last = 0
+        for j, other in enumerate(b, 1):
+            last, line[j] = line[j], last + 1 if word == other else max(line[j], line[j - 1])
+    return line[-1]

@@ -554,6 +554,40 @@ def test_passages_cover_every_shared_run(spark):
     assert len(got) < 3 * len(rows)
 
 
+def edited_passage(words, identity, seed):
+    """The words with 1 - identity of them replaced, dropped or doubled, spread evenly."""
+    rng = random.Random(seed)
+    out, edits = list(words), int(len(words) * (1 - identity) + 1e-9)
+    for n in reversed(range(edits)):
+        at = (2 * n + 1) * len(words) // (2 * edits)
+        new = f"new{rng.randrange(10**9)}"
+        out[at : at + 1] = ([new], [new], [out[at], new], [])[rng.randrange(4)]
+    return out
+
+
+def test_passages_with_scattered_edits(spark):
+    rng = random.Random(11)
+    fresh = lambda n: [f"v{rng.randrange(10**7)}" for _ in range(n)]
+    rows, planted = [], []
+    for n, (length, identity) in enumerate(
+        (length, identity) for length in (52, 60, 80, 100) for identity in (0.82, 0.85, 0.9, 0.95)
+        for _ in range(5)
+    ):
+        passage = fresh(length)
+        edited = edited_passage(passage, identity, n)
+        rows.append((2 * n, " ".join(fresh(70) + passage + fresh(70))))
+        rows.append((2 * n + 1, " ".join(fresh(40) + edited + fresh(90))))
+        sides = sorted((len(passage), len(edited)))
+        if sides[0] >= 50 and brute.common_words(passage, edited) >= 0.8 * sides[1]:
+            planted.append((2 * n, 2 * n + 1))
+    got = set()
+    for r in shared_passages(table(spark, rows)).collect():
+        assert r.matches >= 0.8 * max(r.end - r.start, r.other_end - r.other_start)
+        got.add(tuple(sorted((r.doc_id, r.other_id))))
+    assert len(planted) > 60 and got >= set(planted)
+    assert all(a % 2 == 0 and b == a + 1 for a, b in got)
+
+
 # ---- all operators -------------------------------------------------------
 
 
