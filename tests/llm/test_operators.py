@@ -14,7 +14,7 @@ from flowweir.llm.language import identify, train
 from flowweir.llm.licences import scan_licences
 from flowweir.llm.mixing import mix, mix_sizes, mixed_documents
 from flowweir.llm.packing import pack, plan_by_counts
-from flowweir.llm.passages import shared_passages
+from flowweir.llm.passages import _shared_batches, shared_passages
 from flowweir.llm.pii import find_personal_data
 from flowweir.llm.quality import clean_lines
 from flowweir.llm.simhash import simhash_groups
@@ -588,6 +588,33 @@ def test_passages_with_scattered_edits(spark):
     assert all(a % 2 == 0 and b == a + 1 for a, b in got)
 
 
+def test_passage_behind_earlier_excerpts(spark):
+    rng = random.Random(12)
+    fresh = lambda n: [f"v{rng.randrange(10**7)}" for _ in range(n)]
+    rows, expected = [], set()
+    for n in range(0, 60, 6):
+        passage = fresh(60)
+        parts = (passage[:45], passage[15:], passage, passage)
+        rows += [(n + i, " ".join(fresh(30) + p + fresh(30))) for i, p in enumerate(parts)]
+        expected.add((n + 2, n + 3))
+    ordered = table(spark, rows).coalesce(1)
+    got = {tuple(sorted((r.doc_id, r.other_id))) for r in shared_passages(ordered).collect()}
+    assert got >= expected
+
+
+def test_hot_seed_goes_on_across_batches_and_blocks(spark):
+    entries = [(7, i, i % 5) for i in range(70_000)] + [(9, 1, 0), (11, 1, 0), (11, 2, 3), (13, 5, 1)]
+    seeds = spark.createDataFrame(entries, "seed long, row long, at int").coalesce(1)
+    kinds = "seed long, row long, at int, previous long, there int, block int"
+    got = seeds.sortWithinPartitions("seed", "row").mapInArrow(_shared_batches, kinds).collect()
+    assert [(r.seed, r.row, r.previous, r.there) for r in got if r.seed == 7] == [
+        (7, i, i - 1, (i - 1) % 5 if i else -1) for i in range(70_000)
+    ]
+    assert [(r.seed, r.row, r.previous, r.there) for r in got if r.seed != 7] == [
+        (11, 1, -1, -1), (11, 2, 1, 0), (13, 5, -1, -1)
+    ]
+
+
 # ---- all operators -------------------------------------------------------
 
 
