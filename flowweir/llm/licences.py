@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowweir.llm.text import full_text, let
+from flowweir.llm.text import full_text
 
 # Sentences of public licence texts and notices, normalised (lower case,
 # letters and digits only, single spaces).
@@ -131,22 +131,34 @@ RULES = (
 # A rule that is the beginning of a longer one stands only where the longer one fails.
 LONGER = {"BSD-2-Clause": "BSD-3-Clause"}
 
-SENTENCE_END = r"[.!?;:]+(?:[\x20\x09-\x0D]+|$)|\n+"
+# Sentences end where the split of the SQL ends them; a line without letters and digits ends
+# a paragraph. Upper-case letters mark both ends: none is left in a lower-case text.
+PARAGRAPH_END = r"\n[^a-z0-9]*\n"
+SENTENCE_END = r"[.!?;:]+(?:[\x20\x09-\x0D]+|$)|\n"
 
 
-def normalised_sentences(text: Column) -> Column:
-    """Sentences in lower case, runs of other than a-z and 0-9 as single spaces."""
-    return F.transform(
-        F.split(text, SENTENCE_END),
-        lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")),
+def _marked(text: Column) -> Column:
+    """Words of a-z and 0-9 in lower case, with P and S for paragraph and sentence ends."""
+    paragraphs = F.regexp_replace(F.lower(text), PARAGRAPH_END, "P")
+    return F.regexp_replace(
+        F.regexp_replace(paragraphs, SENTENCE_END, "S"), "[^a-z0-9PS]+", " "
     )
 
 
-def _identifiers(sentences: Column) -> Column:
+def _identifiers(text: Column) -> Column:
+    """Identifiers of the known sentences in the order of the text.
+
+    A known sentence begins and ends at sentence or line ends and may run over
+    such ends, but not over a paragraph end: licence texts are wrapped, and have
+    colons and points inside their sentences. The longest one at a place counts.
+    """
     known = [(s, name) for name, forms in SENTENCES.items() for s in forms]
     named = F.create_map(*[F.lit(x) for pair in known for x in pair])
-    hits = F.filter(sentences, lambda s: s.isin([s for s, _ in known]))
-    return F.transform(hits, lambda s: F.element_at(named, s))
+    forms = sorted((s for s, _ in known), key=len, reverse=True)
+    any_form = "|".join(s.replace(" ", "[ S]+") for s in forms)
+    pattern = f"(?:^|(?<=[PS])) ?({any_form})(?= ?(?:[PS]|$))"
+    hits = F.regexp_extract_all(_marked(text), F.lit(pattern), 1)
+    return F.transform(hits, lambda s: F.element_at(named, F.regexp_replace(s, "[ S]+", " ")))
 
 
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,9 +170,7 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     than id and text are ignored, so none can clash.
     """
     read = docs.select(F.col(f"`{id_col}`").alias("doc_id"), full_text(f"`{text_col}`").alias("text"))
-    sequenced = read.select(
-        "doc_id", let(normalised_sentences(F.col("text")), _identifiers).alias("sentence_ids")
-    )
+    sequenced = read.select("doc_id", _identifiers(F.col("text")).alias("sentence_ids"))
     line = F.concat(F.lit(","), F.array_join("sentence_ids", ","), F.lit(","))
     holds: dict[str, Column] = {}
     for licence, rule in RULES:

@@ -509,6 +509,76 @@ def test_licence_rules(spark):
     }
 
 
+OFFICIAL = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE""",
+    "Apache-2.0": """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+     http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.""",
+    "GPL-3.0": """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this file""",
+}
+OFFICIAL["BSD-3-Clause"] = OFFICIAL["BSD-2-Clause"] + """
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+
+
+def test_licences_of_official_texts(spark):
+    spdx = {"MIT": "MIT", "Apache-2.0": "Apache-2.0", "GPL-3.0": "GPL-3.0-or-later"}
+    spdx |= {"GPL-2.0": "GPL-2.0-only"}
+    rows = [(f"w {name}", text) for name, text in OFFICIAL.items()]
+    rows += [(f"s {name}", f"// SPDX-License-Identifier: {i}\nint a;") for name, i in spdx.items()]
+    rows += [("- apart", "Licensed under\n\nthe MIT License of sorts")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r.doc_id: r for r in scan_licences(docs).collect()}
+    for ident, row in got.items():
+        assert row.licences == ([] if ident[0] == "-" else [ident[2:]]), ident
+    assert got["w MIT"].sentence_ids == ["mit-notice", "mit-grant", "mit-condition", "as-is"]
+    assert got["w GPL-3.0"].sentence_ids == ["gpl-grant", "gpl-warranty"]
+    assert len(got["w Apache-2.0"].sentence_ids) == 3
+
+
 # ---- passages ------------------------------------------------------------
 
 
