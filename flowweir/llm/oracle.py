@@ -214,3 +214,63 @@ FROM lines
 
 
 SQL["op3_licences"] = _licence_sql()
+
+
+# The longest match at a place is found by growing the runs of window places that lie on
+# one diagonal of document and item; a shorter item matches as a whole.
+SQL["op11_decontamination"] = r"""
+WITH texts AS (
+  SELECT doc_id, row_number() OVER () AS row,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+),
+items AS (
+  SELECT item_id, row_number() OVER () AS item, words, least(10, len(words)) AS need
+  FROM (SELECT item_id,
+               regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+        FROM benchmark)
+  WHERE len(words) > 0
+),
+windows AS (
+  SELECT item, item_id, need, i, array_to_string(words[i:i + need - 1], ' ') AS gram
+  FROM (SELECT *, unnest(range(1, len(words) - need + 2)) AS i FROM items)
+),
+places AS (
+  SELECT row, need, p, array_to_string(words[p:p + need - 1], ' ') AS gram
+  FROM (SELECT row, words, need, unnest(range(1, len(words) - need + 2)) AS p
+        FROM texts, (SELECT DISTINCT need FROM items))
+),
+found AS (
+  SELECT row, p, need, item, item_id, i
+  FROM places JOIN windows USING (need, gram)
+),
+covered AS (
+  SELECT row, count(DISTINCT place) AS n
+  FROM (SELECT DISTINCT row, unnest(range(p, p + need)) AS place
+        FROM (SELECT DISTINCT row, p, need FROM found))
+  GROUP BY row
+),
+named AS (
+  SELECT row, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT row, item_id::VARCHAR AS id FROM found) GROUP BY row
+),
+runs AS (
+  SELECT row, min(p) AS p, max(p) - min(p) + any_value(need) AS length
+  FROM (SELECT *, p - row_number() OVER (PARTITION BY row, item, need, p - i ORDER BY p) AS part
+        FROM found)
+  GROUP BY row, item, need, p - i, part
+),
+best AS (
+  SELECT row, max(length) AS longest,
+         min(p - 1) FILTER (length = best_length) AS longest_start
+  FROM (SELECT *, max(length) OVER (PARTITION BY row) AS best_length FROM runs)
+  GROUP BY row
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(covered.n, 0)::BIGINT AS n_hit,
+       coalesce(named.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       covered.n IS NOT NULL AS contaminated, coalesce(longest, 0)::BIGINT AS longest,
+       longest_start::BIGINT AS longest_start
+FROM texts LEFT JOIN covered USING (row) LEFT JOIN named USING (row) LEFT JOIN best USING (row)
+"""

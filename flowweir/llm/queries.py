@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowweir.llm.chat import format_conversations
+from flowweir.llm.decontaminate import find_contamination
 from flowweir.llm.exact_dedup import exact_dedup
 from flowweir.llm.language import identify, train
 from flowweir.llm.licences import scan_licences
@@ -118,3 +119,20 @@ def op3_licences(spark, sf_dir):
 @query
 def op6_substring_dedup(spark, sf_dir):
     return shared_passages(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_decontamination(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_contamination(docs, _table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
+    return found.select(
+        "doc.doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+        "longest",
+        "longest_start",
+    )
