@@ -274,3 +274,88 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(covered.n, 0)::BIGINT AS
        longest_start::BIGINT AS longest_start
 FROM texts LEFT JOIN covered USING (row) LEFT JOIN named USING (row) LEFT JOIN best USING (row)
 """
+
+
+# CRC-32 of the decimal digits, bit by bit with the polynomial of zlib.
+_CRC_STEP = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+_CRC = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, \
+''), lambda d: ascii(d)::BIGINT)), lambda a, d: list_reduce([xor(a, d), 0, 0, 0, 0, 0, 0, 0, 0], \
+lambda c, z: {step}))".format(step=_CRC_STEP)
+
+
+def _leaf_sql(text: str) -> str:
+    value = "coalesce(strlen({0})::VARCHAR || ':' || {0}, '-')"
+    names = ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)
+    return "sha256(" + " || ".join(value.format(n) for n in names) + ")"
+
+
+def _levels_sql(name: str, group: str, levels: int) -> str:
+    """Levels 1 to ``levels`` over ``{name}0(group, i, h)``; a single node stays as it is."""
+    parts = []
+    for k in range(levels):
+        parts.append(f"""
+{name}{k + 1} AS (
+  SELECT {group}, i // 16 AS i, CASE WHEN any_value(n) = 1 THEN any_value(h)
+                                     ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h
+  FROM (SELECT *, count(*) OVER (PARTITION BY {group}) AS n FROM {name}{k})
+  GROUP BY {group}, i // 16
+)""")
+    return ",".join(parts)
+
+
+def _proof_sql(name: str, group: str, levels: int, start: str) -> str:
+    """``{name}path{k}``: of each row the siblings so far, and what its leaf is folded to."""
+    parts = [f"{name}path0 AS (SELECT * FROM {start})"]
+    for k in range(levels):
+        parts.append(f"""
+{name}run{k} AS (
+  SELECT {group}, i // 16 AS p, list(h ORDER BY i) AS run,
+         count(*) OVER (PARTITION BY {group}) = 1 AND count(*) = 1 AS alone
+  FROM {name}{k} GROUP BY {group}, i // 16
+),
+{name}path{k + 1} AS (
+  SELECT a.* REPLACE (
+           a.i // 16 AS i,
+           CASE WHEN alone THEN proof ELSE
+             proof || array_to_string(run[1:a.i % 16] || run[a.i % 16 + 2:], '') END AS proof,
+           CASE WHEN alone THEN folded ELSE
+             sha256(array_to_string(run[1:a.i % 16], '') || folded
+                    || array_to_string(run[a.i % 16 + 2:], '')) END AS folded)
+  FROM {name}path{k} a JOIN {name}run{k} r ON a.{group} = r.{group} AND a.i // 16 = r.p
+)""")
+    return ",".join(parts)
+
+
+# Six levels hold 16,777,216 documents of a source, four hold 65,536 sources.
+SQL["op12_merkle_manifest"] = f"""
+WITH sources AS (
+  SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS s
+  FROM (SELECT DISTINCT source FROM documents)
+),
+hashed AS (
+  SELECT doc_id, source, {_leaf_sql("text")} AS leaf,
+         CASE WHEN xor({_CRC}, 4294967295) % 5 = 0
+              THEN {_leaf_sql(LOWERED.replace("coalesce(text, '')", "text"))}
+              ELSE {_leaf_sql("text")} END AS tampered
+  FROM documents
+),
+leaves AS (
+  SELECT doc_id, s, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+         leaf, tampered
+  FROM hashed h JOIN sources q ON h.source IS NOT DISTINCT FROM q.source
+),
+src0 AS (SELECT s, i, leaf AS h FROM leaves),
+{_levels_sql("src", "s", 6)},
+top0 AS (SELECT 0 AS t, s AS i, h FROM src6),
+{_levels_sql("top", "t", 4)},
+started AS (SELECT doc_id, leaf, s, i, '' AS proof, tampered AS folded FROM leaves),
+{_proof_sql("src", "s", 6, "started")},
+risen AS (
+  SELECT doc_id, leaf, h AS subroot, 0 AS t, p.s AS i, proof, folded
+  FROM srcpath6 p JOIN src6 q ON p.s = q.s
+),
+{_proof_sql("top", "t", 4, "risen")}
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, folded AS folded_root,
+       folded = h AS verified
+FROM toppath4, top4
+"""

@@ -12,13 +12,16 @@ from flowweir.llm.decontaminate import find_contamination
 from flowweir.llm.exact_dedup import exact_dedup
 from flowweir.llm.language import identify, train
 from flowweir.llm.licences import scan_licences
+from flowweir.llm.manifest import build_manifest, multiproofs
 from flowweir.llm.mixing import mix_sizes
 from flowweir.llm.packing import pack
 from flowweir.llm.passages import shared_passages
 from flowweir.llm.pii import KINDS, find_personal_data
 from flowweir.llm.quality import clean_lines
 from flowweir.llm.simhash import simhash_groups
+from flowweir.llm.text import ascii_lower
 from flowweir.llm.vocabularies import vocabulary
+from flowweir.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -136,3 +139,17 @@ def op11_decontamination(spark, sf_dir):
         "longest",
         "longest_start",
     )
+
+
+@query
+def op12_merkle_manifest(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    fifth = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    lowered = F.when(fifth, ascii_lower(F.col("text"))).otherwise(F.col("text"))
+    proofs = multiproofs(build_manifest(docs, tampered={"text": lowered}))
+    return proofs.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op13_whitening(spark, sf_dir):
+    return whiten(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
