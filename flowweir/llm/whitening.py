@@ -128,53 +128,50 @@ def bidiagonalise(
     Both sides are reorthogonalised against all earlier vectors. ``scale`` is the
     Frobenius norm. It ends when the ``k`` leading residuals are below ``tolerance`` times
     the largest value, or when the right vectors span the space. When they span an
-    invariant subspace, it goes on with a new vector orthogonal to it, so that
-    repeated singular values are all found.
+    invariant subspace, it goes on with a new vector orthogonal to it, so that repeated
+    singular values are all found, until X maps such a vector to zero.
     """
     size = len(sums)
     draw = np.random.default_rng(size)
     right, images = np.zeros((size, 0)), np.zeros((size, 0))
-    upper = np.zeros((0, 0))
+    # X right = U upper; ``pivots`` are the columns that gave a new left vector.
+    upper, pivots = np.zeros((0, 0)), []
+    values, vectors = np.zeros(0), np.zeros((size, 0))
     negligible = 8 * np.finfo(float).eps * scale
-    new, beta, values, vectors = draw.standard_normal(size), 0.0, np.zeros(0), None
-    new /= np.linalg.norm(new)
-    while True:
-        done = upper.shape[0]
-        expected = np.zeros(done)
-        if done:
+    beta = 0.0
+    while right.shape[1] < size:
+        left = len(pivots)
+        restart = beta <= negligible
+        if restart:
+            rest = _orthogonal(draw.standard_normal(size), right)
+            beta = np.linalg.norm(rest)
+        new = rest / beta
+        expected = np.zeros(left)
+        if not restart:
             expected[-1] = beta
-        extra, square, product = _step(fit, n, sums, right, upper, new, expected)
+        extra, square, product = _step(
+            fit, n, sums, right[:, pivots], upper[:, pivots], new, expected
+        )
         # What w still has of earlier left vectors goes; their products are known.
         product = product - images @ extra
         alpha = np.sqrt(max(square - extra @ extra, 0.0))
-        if alpha <= negligible:
-            # X maps the rest of the space to zero, or w lay in the span of U.
-            column = expected + extra
-            if done:
-                upper_last = np.column_stack([upper, column])
-                _, values, vt = np.linalg.svd(upper_last, full_matrices=False)
-                vectors = np.column_stack([right, new]) @ vt.T
+        if restart and alpha <= negligible:
             break
-        column = np.append(expected + extra, alpha)
-        upper = np.column_stack([np.vstack([upper, np.zeros(done)]), column])
         right = np.column_stack([right, new])
-        images = np.column_stack([images, product / alpha])
-        p, values, vt = np.linalg.svd(upper)
+        upper = np.column_stack([upper, expected + extra])
+        beta = 0.0
+        if alpha > negligible:
+            pivots.append(right.shape[1] - 1)
+            upper = np.vstack([upper, np.eye(1, right.shape[1], pivots[-1]) * alpha])
+            images = np.column_stack([images, product / alpha])
+            rest = _orthogonal(images[:, -1], right)
+            beta = np.linalg.norm(rest)
+        p, values, vt = np.linalg.svd(upper, full_matrices=False)
         vectors = right @ vt.T
-        rest = _orthogonal(images[:, -1], right)
-        beta = np.linalg.norm(rest)
-        done += 1
-        if done == size or done == n:
-            break
-        if beta <= negligible:
-            rest, beta = _orthogonal(draw.standard_normal(size), right), 0.0
-            new = rest / np.linalg.norm(rest)
-            continue
         residuals = beta * np.abs(p[-1, :k])
-        if done >= k and residuals.max() <= tolerance * values[0]:
+        if beta > negligible and len(pivots) >= k and residuals.max() <= tolerance * values[0]:
             break
-        new = rest / beta
-    return values[:k], None if vectors is None else vectors[:, :k], upper.shape[0]
+    return values[:k], vectors[:, :k], right.shape[1]
 
 
 def fit_whitening(vectors: DataFrame, k: int = 4, tolerance: float = TOLERANCE) -> Whitening:
