@@ -22,15 +22,42 @@ CACHED_WORDS = 600_000
 TAIL = b".,!?;:$&%#*|"
 
 
-class WordIds:
-    """Ids of words, kept for the life of a Python worker and of bounded size.
+# The steps of a tokenizer that can be asked word by word.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def goes_by_words(tokenizer_json: str) -> bool:
+    """Whether a text's ids are those of its space-separated words in a row.
 
-    The tokenizer drops white space and never joins tokens across it, so the ids
-    of a text are those of its space-separated words in a row. It also parts
-    letters and digits from the marks in ``TAIL``, and lower-cases; so words
-    share the ids of their part before such marks, for plain ASCII in lower case.
-    This is for tokenizers of that kind: byte-level pairs with word ends.
+    So it is when white space is dropped, no token spans it, and special tokens are
+    found by their own characters alone.
     """
+    import json
+
+    parts = json.loads(tokenizer_json)
+    normalizer, splitter = parts["normalizer"] or {}, parts["pre_tokenizer"] or {}
+    steps = normalizer.get("normalizers", [])
+    splits = splitter.get("pretokenizers", [])
+    return (
+        [s["type"] for s in steps] == NORMALIZERS
+        and steps[1]["pattern"] == {"Regex": r"\s+"}
+        and steps[1]["content"] == " "
+        and [s["type"] for s in splits] == ["Split", "ByteLevel"]
+        and splits[0]["pattern"] == {"Regex": SPLIT}
+        and (splits[0]["behavior"], splits[0]["invert"]) == ("Removed", True)
+        and not splits[1]["add_prefix_space"]
+        and not splits[1]["use_regex"]
+        and parts["post_processor"] is None
+        and not any(
+            t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] or " " in t["content"]
+            for t in parts["added_tokens"]
+        )
+    )
+
+
+class TextIds:
+    """Ids of whole texts, by a tokenizer of any kind."""
 
     def __init__(self, tokenizer_json: str):
         import os
@@ -40,6 +67,25 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        from array import array
+
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", f.ids).tobytes() for f in found]
+
+
+class WordIds(TextIds):
+    """Ids of words, kept for the life of a Python worker and of bounded size.
+
+    For tokenizers that go by words. They also part letters and digits from the marks
+    in ``TAIL``, and lower-case; so words share the ids of their part before such marks,
+    if that is ASCII or stays as it is under normalisation.
+    """
+
+    def __init__(self, tokenizer_json: str):
+        super().__init__(tokenizer_json)
         # Byte-level alphabet: printable Latin-1 stands for itself, the rest follows 255.
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         hidden = [b for b in range(256) if b not in shown]
@@ -47,14 +93,17 @@ class WordIds:
         self.words: dict[bytes, bytes] = {}
         self.cores: dict[bytes, bytes] = {}
 
-    @staticmethod
-    def parts(word: bytes) -> tuple[bytes, bytes]:
+    @classmethod
+    def parts(cls, word: bytes) -> tuple[bytes, bytes]:
         """The word as a core and a tail of marks that is tokenized on its own."""
         # A control string counts in its own letter case only.
         plain = word.lower() if word.isascii() and b"<|" not in word else word
         core = plain.rstrip(TAIL)
-        if core and len(core) < len(plain) and core.decode()[-1].isalnum():
-            return core, plain[len(core) :]
+        if core and len(core) < len(plain):
+            text = core.decode()
+            # Lower-casing and composing can end a word in a mark, which joins the tail.
+            if text[-1].isalnum() if core.isascii() else cls.is_plain(text):
+                return core, plain[len(core) :]
         return plain, b""
 
     def encode(self, words: list[str]) -> list[list[int]]:
@@ -93,15 +142,22 @@ class WordIds:
         cores[b""] = b""
         self.words.update((w, cores[core] + cores[tail]) for w, (core, tail) in parts.items())
 
+    def ids(self, texts: list[str]) -> list[bytes]:
+        # Bytes split at ASCII white space only, which the tokenizer drops too.
+        group = [t.encode().split() for t in texts]
+        self.learn(group)
+        return [b"".join(map(self.words.__getitem__, found)) for found in group]
+
 
-_KNOWN: dict[str, WordIds] = {}
+_KNOWN: dict[str, TextIds] = {}
 
 
-def word_ids(tokenizer_json: str) -> WordIds:
+def known_ids(tokenizer_json: str) -> TextIds:
     """The worker's ids for this tokenizer; one tokenizer at a time is kept."""
     if tokenizer_json not in _KNOWN:
         _KNOWN.clear()
-        _KNOWN[tokenizer_json] = WordIds(tokenizer_json)
+        kind = WordIds if goes_by_words(tokenizer_json) else TextIds
+        _KNOWN[tokenizer_json] = kind(tokenizer_json)
     return _KNOWN[tokenizer_json]
 
 
@@ -115,20 +171,17 @@ def _piece_batches(tokenizer_json: str, capacity: int, end_id: int, with_ids: bo
         import pyarrow as pa
 
         # Imported here, so that tasks of one worker share what it has learned.
-        from flowweir.llm.packing import word_ids
+        from flowweir.llm.packing import known_ids
 
-        known = word_ids(tokenizer_json)
+        known = known_ids(tokenizer_json)
         end = np.array([end_id], "<u4").tobytes()
 
         for batch in batches:
             texts = batch.column(1).to_pylist()
             owner, piece, start, length, checksum, tokens = [], [], [], [], [], []
             for base in range(0, len(texts), 256):
-                # Bytes split at ASCII white space only, which the tokenizer drops too.
-                group = [t.encode().split() for t in texts[base : base + 256]]
-                known.learn(group)
-                for at, found in enumerate(group, base):
-                    ids = b"".join([*map(known.words.__getitem__, found), end])
+                for at, found in enumerate(known.ids(texts[base : base + 256]), base):
+                    ids = found + end
                     for number, first in enumerate(range(0, len(ids), 4 * capacity)):
                         cut = ids[first : first + 4 * capacity]
                         owner.append(at)

@@ -13,7 +13,7 @@ from flowweir.llm.exact_dedup import exact_dedup
 from flowweir.llm.language import identify, train
 from flowweir.llm.licences import scan_licences
 from flowweir.llm.mixing import mix, mix_sizes, mixed_documents
-from flowweir.llm.packing import pack, plan_by_counts
+from flowweir.llm.packing import WordIds, known_ids, pack, plan_by_counts
 from flowweir.llm.passages import _shared_batches, shared_passages
 from flowweir.llm.pii import find_personal_data
 from flowweir.llm.quality import clean_lines
@@ -353,6 +353,33 @@ def test_packing_round_trip(spark, edges):
     check_places([(r.length, r.sequence_id, r.offset) for r in got], 4096)
 
 
+def test_ids_of_words_whose_last_character_changes():
+    """Composing and lower-casing can end a word in a mark, which then joins the tail."""
+    from unicodedata import normalize
+
+    known = known_ids(vocabulary("word_bpe_49k.json"))
+    assert isinstance(known, WordIds)
+    every = [chr(c) for c in range(0x21, 0x110000) if not 0xD800 <= c < 0xE000]
+    changed = [c for c in every if normalize("NFC", c).lower() != c]
+    chosen = changed + every[::211]
+    texts = [form.format(c) for c in chosen for form in ("{}", "a{},", "é{}!", "{}.", "{};a")]
+    texts += ["ALİ,", "GELDİ.", "SAATİ!", "ISTANBULİ?", "x" + "İ" * 3 + "|*", "\u0301,", "a\u0301."]
+    want = known.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    for text, ids, found in zip(texts, known.ids(texts), want):
+        assert list(memoryview(ids).cast("I")) == found.ids, ascii(text)
+
+
+def test_packing_with_a_tokenizer_that_keeps_white_space(spark):
+    from tokenizers import Tokenizer
+
+    text = vocabulary("byte_bpe_50k.json")
+    assert not isinstance(known_ids(text), WordIds)
+    tokenizer = Tokenizer.from_str(text)
+    rows = [(1, "Two  words, and\n\n lines "), (2, None), (3, " é"), (4, "<|endoftext|> x")]
+    for r in pack(table(spark, rows), text, with_ids=True).collect():
+        assert r.ids == [*tokenizer.encode(dict(rows)[r.id] or "", add_special_tokens=False).ids, 1]
+
+
 def check_places(places, capacity):
     ends = {}
     for length, sequence, offset in sorted(places, key=lambda p: (p[1], p[2])):
