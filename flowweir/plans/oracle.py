@@ -257,6 +257,8 @@ SQL["pcap_ingest"] = _with(
       CASE WHEN src_ip IS NOT NULL THEN payload_len END AS payload_len, frame_len FROM packets""",
 )
 
+SQL["pcap_stream"] = SQL["pcap_ingest"]
+
 MEASURED = """
 measured AS (
   SELECT *, x * 10 AS dur, q * (x % 1500) AS fl, bw * ((k * 7) % 1460) AS bl FROM (

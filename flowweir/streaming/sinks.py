@@ -1,11 +1,10 @@
-"""Stream runs to completion, and the detection log sink."""
+"""Packet streams, stream runs to completion, and the detection log sink."""
 
 from __future__ import annotations
 
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from flowweir.schema import PACKET_SCHEMA
 from flowweir.session import stage_path
@@ -28,39 +27,6 @@ def rocksdb_state(spark: SparkSession):
             spark.conf.set(STATE_STORE, before)
 
 
-def end_marker(spark: SparkSession, ts_us: int) -> DataFrame:
-    """One packet of its own key that moves the watermark past all others.
-
-    Written after the last input file, with a time beyond every timeout and
-    window. Its own flow and window stay open, so it never shows in a result.
-    """
-    marker = ("end of input", -1, ts_us, "0.0.0.0", "0.0.0.0", 17, 5, 0, 0, None, None, 0, 42)
-    return spark.createDataFrame([marker], PACKET_SCHEMA)
-
-
-def arrival_files(packets: DataFrame, folder: str, batches: int, jitter_us: int, close_us: int) -> int:
-    """Write packets in the order of a delayed arrival, then the end marker.
-
-    Each packet is late by a hash of its id, up to ``jitter_us``. Returns the
-    number of files of one batch, for ``maxFilesPerTrigger``.
-    """
-    spark = packets.sparkSession
-    late = F.pmod(F.xxhash64("packet_id"), F.lit(jitter_us))
-    arriving = packets.withColumn("_at", F.col("ts_us") + late)
-    first, last, end = arriving.agg(F.min("_at"), F.max("_at"), F.max("ts_us")).first()
-    if first is None:
-        packets.write.parquet(folder)
-        return 1
-    width = (last - first) // batches + 1
-    for n in range(batches):
-        low = first + n * width
-        part = arriving.filter((F.col("_at") >= low) & (F.col("_at") < low + width))
-        part.drop("_at").write.mode("append").parquet(folder)
-    files = len(spark.read.schema(PACKET_SCHEMA).parquet(folder).inputFiles())
-    end_marker(spark, end + close_us).coalesce(1).write.mode("append").parquet(folder)
-    return -(-files // batches)
-
-
 def packet_stream(spark: SparkSession, path: str, **options) -> DataFrame:
     """Packet rows from a folder of Parquet files."""
     reader = spark.readStream.schema(PACKET_SCHEMA)

@@ -152,8 +152,8 @@ def track_flows(
 
     Equals the batch operator for packets not later than ``lateness``; later ones
     are dropped. A flow is emitted when the watermark passes the end of its
-    timeout; an end marker (``streaming.sinks.end_marker``) closes those open at
-    the end of an input. Needs the RocksDB state store, which ``run_available``
+    timeout; a packet of its own key with a later time closes those open at the
+    end of an input. Needs the RocksDB state store, which ``run_available``
     sets for its query.
     """
     measured = packet_measures(flow_keys(with_event_time(packets)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowweir.operators import flows as FL
 from flowweir.operators import scoring as SC
 from flowweir.schema import FEATURES, FLOW
+from flowweir.plans import inputs as IN
 from flowweir.sources import captures as CF
 from flowweir.streaming import sinks as SK
 from flowweir.streaming import tracker as TK
@@ -28,11 +29,12 @@ def traffic():
     return rows
 
 
-def test_capture_file_round_trip(spark, packets, traffic):
-    tcp_udp = [r for r in traffic]
-    df = packets(tcp_udp)
-    back = CF.decode_captures(CF.encode_captures(df.coalesce(1)), "name")
-    drop = ["capture_id", "frame_len"]
+@pytest.mark.parametrize("split_bytes", [1 << 20, 1000, 300])
+def test_capture_file_round_trip(spark, packets, traffic, tmp_path, split_bytes):
+    df = packets(traffic)
+    IN.write_captures(df.coalesce(1), str(tmp_path))
+    back = CF.read_captures(spark, str(tmp_path), split_bytes=split_bytes)
+    drop = ["capture_id", "frame_len", "packet_id"]
     assert back.drop(*drop).exceptAll(df.drop(*drop)).count() == 0
     assert back.count() == len(traffic)
 
@@ -99,7 +101,7 @@ def test_bad_capture_is_an_error(spark, tmp_path):
 def _tracked(spark, batches, folder):
     for rows in batches:
         rows.coalesce(1).write.mode("append").parquet(folder)
-    SK.end_marker(spark, 10**10).coalesce(1).write.mode("append").parquet(folder)
+    IN.end_marker(spark, 10**10).coalesce(1).write.mode("append").parquet(folder)
     stream = SK.packet_stream(spark, folder, maxFilesPerTrigger=1)
     return SK.run_available(TK.track_flows(stream), "tracked")
 
