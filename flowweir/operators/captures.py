@@ -85,13 +85,15 @@ def capture_features(packets: DataFrame) -> DataFrame:
     return features_of_capture(grouped, ["capture_id"])
 
 
-def capture_verdict(captures: DataFrame, scores: DataFrame, order: str = "flow_seq") -> DataFrame:
+def capture_verdict(
+    captures: DataFrame, scores: DataFrame, order: str = "flow_seq", keys=("capture_id",)
+) -> DataFrame:
     """Roll flow scores up to one verdict per capture.
 
     The flow with the highest attack probability, the first in ``order`` on a
     tie, gives confidence and risk; one attack flow makes the capture an attack;
     a capture without flows is LOW. The flows themselves stay in ``scores``
-    (join on capture_id): a capture has no bound on their number.
+    (join on ``keys``, what names a capture): a capture has no bound on their number.
     """
     risk = F.element_at("probabilities", 2)
     # Largest risk first, then the smallest order value: negate the risk so that
@@ -99,14 +101,14 @@ def capture_verdict(captures: DataFrame, scores: DataFrame, order: str = "flow_s
     pick = F.min(
         F.struct((-risk).alias("neg"), F.col(order), F.array_max("probabilities").alias("conf"))
     )
-    rolled = scores.groupBy("capture_id").agg(
+    rolled = scores.groupBy(*keys).agg(
         pick.alias("top"), F.max("prediction").alias("any_attack"), F.count(F.lit(1)).alias("n")
     )
-    joined = captures.join(rolled, "capture_id", "left")
+    joined = captures.join(rolled, [*keys], "left")
     prediction = F.coalesce(F.col("any_attack"), F.lit(0)).cast("int")
     confidence = F.coalesce(F.col("top.conf"), F.lit(0.0))
     return joined.select(
-        "capture_id",
+        *keys,
         prediction.alias("prediction"),
         confidence.alias("confidence"),
         F.coalesce(-F.col("top.neg"), F.lit(0.0)).alias("attack_probability"),

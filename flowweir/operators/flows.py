@@ -314,8 +314,8 @@ def flow_aggregates(assigned: DataFrame, gap_us: int = ACTIVITY_GAP_US) -> DataF
     )
 
 
-def features_from_aggregates(flows: DataFrame) -> DataFrame:
-    """The twenty canonical features from per-flow aggregates."""
+def features_from_aggregates(flows: DataFrame, keys=()) -> DataFrame:
+    """The twenty canonical features from per-flow aggregates, with ``keys`` beside the flow's."""
     forward_lo = F.col("forward_is_lo")
 
     def side(forward: bool, what: str):
@@ -367,6 +367,7 @@ def features_from_aggregates(flows: DataFrame) -> DataFrame:
         "bwd_iat_mean": mean_gap("bwd"),
     }
     return sided.select(
+        *keys,
         *FLOW,
         F.col("first_packet_id"),
         F.when(forward_lo, F.col("lo_ip")).otherwise(F.col("hi_ip")).alias("forward_ip"),

@@ -229,6 +229,37 @@ SQL["stream_capture_windows"] = _with(
     PACKETS + f", windowed AS ({_WINDOWED})",
     "SELECT * FROM windowed",
 )
+SQL["batch_window_verdicts"] = _with(
+    KEYED
+    + """,
+win AS (
+  SELECT ts_us // 8000000 AS w, capture_id, count(*) AS packet_count,
+    (max(ts_us) - min(ts_us)) / 1e6 AS duration
+  FROM packets GROUP BY ALL
+),
+judged AS (
+  SELECT *, CAST(risk > 0.5 AS INTEGER) AS attack FROM (
+    SELECT ts_us // 8000000 AS w, capture_id, protocol, lo_ip, lo_port, hi_ip, hi_port,
+      min(packet_id) AS seq,
+      sum(CASE WHEN ip_proto = 6 AND tcp_flags & 2 > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE / count(*) AS risk
+    FROM keyed GROUP BY ALL HAVING count(*) > 1)
+),
+rolled AS (
+  SELECT w, capture_id, max(attack) AS prediction, max(risk) AS attack_probability,
+    arg_min(greatest(risk, 1 - risk), (-risk, seq)) AS confidence, count(*) AS flows
+  FROM judged GROUP BY w, capture_id
+)""",
+    """SELECT w * 8000000 AS window_start_us, (w + 1) * 8000000 AS window_end_us, capture_id,
+      coalesce(prediction, 0) AS prediction, coalesce(confidence, 0.0) AS confidence,
+      coalesce(attack_probability, 0.0) AS attack_probability,
+      CASE WHEN flows IS NULL THEN 'LOW'
+        WHEN prediction = 1 THEN CASE WHEN confidence >= 0.8 THEN 'HIGH' WHEN confidence >= 0.5 THEN 'MEDIUM'
+          ELSE 'SUSPICIOUS' END
+        WHEN confidence < 0.75 THEN 'SUSPICIOUS' ELSE 'LOW' END AS severity,
+      packet_count, duration, coalesce(flows, 0) AS flows
+    FROM win LEFT JOIN rolled USING (w, capture_id)""",
+)
+SQL["stream_window_verdicts"] = SQL["batch_window_verdicts"]
 SQL["stream_flow_tracker"] = _with(
     FLOWED,
     f"SELECT {FLOW_COLUMNS}, {F20} FROM flows",

@@ -33,6 +33,7 @@ from flowweir.sources import tables as TB
 from flowweir.streaming import capture_source as CS
 from flowweir.streaming import sinks as SK
 from flowweir.streaming import tracker as TK
+from flowweir.streaming import verdicts as SV
 from flowweir.streaming import windows as SW
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -251,6 +252,26 @@ def batch_capture_windows(spark, sf_dir):
     return SW.capture_windows(T.packets(spark, sf_dir))
 
 
+def _syn_scores(flows):
+    """Score of a flow by the share of its packets that carry SYN; a model in its place."""
+    risk = F.col("syn_count") / F.col("flow_packets")
+    return flows.select(
+        "*", (risk > 0.5).cast("int").alias("prediction"), F.array(1 - risk, risk).alias("probabilities")
+    )
+
+
+@query
+def stream_window_verdicts(spark, sf_dir):
+    """Packets to flows, scores and one verdict per live window, as a stream."""
+    verdicts = SV.window_verdicts(_packet_stream(spark, sf_dir), _syn_scores)
+    return SK.run_available(verdicts, "verdicts")
+
+
+@query
+def batch_window_verdicts(spark, sf_dir):
+    return SV.window_verdicts(T.packets(spark, sf_dir), _syn_scores)
+
+
 @query
 def stream_flow_tracker(spark, sf_dir):
     return SK.run_available(TK.track_flows(_packet_stream(spark, sf_dir)), "tracked")
