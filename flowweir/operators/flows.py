@@ -2,15 +2,10 @@
 
 A flow starts at a packet and takes every later packet of its key up to the
 timeout, counted from that first packet; the next packet after that starts the
-next flow. The rule is a chain, but three facts keep it parallel:
-
-* cut time into buckets as wide as the timeout and each bucket holds at most one
-  flow start, so a key's packets can be labelled per (key, bucket);
-* a gap longer than the timeout always starts a flow, so a key splits into
-  independent segments, found from the first and last time of each bucket;
-* a segment no longer than the timeout is one flow.
-
-Only segments longer than the timeout need the chain itself.
+next flow. The starts of a key are a chain, found in range blocks (``chains``).
+Time is cut into buckets as wide as the timeout: each holds at most one start, and a
+flow reaches no further than the next one, so packets are labelled by an equi join
+on (key, bucket) that spreads a hot key over its buckets.
 """
 
 from __future__ import annotations
@@ -19,15 +14,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowweir.functions.columns import floor_div, safe_divide
-from flowweir.functions.ordered import ordered_blocks, with_rank
+from flowweir.functions.ordered import with_rank
+from flowweir.operators.chains import chain_starts
 from flowweir.operators.packets import flow_keys, packet_measures
 from flowweir.schema import ACTIVITY_GAP_US, FEATURES, FLOW, FLOW_TIMEOUT_US, KEY
 from flowweir.session import stage_table
 
-# A segment with at most this many packets may hold its times in one array.
-FOLD_LIMIT = 65_536
-
-SEGMENT = [*KEY, "segment_us"]
 BUCKET = [*KEY, "bucket"]
 
 
@@ -35,209 +27,33 @@ def _bucketed(keyed: DataFrame, timeout_us: int) -> DataFrame:
     return keyed.withColumn("bucket", floor_div("ts_us", timeout_us))
 
 
-def segment_buckets(keyed: DataFrame, timeout_us: int) -> DataFrame:
-    """One row per (key, bucket) with its segment's start, end and size.
-
-    The windows run over buckets, at most span / timeout rows per key, however
-    many packets the key has.
-    """
-    buckets = (
-        _bucketed(keyed, timeout_us)
-        .groupBy(*BUCKET)
-        .agg(
-            F.min("ts_us").alias("first_us"),
-            F.max("ts_us").alias("last_us"),
-            F.count(F.lit(1)).alias("packets"),
-        )
-    )
-    by_time = Window.partitionBy(*KEY).orderBy("bucket")
-    gap = F.col("first_us") - F.lag("last_us").over(by_time)
-    opens = F.when(gap.isNull() | (gap > timeout_us), F.col("first_us"))
-    segment = Window.partitionBy(*SEGMENT)
-    return (
-        buckets.withColumn("_opens", opens)
-        .withColumn("segment_us", F.last("_opens", ignorenulls=True).over(by_time))
-        .withColumn("segment_end_us", F.max("last_us").over(segment))
-        .withColumn("segment_packets", F.sum("packets").over(segment))
-        .drop("_opens")
-    )
-
-
-def _times_of(keyed: DataFrame, buckets: DataFrame, timeout_us: int, *extra) -> DataFrame:
-    """Distinct packet times of the given buckets."""
-    wanted = buckets.select(*BUCKET, "segment_us", *extra)
-    return (
-        _bucketed(keyed, timeout_us)
-        .select(*BUCKET, "ts_us")
-        .join(wanted, BUCKET)
-        .select(*SEGMENT, "bucket", "ts_us", *extra)
-        .distinct()
-    )
-
-
-def _starts_by_fold(keyed: DataFrame, buckets: DataFrame, timeout_us: int) -> DataFrame:
-    """Flow starts of segments whose times fit in one bounded array."""
-    times = (
-        _bucketed(keyed, timeout_us)
-        .select(*BUCKET, "ts_us")
-        .join(buckets.select(*BUCKET, "segment_us"), BUCKET)
-        .groupBy(*SEGMENT)
-        .agg(F.sort_array(F.collect_set("ts_us")).alias("times"))
-    )
-    starts = F.aggregate(
-        "times",
-        F.array(F.col("segment_us")),
-        lambda found, t: F.when(
-            t - F.element_at(found, -1) > timeout_us, F.concat(found, F.array(t))
-        ).otherwise(found),
+def bucket_labels(keyed: DataFrame, timeout_us: int) -> DataFrame:
+    """Per (key, bucket): the flow running on entry and the one starting inside."""
+    # Range partitioning samples its input: keep that from being the packets.
+    times = stage_table(keyed.select(*KEY, "ts_us").distinct(), "times")
+    starts = chain_starts(times, KEY, timeout_us).withColumn(
+        "bucket", floor_div("start_us", timeout_us)
     )
-    return times.select(*SEGMENT, F.explode_outer(starts).alias("start_us"))
-
-
-def _starts_by_doubling(keyed: DataFrame, buckets: DataFrame, timeout_us: int) -> DataFrame:
-    """Flow starts of segments of any size, by pointer doubling.
-
-    Each time points to the first time more than ``timeout_us`` later, which
-    lies in the next bucket or is the first time of the one after it, so the
-    pointers come from a walk over (key, bucket), in range blocks that carry the
-    last target on: a flooded key is no single task's work. The chain from the segment's first time is then
-    marked in log2(chain length) joins on (key, time), each written out.
-    """
-    in_segment = Window.partitionBy(*SEGMENT).orderBy("bucket")
-    placed = buckets.withColumn("_skip_us", F.lead("first_us", 2).over(in_segment))
-    times = stage_table(_times_of(keyed, placed, timeout_us, "_skip_us"), "times")
-
     nothing = F.lit(None).cast("long")
-    sources = times.select(
-        *SEGMENT,
-        (F.col("bucket") + 1).alias("slot"),
-        (F.col("ts_us") + timeout_us).alias("at_us"),
-        F.lit(0).alias("is_target"),
-        F.col("ts_us").alias("node_us"),
-        nothing.alias("target_us"),
-        "_skip_us",
-    )
-    targets = times.select(
-        *SEGMENT,
-        F.col("bucket").alias("slot"),
-        F.col("ts_us").alias("at_us"),
-        F.lit(1).alias("is_target"),
-        nothing.alias("node_us"),
-        F.col("ts_us").alias("target_us"),
-        nothing.alias("_skip_us"),
-    )
-    # Walking down in time, the last target seen is the nearest later one; a
-    # target at exactly the timeout comes after its source and is not seen.
-    walk = ordered_blocks(
-        sources.unionByName(targets),
-        [*SEGMENT, "slot"],
-        [F.desc("at_us"), F.asc("is_target")],
-        "walk",
-    )
-    slot = [*SEGMENT, "slot"]
-    inside = (
-        Window.partitionBy(*slot, "_block")
-        .orderBy("_position")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    # A hot slot spreads over many blocks; each takes over the last target before it.
-    seen = F.when(F.col("target_us").isNotNull(), F.col("_position"))
-    ends = walk.groupBy(*slot, "_block").agg(F.max_by("target_us", seen).alias("_last"))
-    earlier = (
-        Window.partitionBy(*slot).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = ends.select(
-        *slot, "_block", F.last("_last", ignorenulls=True).over(earlier).alias("_carried")
-    )
-    near = F.coalesce(F.last("target_us", ignorenulls=True).over(inside), F.col("_carried"))
-    jumps = (
-        walk.join(carried, [*slot, "_block"])
-        .withColumn("_near", near)
-        .filter(F.col("is_target") == 0)
-        .select(
-            *SEGMENT, "node_us", F.coalesce(F.col("_near"), F.col("_skip_us")).alias("next_us")
-        )
-        .filter(F.col("next_us").isNotNull())
+    # A flow ends in the bucket it starts in or in the next one.
+    inner = starts.select(*BUCKET, F.col("start_us").alias("inner_us"), nothing.alias("entry_us"))
+    entry = starts.select(
+        *KEY,
+        (F.col("bucket") + 1).alias("bucket"),
+        nothing.alias("inner_us"),
+        F.col("start_us").alias("entry_us"),
     )
-    roots = buckets.select(*SEGMENT, F.col("segment_us").alias("node_us")).distinct()
-    # Only roots and times that something points to can be on a chain.
-    pointed = jumps.select(*SEGMENT, F.col("next_us").alias("node_us")).distinct()
-    jumps = stage_table(
-        jumps.join(pointed.unionByName(roots).distinct(), [*SEGMENT, "node_us"], "left_semi"),
-        "jumps",
-    )
-    reached = roots
-    longest = buckets.groupBy(*SEGMENT).count().agg(F.max("count")).first()[0] or 1
-    for step in range(int(longest).bit_length()):
-        ahead = reached.join(jumps, [*SEGMENT, "node_us"]).select(
-            *SEGMENT, F.col("next_us").alias("node_us")
-        )
-        reached = stage_table(reached.unionByName(ahead).distinct(), f"reached{step}")
-        hop = jumps.select(
-            *SEGMENT, F.col("node_us").alias("next_us"), F.col("next_us").alias("far_us")
-        )
-        jumps = stage_table(
-            jumps.join(hop, [*SEGMENT, "next_us"]).select(
-                *SEGMENT, "node_us", F.col("far_us").alias("next_us")
-            ),
-            f"jumps{step}",
-        )
-    return reached.select(*SEGMENT, F.col("node_us").alias("start_us"))
-
-
-def chained_starts(
-    keyed: DataFrame, buckets: DataFrame, timeout_us: int, fold_limit: int = FOLD_LIMIT
-) -> DataFrame | None:
-    """Flow starts inside segments longer than the timeout, None without any."""
-    sizes = buckets.filter(F.col("segment_end_us") - F.col("segment_us") > timeout_us)
-    largest = sizes.agg(
-        F.count(F.lit(1)).alias("rows"), F.max("segment_packets").alias("packets")
-    ).first()
-    if not largest["rows"]:
-        return None
-    foldable = F.col("segment_packets") <= fold_limit
-    if largest["packets"] <= fold_limit:
-        return _starts_by_fold(keyed, sizes, timeout_us)
-    return _starts_by_fold(keyed, sizes.filter(foldable), timeout_us).unionByName(
-        _starts_by_doubling(keyed, sizes.filter(~foldable), timeout_us)
-    )
-
-
-def bucket_labels(
-    keyed: DataFrame, buckets: DataFrame, timeout_us: int, fold_limit: int = FOLD_LIMIT
-) -> DataFrame:
-    """Per (key, bucket): the flow running on entry and the one starting inside."""
-    root = F.when(F.col("first_us") == F.col("segment_us"), F.col("segment_us"))
-    rows = buckets.select(*BUCKET, root.alias("inner_us"))
-    starts = chained_starts(keyed, buckets, timeout_us, fold_limit)
-    if starts is not None:
-        rows = rows.unionByName(
-            starts.select(
-                *KEY,
-                floor_div("start_us", timeout_us).alias("bucket"),
-                F.col("start_us").alias("inner_us"),
-            )
-        )
-    before = (
-        Window.partitionBy(*KEY).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    # One shuffle by key serves both steps; a key has few rows here, one or two
-    # per bucket.
     return (
-        rows.repartition(*KEY)
+        inner.unionByName(entry)
         .groupBy(*BUCKET)
-        .agg(F.max("inner_us").alias("inner_us"))
-        .withColumn("entry_us", F.last("inner_us", ignorenulls=True).over(before))
+        .agg(F.max("inner_us").alias("inner_us"), F.max("entry_us").alias("entry_us"))
     )
 
 
-def assign_flows(
-    packets: DataFrame, timeout_us: int = FLOW_TIMEOUT_US, fold_limit: int = FOLD_LIMIT
-) -> DataFrame:
+def assign_flows(packets: DataFrame, timeout_us: int = FLOW_TIMEOUT_US) -> DataFrame:
     """Label every IP packet with its flow key and ``flow_start_us``."""
     keyed = flow_keys(packets)
-    buckets = stage_table(segment_buckets(keyed, timeout_us), "buckets")
-    labels = bucket_labels(keyed, buckets, timeout_us, fold_limit)
+    labels = bucket_labels(keyed, timeout_us)
     inside = F.col("inner_us").isNotNull() & (F.col("ts_us") >= F.col("inner_us"))
     return (
         _bucketed(keyed, timeout_us)
@@ -377,13 +193,10 @@ def features_from_aggregates(flows: DataFrame, keys=()) -> DataFrame:
 
 
 def flow_features(
-    packets: DataFrame,
-    timeout_us: int = FLOW_TIMEOUT_US,
-    gap_us: int = ACTIVITY_GAP_US,
-    fold_limit: int = FOLD_LIMIT,
+    packets: DataFrame, timeout_us: int = FLOW_TIMEOUT_US, gap_us: int = ACTIVITY_GAP_US
 ) -> DataFrame:
     """Packets to one feature row per flow."""
-    assigned = assign_flows(packets, timeout_us, fold_limit)
+    assigned = assign_flows(packets, timeout_us)
     return features_from_aggregates(flow_aggregates(assigned, gap_us))
 
 

@@ -4,6 +4,7 @@ import pytest
 from conftest import packet
 
 from flowweir.operators import flows as FL
+from flowweir.operators.chains import chain_starts
 from flowweir.operators import packets as PK
 from flowweir.schema import FEATURES
 
@@ -91,14 +92,13 @@ BOUNDARY_CASES = [
 ]
 
 
-@pytest.mark.parametrize("fold_limit", [FL.FOLD_LIMIT, 0])
-def test_timeout_boundary(packets, fold_limit):
+def test_timeout_boundary(packets):
     rows = [
         packet(i, t, capture=f"c{case}")
         for case, (times, _) in enumerate(BOUNDARY_CASES)
         for i, t in enumerate(times)
     ]
-    got = FL.flow_features(packets(rows), fold_limit=fold_limit).orderBy("flow_start_us").collect()
+    got = FL.flow_features(packets(rows)).orderBy("flow_start_us").collect()
     for case, (_, expected) in enumerate(BOUNDARY_CASES):
         assert [int(r.flow_packets) for r in got if r.capture_id == f"c{case}"] == expected
 
@@ -143,8 +143,7 @@ def greedy(times, timeout):
     return starts
 
 
-@pytest.mark.parametrize("fold_limit", [FL.FOLD_LIMIT, 50, 0])
-def test_assignment_equals_sequential_rule_with_a_hot_key(packets, fold_limit):
+def test_assignment_equals_sequential_rule_with_a_hot_key(packets):
     rng = random.Random(7)
     rows, i = [], 0
     for key in range(12):
@@ -160,7 +159,7 @@ def test_assignment_equals_sequential_rule_with_a_hot_key(packets, fold_limit):
             rows.append(packet(i, at, payload=rng.randrange(50), **ends))
             i += 1
     rng.shuffle(rows)
-    got = FL.assign_flows(packets(rows), fold_limit=fold_limit).collect()
+    got = FL.assign_flows(packets(rows)).collect()
     assert len(got) == len(rows)
     by_key = {}
     for r in got:
@@ -178,7 +177,7 @@ def test_a_flooded_slot_spreads_over_blocks(spark, packets):
     try:
         rng = random.Random(3)
         rows = [packet(i, rng.random() * 360) for i in range(3000)]
-        got = FL.assign_flows(packets(rows), fold_limit=0).collect()
+        got = FL.assign_flows(packets(rows)).collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before["spark.sql.shuffle.partitions"])
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -187,6 +186,34 @@ def test_a_flooded_slot_spreads_over_blocks(spark, packets):
     assert all(r.flow_start_us == expected[r.ts_us] for r in got)
 
 
+@pytest.mark.parametrize("limit", [7, 40, 1000])
+def test_chains_over_many_blocks_equal_the_plain_rule(spark, limit):
+    rng = random.Random(limit)
+    groups = {("hot", 1): {rng.randrange(20_000) for _ in range(4000)}}
+    # An even beat never falls in with chains that begin elsewhere.
+    groups["beat", 1] = set(range(0, 9000, 3))
+    groups |= {("k", i): {rng.randrange(500) for _ in range(rng.randrange(1, 40))} for i in range(60)}
+    rows = [(*k, t) for k, times in groups.items() for t in times]
+    rng.shuffle(rows)
+    settings = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        times = spark.createDataFrame(rows, "name string, n int, ts_us long")
+        got = chain_starts(times, ["name", "n"], limit).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = [(*k, t) for k, ts in groups.items() for t in set(greedy(ts, limit).values())]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_chains_of_no_times(spark):
+    times = spark.createDataFrame([], "name string, ts_us long")
+    assert chain_starts(times, ["name"], 5).count() == 0
+
+
 def test_flow_numbers_follow_first_seen_order(packets):
     rows = [
         packet(0, 10, src="10.0.0.9", dst="10.0.0.1"),
