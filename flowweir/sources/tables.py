@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from flowweir.functions.columns import as_column
 from flowweir.schema import RAW_COLUMNS
+from flowweir.session import stage_table
 
 
 def load_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -27,49 +28,73 @@ def load_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
         raise
 
 
+def csv_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """Column names of each CSV file of a folder: ``file`` and ``names``, trimmed."""
+    lines = spark.read.text(f"{folder}/*.csv")
+    # The first line of each file is in its first block.
+    opening = lines.filter("_metadata.file_block_start = 0").select(
+        F.col("_metadata.file_path").alias("file"),
+        "value",
+        F.monotonically_increasing_id().alias("at"),
+    )
+    header = F.regexp_replace(F.min_by("value", "at"), "^\ufeff", "")
+    names = F.transform(F.split(header, ","), lambda n: F.btrim(F.btrim(n), F.lit('"')))
+    return opening.groupBy("file").agg(names.alias("names"))
+
+
 def load_raw_flow_directory(spark: SparkSession, path: str, columns=RAW_COLUMNS) -> DataFrame:
     """All raw flow CSVs of a folder as text, only the needed columns.
 
-    Header names are trimmed; the first of a repeated name counts. Files whose
-    header differs from the first one's are refused: columns go by place.
+    Columns go by name, file by file, so files may have other orders and more
+    columns. Header names are trimmed; the first of a repeated name counts. A file
+    without one of the columns is refused. One scan reads all files by place; a table of
+    places per file, which has one narrow row per file, says where each column is.
     """
     folder = path.rstrip("/")
     try:
-        lines = spark.read.text(f"{folder}/*.csv")
+        headers = csv_headers(spark, folder)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
             raise FileNotFoundError(f"no CSV files in {folder}") from error
         raise
-    # The first line of each file is in its first block.
-    opening = lines.filter("_metadata.file_block_start = 0").select(
-        F.col("_metadata.file_path").alias("file"),
-        "value",
-        F.monotonically_increasing_id().alias("at"),
+    places = [F.array_position("names", c) for c in columns]
+    lacking = F.filter(
+        F.array(*[F.lit(c) for c in columns]), lambda c: ~F.array_contains(F.col("names"), c)
+    )
+    located = stage_table(
+        headers.select(
+            "file", F.array(*places).alias("places"), lacking.alias("lacking"), F.size("names").alias("width")
+        ),
+        "headers",
     )
-    headers = opening.groupBy("file").agg(F.min_by("value", "at").alias("header"))
-    spread = headers.agg(F.min("header"), F.max("header")).first()
-    if spread[0] is None:
+    width = located.agg(F.max("width")).first()[0]
+    if width is None:
         raise FileNotFoundError(f"no CSV files in {folder}")
-    low, high = ([n.strip().strip('"') for n in h.lstrip("\ufeff").split(",")] for h in spread)
-    if low != high:
-        raise ValueError(f"headers differ: {low} and {high}")
-    raw_names = low
-    names = [n if n not in raw_names[:i] else f"{n} #{i}" for i, n in enumerate(raw_names)]
-    missing = [c for c in columns if c not in names]
-    if missing:
-        raise ValueError(f"missing columns: {missing}")
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    bad = located.filter(F.size("lacking") > 0).orderBy("file").first()
+    if bad:
+        raise ValueError(f"missing columns in {bad['file']}: {bad['lacking']}")
+    by_place = [f"_{i}" for i in range(width)]
     table = (
-        spark.read.schema(schema)
+        spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in by_place]))
         .option("header", True)
-        # The headers were compared above.
+        # Names are bound below, not by the scan.
         .option("enforceSchema", True)
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
         .csv(f"{folder}/*.csv")
+        .select(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_name").alias("source_file"),
+            F.array(*by_place).alias("fields"),
+        )
     )
-    return table.select(
-        F.col("_metadata.file_name").alias("source_file"), *[F.col(f"`{c}`") for c in columns]
+    placed = table.join(located.select("file", "places"), "file")
+    return placed.select(
+        "source_file",
+        *[
+            F.get("fields", F.get("places", F.lit(i)).cast("int") - 1).alias(c)
+            for i, c in enumerate(columns)
+        ],
     )
 
 

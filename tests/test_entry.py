@@ -33,3 +33,9 @@ def test_query_equals_statement(spark, name):
 @needs_data
 def test_entry_returns_flows(spark):
     assert entry_point.entry(spark).count() == 68
+
+
+def test_every_statement_has_its_query():
+    import __spark_entry__ as spark_entry
+
+    assert set(spark_entry.oracle_sql()) <= set(spark_entry.queries())

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -156,3 +158,36 @@ def test_flows_outside_every_window_are_kept(spark):
                                     "scenario string, label int, start_epoch double, end_epoch double, pcap string")
     got = {r.flow_start_us: r.scenario for r in WN.label_flows_by_window(flows, windows).collect()}
     assert got == {0: "v", 5_000_000: "w", 700_000_000: None, -3: None}
+
+
+def paths_inside(n, m, reach):
+    """Number of lattice paths with |i m - j n| < reach at every point."""
+    row = []
+    for i in range(n + 1):
+        new = []
+        for j in range(m + 1):
+            ways = 1 if i == j == 0 else (row[j] if i else 0) + (new[j - 1] if j else 0)
+            new.append(ways if abs(i * m - j * n) < reach else 0)
+        row = new
+    return row[m]
+
+
+def test_exact_p_value_equals_a_count_of_paths(spark):
+    sizes = [(1, 1), (1, 7), (5, 5), (8, 3), (12, 18), (33, 50), (50, 50)]
+    cases = [(n, m, d) for n, m in sizes for d in sorted({1, n * m // 7 + 1, n * m // 3, n * m // 2, n * m})]
+    table = spark.createDataFrame([(n, m, d, d / (n * m)) for n, m, d in cases], "n long, m long, d long, ks double")
+    got = table.select("n", "m", "d", DR.exact_p_value(F.col("ks"), F.col("n"), F.col("m"))).collect()
+    assert len(got) == len(cases)
+    for n, m, d, p in got:
+        want = 1 - paths_inside(n, m, d) / math.comb(n + m, n) if d else 1.0
+        assert math.isclose(p, want, rel_tol=1e-9, abs_tol=1e-12), (n, m, d)
+
+
+def test_p_value_of_large_samples_is_asymptotic(spark):
+    row = spark.range(1).select(
+        DR.two_sample_p_value(F.lit(0.3), F.lit(40_000), F.lit(33)).alias("large"),
+        DR.kolmogorov_p_value(F.lit(0.3), F.lit(40_000), F.lit(33)).alias("series"),
+        DR.two_sample_p_value(F.lit(0.3), F.lit(20), F.lit(30)).alias("small"),
+        DR.exact_p_value(F.lit(0.3), F.lit(20), F.lit(30)).alias("exact"),
+    ).first()
+    assert row.large == row.series and row.small == row.exact
