@@ -56,7 +56,7 @@ def test_run_gives_the_last_stage(spark):
 
 def test_registered_queries_and_sql(spark):
     names = {n.split("_")[0] for n in QUERIES}
-    assert names == {f"op{n}" for n in range(1, 11)}
+    assert names == {f"op{n}" for n in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(SQL) <= set(entry.oracle_sql())
 
@@ -66,7 +66,7 @@ def test_query_matches_sql(spark, name):
     import duckdb
 
     connection = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "benchmark"):
         path = f"{SMALL}/{table}.parquet"
         path += "/*.parquet" if os.path.isdir(path) else ""
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{path}')")
