@@ -14,7 +14,7 @@ from flowweir.llm.language import identify, train
 from flowweir.llm.licences import scan_licences
 from flowweir.llm.mixing import mix, mix_sizes, mixed_documents
 from flowweir.llm.packing import WordIds, known_ids, pack, plan_by_counts
-from flowweir.llm.passages import _shared_batches, shared_passages
+from flowweir.llm.passages import _common_batches, _shared_batches, shared_passages
 from flowweir.llm.pii import find_personal_data
 from flowweir.llm.quality import clean_lines
 from flowweir.llm.simhash import simhash_groups
@@ -699,6 +699,47 @@ def test_passage_behind_earlier_excerpts(spark):
     assert got >= expected
 
 
+def test_passage_with_excerpts_before_both_holders(spark):
+    rng = random.Random(13)
+    fresh = lambda n: [f"v{rng.randrange(10**7)}" for _ in range(n)]
+    rows, expected = [], set()
+    for n in range(0, 240, 6):
+        passage = fresh(60)
+        parts = (passage[:45], passage[15:], passage) * 2
+        rows += [(n + i, " ".join(fresh(30) + p + fresh(30))) for i, p in enumerate(parts)]
+        expected.add((n + 2, n + 5))
+    ordered = table(spark, rows).coalesce(1)
+    got = {tuple(sorted((r.doc_id, r.other_id))) for r in shared_passages(ordered).collect()}
+    assert got == expected
+    once = shared_passages(ordered, rounds=1).count()
+    assert once < len(expected)
+
+
+def test_screen_keeps_what_common_words_allow(spark):
+    """The screen against a plain subsequence count, with ends of every length up to 64."""
+    rng = random.Random(14)
+    rows = []
+    for n in range(400):
+        a = bytes(rng.randrange(6) for _ in range(rng.randrange(4, 132)))
+        b = bytes(rng.randrange(6) for _ in range(rng.randrange(4, 132)))
+        x, f = rng.randrange(min(65, len(a) - 3)), rng.randrange(min(65, len(b) - 3))
+        a, b = a[: x + 68], b[: f + 68]
+        rows.append((n, n, [x + 9], [f + 5], 9, 5, bytearray(a), bytearray(b)))
+    kinds = "row long, other long, xs array<int>, fs array<int>"
+    chains = spark.createDataFrame(
+        rows, kinds + ", x_from int, f_from int, x_words binary, f_words binary"
+    )
+    got = {r.row for r in chains.mapInArrow(_common_batches(4, 40), kinds).collect()}
+
+    def bound(row):
+        _, _, (x,), (f,), x_from, f_from, a, b = row
+        x, f = x - x_from, f - f_from
+        return 4 + brute.common_words(a[:x], b[:f]) + brute.common_words(a[x + 4 :], b[f + 4 :])
+
+    assert got == {r[0] for r in rows if bound(r) >= 40}
+    assert 0 < len(got) < len(rows)
+
+
 def test_hot_seed_goes_on_across_batches_and_blocks(spark):
     entries = [(7, i, i % 5) for i in range(70_000)] + [(9, 1, 0), (11, 1, 0), (11, 2, 3), (13, 5, 1)]
     seeds = spark.createDataFrame(entries, "seed long, row long, at int").coalesce(1)
