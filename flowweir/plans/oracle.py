@@ -278,6 +278,19 @@ SQL["label_flows_by_window"] = _with(
     f"""SELECT {FLOW_COLUMNS}, scenario, label AS window_label FROM flows LEFT JOIN label_windows
     ON pcap = capture_id || '.pcap' AND flow_start_us >= CAST(round(start_epoch * 1e6) AS BIGINT) AND flow_start_us <= CAST(round(end_epoch * 1e6) AS BIGINT)""",
 )
+_WIDE = _WINDOWS.replace("span", "wide_span").replace("label_windows", "wide_windows")
+_WIDE = _WIDE.replace("// 10", "// 7").replace("range(10)", "range(7)")
+SQL["label_flows_once"] = _with(
+    FLOWED + _WINDOWS + _WIDE,
+    f"""SELECT {FLOW_COLUMNS}, CASE WHEN count(label) = 1 THEN min(scenario) END AS scenario,
+      CASE WHEN min(label) = max(label) THEN min(label) END AS window_label, count(label) AS windows,
+      coalesce(min(label) <> max(label), false) AS conflict
+    FROM flows LEFT JOIN (
+      SELECT * FROM label_windows UNION ALL SELECT * REPLACE ('wide-' || scenario AS scenario) FROM wide_windows
+    ) ON pcap = capture_id || '.pcap' AND flow_start_us BETWEEN CAST(round(start_epoch * 1e6) AS BIGINT)
+      AND CAST(round(end_epoch * 1e6) AS BIGINT)
+    GROUP BY ALL""",
+)
 SQL["pcap_ingest"] = _with(
     PACKETS,
     """SELECT capture_id, ts_us, src_ip, dst_ip, CASE WHEN src_ip IS NULL THEN NULL ELSE ip_proto END AS ip_proto,

@@ -178,6 +178,16 @@ def label_flows_by_window(spark, sf_dir):
     )
 
 
+@query
+def label_flows_once(spark, sf_dir):
+    """Windows of two widths over each capture: most flows lie in two, labels often differ."""
+    narrow, wide = (CT.label_window_rows(T.label_windows(spark, sf_dir, n)) for n in (10, 7))
+    wide = wide.withColumn("scenario", F.concat(F.lit("wide-"), "scenario"))
+    return WN.label_flows_once(_flows(spark, sf_dir), narrow.unionByName(wide)).select(
+        *FLOW, "scenario", "window_label", "windows", "conflict"
+    )
+
+
 _DECODED = [
     "capture_id",
     "ts_us",

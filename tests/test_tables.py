@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 
@@ -229,3 +230,34 @@ def test_windows_label_flows_of_their_own_capture(spark):
         ("two", 5, "b"),
         ("one", 50, None),
     }
+
+
+def test_overlapping_windows_label_a_flow_once(spark):
+    rng = random.Random(3)
+    flows = [(c, t * 10**5) for c in ("one", "two") for t in range(-5, 1205, 7)]
+    windows = []
+    for n in range(60):
+        start = rng.randrange(0, 110)
+        windows.append((f"s{n}", rng.randrange(2), float(start), float(start + rng.randrange(0, 12)),
+                        rng.choice(["one.pcap", "x/two.pcapng", "three.pcap"])))
+    windows += [windows[0], ("never", 1, 9.0, 3.0, "one.pcap"), ("open", 1, 9.0, None, "one.pcap")]
+    got = WN.label_flows_once(
+        spark.createDataFrame(flows, "capture_id string, flow_start_us long"),
+        spark.createDataFrame(windows, LABEL_WINDOW_SCHEMA),
+        slot_us=5_000_000,
+    ).collect()
+    expected = []
+    for capture, at in flows:
+        over = [
+            w for w in windows
+            if f"{capture}.pcap" in w[4] and w[3] is not None and w[2] * 1e6 <= at <= w[3] * 1e6
+        ]
+        labels = {w[1] for w in over}
+        expected.append((
+            capture, at, over[0][0] if len(over) == 1 else None,
+            labels.pop() if len(labels) == 1 else None, len(over), len({w[1] for w in over}) > 1,
+        ))
+    columns = ("capture_id", "flow_start_us", "scenario", "window_label", "windows", "conflict")
+    key = lambda r: r[:2]
+    assert sorted((tuple(r[c] for c in columns) for r in got), key=key) == sorted(expected, key=key)
+    assert {r[4] for r in expected} >= {0, 1, 2, 3} and any(r[5] for r in expected)
