@@ -171,5 +171,22 @@ def quantiles_of_runs(runs: DataFrame, by, value: str, probs: dict[str, float],
 
 
 def first_rows(df: DataFrame, order: str, n: int) -> DataFrame:
-    """The ``n`` smallest rows by ``order``, by their rank over range partitions."""
-    return with_rank(df, [], [order], "_rank").filter(F.col("_rank") <= n).drop("_rank")
+    """The ``n`` smallest rows by ``order``, nulls first.
+
+    Each partition sorts its order column alone and passes on its first ``n``
+    values. Their ``n``-th one overall is the bound, a filter on the whole rows:
+    only rows up to it are moved, and no full sort is made. Among rows equal to
+    the last one any may stay.
+    """
+    place = F.monotonically_increasing_id()
+    own = (
+        df.select(order)
+        .sortWithinPartitions(order)
+        .withColumn(_POSITION, place.bitwiseAND((1 << 33) - 1))
+        .filter(F.col(_POSITION) < n)
+    )
+    last = with_rank(own.select(order), [], [order], "_rank").filter(F.col("_rank") == n)
+    head, bound = df, last.select(order).head()
+    if bound is not None:
+        head = df.filter(F.col(order).isNull() | (F.col(order) <= F.lit(bound[0])))
+    return with_rank(head, [], [order], "_rank").filter(F.col("_rank") <= n).drop("_rank")

@@ -479,6 +479,7 @@ SQL["benign_sample"] = _with(
       SELECT * FROM raw WHERE source_label = 'BENIGN' ORDER BY row_key LIMIT 40000)
     WHERE packet_rate IS NOT NULL""",
 )
+SQL["benign_head"] = SQL["benign_sample"].replace("LIMIT 40000", "LIMIT 5000")
 _MIXED = """
 mixed AS (
   SELECT order_no, quantity, price, flag, status FROM (

@@ -402,6 +402,13 @@ def benign_sample(spark, sf_dir):
     return PR.benign_sample(table, "row_key")
 
 
+@query
+def benign_head(spark, sf_dir):
+    raw = T.raw_flow_records(spark, sf_dir)
+    table = PR.canonical_text(raw, "row_key", "Label").withColumnRenamed("Label", "label")
+    return PR.benign_sample(table, "row_key", 5_000)
+
+
 # ---- contracts -------------------------------------------------------------
 
 

@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -145,6 +146,22 @@ def test_stratified_split_sizes(spark):
     assert SP.stratified_split(df, "y", "k").exceptAll(again).count() == 0
 
 
+def test_stratified_split_draws_the_first_digests(spark):
+    rows = [(k, k % 7 if k % 50 else None) for k in range(3000)] + [(None, 1)] + [(5000, 100)]
+    df = spark.createDataFrame(rows, "k long, y int").withColumn("y", F.when(F.col("y") > 1, 2).otherwise(F.col("y")))
+    got = SP.stratified_split(df, "y", "k", 0.3).collect()
+    classes = {}
+    for k, y in ((r.k, r.y) for r in df.collect()):
+        if k is not None and y is not None:
+            classes.setdefault(y, []).append(k)
+    test = set()
+    for keys in classes.values():
+        keys.sort(key=lambda k: hashlib.md5(f"{k}#42".encode()).hexdigest())
+        test |= set(keys[: math.floor(len(keys) * 0.3 + 0.5)])
+    assert {r.k for r in got if r.split == "test"} == test
+    assert len(got) == sum(map(len, classes.values()))
+
+
 def test_class_weights(spark):
     df = pairs(spark, [(0, 0)] * 3 + [(1, 0)])
     got = {r.label: r.weight for r in SP.class_weights(df, "label").collect()}

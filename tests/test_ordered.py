@@ -51,3 +51,13 @@ def test_first_rows_is_the_ordered_head(spark):
     df = spark.range(5000).selectExpr("(id * 7919) % 5000 AS id")
     got = [r.id for r in first_rows(df, "id", 20).collect()]
     assert sorted(got) == list(range(20))
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 400, 401, 1000])
+def test_first_rows_with_nulls_ties_and_few_rows(spark, n):
+    values = [None] * 5 + [v // 3 for v in range(395)]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v int, i int").repartition(6)
+    got = [r.v for r in first_rows(df, "v", n).collect()]
+    order = lambda v: (v is not None, v or 0)
+    assert sorted(got, key=order) == values[:n]
+    assert first_rows(df.filter("i < 0"), "v", n).collect() == []
