@@ -4,16 +4,25 @@ Two rows are as close as the share of trees that put them in the same leaf. The
 search is exact and never joins all missed rows with all detected ones:
 
 * rows with equal leaf vectors are merged, so copies cost nothing;
-* tiers look for ever more distant partners. With at most ``b`` disagreeing
-  trees and ``b + 1`` bands of trees, some band agrees completely, so tier ``b``
-  compares only vectors that share a band, and a vector whose best partner
-  disagrees in at most ``b`` trees is settled and leaves the search;
-* a crowded band value is cut into blocks on both sides. A task compares two
+* steps ask for ever fewer equal leaves. A posting is a set of trees with their
+  leaves. Trees are dealt into groups so that two vectors with ``k`` equal leaves
+  must share a posting of ``c`` trees within a group: ``g`` groups that each hold
+  fewer than ``c`` equal leaves come to at most ``g * (c - 1)``, and ``g`` is
+  chosen below ``k / (c - 1)``. A vector whose best partner has ``k`` equal
+  leaves or more is settled and leaves the search;
+* the last steps compare nothing. Once no partner can have more than ``k`` equal
+  leaves, all that share a posting of ``k`` trees are equally near, so the
+  smallest key of each posting, one grouped minimum, is the answer;
+* a crowded posting is cut into blocks on both sides. A task compares two
   blocks of bounded size and returns one best partner per missed vector.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from itertools import combinations
+from math import comb
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,23 +32,92 @@ from flowweir.functions.ordered import exact_quantiles
 from flowweir.session import stage_table
 
 BLOCK_ROWS = 4096
-_BAND = ["source_label", "band", "band_value"]
+# Postings a vector may have in one step, where pairs of trees leave a choice.
+# The choice of steps depends on the trees alone, never on the rows.
+MAX_POSTINGS = 200
+# Assumed when widths are chosen: share of the vectors in one leaf, and what it costs to
+# set a vector against all others, in rows moved. Neither changes a result.
+LEAF_SHARE, MEETING = 0.1, 20_000
+_POSTING = ["source_label", "posting", "posting_leaves"]
 _VECTOR = ["source_label", "leaves"]
 
 
-def _bands(vectors: DataFrame, trees: int, bands: int) -> DataFrame:
-    edges = [round(i * trees / bands) for i in range(bands + 1)]
-    pieces = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("band"),
-                F.slice("leaves", lo + 1, hi - lo).alias("band_value"),
-            )
-            for i, (lo, hi) in enumerate(zip(edges, edges[1:]))
-            if hi > lo
+@dataclass(frozen=True)
+class Step:
+    """Partners with ``matches`` equal leaves or more, found by postings over ``trees``.
+
+    ``compared``: vectors of a posting are compared with each other; else all of
+    them are equally near and the smallest key is taken.
+    """
+
+    matches: int
+    trees: tuple[tuple[int, ...], ...]
+    compared: bool
+
+
+def _groups(trees: int, matches: int, width: int) -> list[range]:
+    """Groups of trees, one of which holds ``width`` of any ``matches`` equal leaves."""
+    groups = (matches - 1) // (width - 1)
+    edges = [i * trees // groups for i in range(groups + 1)]
+    return [range(lo, hi) for lo, hi in zip(edges, edges[1:])]
+
+
+def _comparison_step(trees: int, matches: int) -> Step:
+    """Postings of the width that moves few rows and lets few vectors meet."""
+
+    def size(width):
+        return sum(comb(len(g), width) for g in _groups(trees, matches, width))
+
+    sizes = {width: size(width) for width in range(2, matches + 1)}
+    allowed = [w for w in sizes if sizes[w] <= MAX_POSTINGS] or [min(sizes, key=sizes.get)]
+    width = min(allowed, key=lambda w: sizes[w] * (1 + MEETING * LEAF_SHARE**w))
+    groups = _groups(trees, matches, width)
+    return Step(matches, tuple(p for g in groups for p in combinations(g, width)), compared=True)
+
+
+def search_steps(trees: int) -> list[Step]:
+    """Steps from equal vectors down to one equal leaf.
+
+    The last ones, for two trees and as many more as ``MAX_POSTINGS`` allows, look
+    up minima.
+    """
+    looked_up = min(2, trees)
+    while looked_up < trees and comb(trees, looked_up + 1) <= MAX_POSTINGS:
+        looked_up += 1
+    half = trees // 2
+    asked = [trees - 2**i for i in range(trees.bit_length()) if trees - 2**i > half]
+    while half > looked_up:
+        asked.append(half)
+        half = (half + looked_up) // 2
+    if trees > looked_up + 1:
+        asked.append(looked_up + 1)
+    compared = [k for k in dict.fromkeys(asked) if k > looked_up]
+    return (
+        [Step(trees, (tuple(range(trees)),), compared=False)]
+        + [_comparison_step(trees, k) for k in compared]
+        + [
+            Step(k, tuple(combinations(range(trees), k)), compared=False)
+            for k in range(min(looked_up, trees - 1), 0, -1)
         ]
     )
-    return vectors.select("*", F.inline(pieces))
+
+
+def _postings(vectors: DataFrame, step: Step) -> DataFrame:
+    """One row per vector and posting: its number and the vector's leaves in it."""
+    sets = F.lit([list(trees) for trees in step.trees])
+
+    def entry(trees, number):
+        own = F.transform(trees, lambda tree: F.get("leaves", tree))
+        return F.struct(number.alias("posting"), own.alias("posting_leaves"))
+
+    return vectors.select("*", F.inline(F.transform(sets, entry)))
+
+
+def comparisons(missed: DataFrame, found: DataFrame, step: Step) -> DataFrame:
+    """Pairs of vectors that a comparing step sets against each other, per posting."""
+    left = _postings(missed, step).groupBy(*_POSTING).agg(F.count(F.lit(1)).alias("left_rows"))
+    right = _postings(found, step).groupBy(*_POSTING).agg(F.count(F.lit(1)).alias("right_rows"))
+    return left.join(right, _POSTING)
 
 
 _BEST_SCHEMA = (
@@ -119,23 +197,30 @@ def _nearest(candidates: DataFrame) -> DataFrame:
     )
 
 
-def _tier(missed: DataFrame, found: DataFrame, trees: int, disagreements: int, block_rows: int):
-    if disagreements == 0:
-        exact = missed.join(found, _VECTOR)
-        return exact.select(*_VECTOR, F.lit(trees).alias("matches"), "best_key", "best_probability")
-    left = _bands(missed, trees, disagreements + 1)
-    right = _bands(found, trees, disagreements + 1)
-    left_sizes = left.groupBy(*_BAND).agg(F.count(F.lit(1)).alias("left_rows"))
-    right_sizes = right.groupBy(*_BAND).agg(F.count(F.lit(1)).alias("right_rows"))
-    blocks = left_sizes.join(right_sizes, _BAND).select(
-        *_BAND,
+def _looked_up(missed: DataFrame, found: DataFrame, step: Step) -> DataFrame:
+    """The smallest key of all postings of a vector; no vector meets another."""
+    least = (
+        _postings(found, step)
+        .groupBy(*_POSTING)
+        .agg(F.min(F.struct("best_key", "best_probability")).alias("top"))
+    )
+    met = _postings(missed, step).join(least, _POSTING)
+    return met.groupBy(*_VECTOR).agg(F.min("top").alias("top")).select(
+        *_VECTOR, F.lit(step.matches).alias("matches"), "top.best_key", "top.best_probability"
+    )
+
+
+def _compared(missed: DataFrame, found: DataFrame, step: Step, block_rows: int) -> DataFrame:
+    left, right = _postings(missed, step), _postings(found, step)
+    blocks = comparisons(missed, found, step).select(
+        *_POSTING,
         F.ceil(F.col("left_rows") / block_rows).alias("left_blocks"),
         F.ceil(F.col("right_rows") / block_rows).alias("right_blocks"),
     )
 
     def placed(side, own, other):
         """Own block by hash, one copy for every block of the other side."""
-        return side.join(blocks, _BAND).select(
+        return side.join(blocks, _POSTING).select(
             *side.columns,
             F.pmod(F.xxhash64("leaves"), F.col(f"{own}_blocks")).alias(f"{own}_block"),
             F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_blocks") - 1)).alias(
@@ -143,7 +228,7 @@ def _tier(missed: DataFrame, found: DataFrame, trees: int, disagreements: int, b
             ),
         )
 
-    cell = [*_BAND, "left_block", "right_block"]
+    cell = [*_POSTING, "left_block", "right_block"]
     missed_side = placed(left, "left", "right").select(
         *cell,
         "leaves",
@@ -161,8 +246,8 @@ def _tier(missed: DataFrame, found: DataFrame, trees: int, disagreements: int, b
         .select(
             F.concat_ws(
                 "|",
-                *["source_label", "band"],
-                F.array_join(F.col("band_value").cast("array<string>"), ","),
+                *["source_label", "posting"],
+                F.array_join(F.col("posting_leaves").cast("array<string>"), ","),
                 "left_block",
                 "right_block",
             ).alias("cell"),
@@ -173,13 +258,8 @@ def _tier(missed: DataFrame, found: DataFrame, trees: int, disagreements: int, b
             "best_probability",
         )
     )
-    candidates = cells.mapInPandas(_compare_cells, _BEST_SCHEMA)
-    return _nearest(candidates)
-
-
-def tiers(trees: int) -> list[int]:
-    """Disagreements allowed per tier: few at first, under long bands that few rows share."""
-    return sorted({0, *[2**i for i in range(trees.bit_length()) if 2**i < trees - 1], trees - 1})
+    best = _nearest(cells.mapInPandas(_compare_cells, _BEST_SCHEMA))
+    return best.filter(F.col("matches") >= step.matches)
 
 
 def leaf_proximity(rows: DataFrame, trees: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -210,15 +290,14 @@ def leaf_proximity(rows: DataFrame, trees: int, block_rows: int = BLOCK_ROWS) ->
     missed = stage_table(missed_rows.select(*_VECTOR).distinct(), "missed")
     settled = None
     waiting = missed
-    for disagreements in tiers(trees):
-        found_now = stage_table(
-            _tier(waiting, found, trees, disagreements, block_rows).filter(
-                F.col("matches") >= trees - disagreements
-            ),
-            f"tier{disagreements}",
-        )
-        settled = found_now if settled is None else settled.unionByName(found_now)
-        waiting = stage_table(waiting.join(found_now, _VECTOR, "left_anti"), "waiting")
+    for number, step in enumerate(search_steps(trees)):
+        if step.compared:
+            near = _compared(waiting, found, step, block_rows)
+        else:
+            near = _looked_up(waiting, found, step)
+        near = stage_table(near, f"step{number}")
+        settled = near if settled is None else settled.unionByName(near)
+        waiting = stage_table(waiting.join(near, _VECTOR, "left_anti"), "waiting")
         if waiting.isEmpty():
             break
     apart = waiting.join(first, "source_label").select(

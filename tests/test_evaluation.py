@@ -103,14 +103,48 @@ def test_small_sample_stops_comparison(spark):
     assert DR.require_sample(spark.range(30)) == "LIMITED_SAMPLE"
 
 
-@pytest.mark.parametrize("block_rows", [3, 4096])
-def test_leaf_proximity_equals_brute_force(spark, block_rows):
+@pytest.mark.parametrize("trees", [1, 2, 7, 20, 100])
+def test_search_steps_lose_no_partner(trees):
+    rng = np.random.default_rng(trees)
+    steps = PX.search_steps(trees)
+    assert [s.matches for s in steps] == sorted({s.matches for s in steps}, reverse=True)
+    assert steps[0].matches == trees and steps[-1].matches == 1
+    for step, above in zip(steps[1:], steps):
+        # What is only looked up has exactly as many equal leaves as its postings have trees.
+        assert step.compared or step.matches == above.matches - 1
+        for _ in range(50):
+            equal = set(rng.choice(trees, step.matches, replace=False).tolist())
+            assert any(equal.issuperset(posting) for posting in step.trees)
+
+
+def test_proximity_comparisons_stay_below_the_product(spark):
+    """Uniform leaves: every step sets far fewer vectors against each other than there are pairs."""
+    trees, shares = 20, {}
+    for rows in (300, 1200):
+        rng = np.random.default_rng(1)
+        sides = [
+            spark.createDataFrame(
+                [("f", [int(x) for x in rng.integers(0, 12, trees)]) for _ in range(rows)],
+                "source_label string, leaves array<int>",
+            )
+            for _ in range(2)
+        ]
+        for step in PX.search_steps(trees):
+            if step.compared:
+                met = PX.comparisons(*sides, step).selectExpr("sum(left_rows * right_rows) AS n").first().n
+                shares.setdefault(step.matches, []).append((met or 0) / rows**2)
+    assert all(share < 0.75 for pair in shares.values() for share in pair)
+    assert min(shares) == 3 and not any(s.compared for s in PX.search_steps(trees) if s.matches < 3)
+
+
+@pytest.mark.parametrize("trees, block_rows", [(8, 4096), (20, 3), (20, 4096)])
+def test_leaf_proximity_equals_brute_force(spark, trees, block_rows):
     rng = np.random.default_rng(5)
-    trees, rows = 8, []
+    rows = []
     for i in range(160):
         family = "hot" if i % 3 else "cold"
         # A third of the rows are copies of one leaf vector.
-        leaves = [1] * trees if i % 3 == 1 else [int(x) for x in rng.integers(0, 4, trees)]
+        leaves = [1] * trees if i % 3 == 1 else [int(x) for x in rng.integers(0, 4 if i % 2 else 40, trees)]
         kind = "FALSE_NEGATIVE" if rng.random() < 0.4 else "CORRECT"
         rows.append((f"r{i:03d}", family, kind, float(rng.random()), leaves))
     rows.append(("x1", "lonely", "FALSE_NEGATIVE", 0.5, [9] * trees))
