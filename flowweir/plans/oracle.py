@@ -1000,3 +1000,26 @@ SQL["export_flow_file"] = _with(
 SQL["label_window_log"] = SQL["label_window_rows"]
 SQL["scenario_summary_file"] = SQL["scenario_overall"]
 SQL["dataset_head"] = _with(SCORED, f"SELECT row_key, {F20} FROM scored ORDER BY row_key LIMIT 5")
+SQL["nested_scenario_summary"] = f"""WITH overall AS ({SQL["scenario_overall"]}), report AS ({SQL["scenario_report"]})
+SELECT 'lo' AS interface, samples, accuracy, precision, recall, false_positive_rate, f1, report.* FROM report, overall"""
+SQL["nested_parity_summary"] = _with(
+    _DRIFT,
+    """SELECT feature, round(d, 3) AS ks_statistic, verdict, verdict = 'large' AS is_large, verdict = 'small' AS is_small,
+      n AS reference_rows, m AS live_flows, (SELECT count(*) FROM packets) AS live_packets FROM drift JOIN sizes USING (feature)""",
+)
+_TESTED = (
+    SCORED
+    + """,
+parts AS (SELECT run < 4 AS train, binary_label AS y, prediction, candidate_prediction FROM scored),
+sides AS (SELECT count(*) FILTER (WHERE train) AS train, count(*) FILTER (WHERE NOT train) AS test,
+  count(*) FILTER (WHERE train AND y = 1) AS attack_train, count(*) FILTER (WHERE NOT train AND y = 1) AS attack_test FROM parts),
+votes AS (SELECT 'frozen' AS model, y, prediction AS p FROM parts WHERE NOT train
+  UNION ALL SELECT 'candidate', y, candidate_prediction FROM parts WHERE NOT train),"""
+)
+SQL["nested_adaptation_summary"] = _with(
+    _TESTED + _count4("votes", "y", "p", "model,"),
+    f"SELECT * FROM sides, ({_metric_rows('model,')})",
+)
+SQL["nested_fpr_summary"] = f"""WITH rates AS ({SQL["two_model_fpr"]})
+SELECT (SELECT count(*) FROM events) AS packets, flows, frozen_flagged, frozen_fpr AS frozen_false_positive_rate,
+  candidate_flagged, candidate_fpr AS candidate_false_positive_rate FROM rates"""

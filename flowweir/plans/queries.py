@@ -23,6 +23,7 @@ from flowweir.operators import prepare as PR
 from flowweir.operators import proximity as PX
 from flowweir.operators import scoring as SC
 from flowweir.operators import splits as SP
+from flowweir.operators import summaries as SM
 from flowweir.operators import windows as WN
 from flowweir.plans import inputs as IN
 from flowweir.schema import FEATURES, FLOW, KEY
@@ -594,6 +595,77 @@ def scenario_summary_file(spark, sf_dir):
     return spark.read.schema(metrics.schema).json(path)
 
 
+def _written(spark, summary):
+    """A summary as its JSON file holds it."""
+    path = stage_path(spark, "summary")
+    TB.write_report(summary, path)
+    return spark.read.schema(summary.schema).json(path)
+
+
+@query
+def nested_scenario_summary(spark, sf_dir):
+    """Scenario rows beside the overall metrics, written nested and read back."""
+    flows = stage_table(_scenario_flows(spark, sf_dir), "scenario-flows")
+    packets = T.packets(spark, sf_dir).select(F.col("capture_id").alias("scenario"))
+    summary = SM.scenario_summary(MT.scenario_report(flows, packets), flows, interface="lo")
+    metrics = ["samples", "accuracy", "precision", "recall", "false_positive_rate", "f1"]
+    return _written(spark, summary).select(
+        "interface", *[f"metrics.{m}" for m in metrics], F.inline("scenarios")
+    )
+
+
+@query
+def nested_parity_summary(spark, sf_dir):
+    """Drift report and its verdict lists, written nested and read back."""
+    reference, live = _two_samples(spark, sf_dir)
+    drift = stage_table(DR.feature_drift(reference, live), "drift")
+    summary = SM.parity_summary(drift, reference, live, T.packets(spark, sf_dir), interface="lo")
+    rows = _written(spark, summary).select("summary", F.inline("features"))
+    return rows.select(
+        "feature",
+        "ks_statistic",
+        F.col("summary.feature_verdicts")[F.col("feature")].alias("verdict"),
+        F.array_contains("summary.large_shift", F.col("feature")).alias("is_large"),
+        F.array_contains("summary.small_shift", F.col("feature")).alias("is_small"),
+        "summary.reference_rows",
+        "summary.live_flows",
+        "summary.live_packets",
+    )
+
+
+@query
+def nested_adaptation_summary(spark, sf_dir):
+    """Both models on the held-out runs, written nested and read back."""
+    rows = SP.run_split(T.scored_flows(spark, sf_dir))
+    summary = SM.adaptation_summary(rows, "binary_label", "prediction", "candidate_prediction")
+    both = F.array(
+        *[
+            F.struct(F.lit(name).alias("model"), F.col(f"{name}.metrics").alias("m"))
+            for name in ("candidate", "frozen")
+        ]
+    )
+    return _written(spark, summary).select("counts.*", F.inline(both)).select(
+        "train", "test", "attack_train", "attack_test", "model", "m.*"
+    )
+
+
+@query
+def nested_fpr_summary(spark, sf_dir):
+    """False alarms of both models, written nested and read back."""
+    benign = T.scored_flows(spark, sf_dir).filter(F.col("binary_label") == 0)
+    rates = MT.two_model_fpr(benign, "prediction", "candidate_prediction")
+    summary = SM.fpr_summary(rates, T.packets(spark, sf_dir))
+    return _written(spark, summary).select(
+        "packets",
+        "flows",
+        *[
+            F.col(f"{name}.{part}").alias(f"{name}_{part}")
+            for name in ("frozen", "candidate")
+            for part in ("flagged", "false_positive_rate")
+        ],
+    )
+
+
 @query
 def labelled_prediction_metrics(spark, sf_dir):
     """A label file and the scores of nearly all flows, joined by flow id."""

@@ -145,8 +145,8 @@ def recent_history(log: DataFrame, order: str, rows: int = 10) -> DataFrame:
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """JSON lines; reports are small tables that Spark has already reduced."""
-    df.write.mode("overwrite").json(path)
+    """JSON lines, nulls included; reports are small tables that Spark has already reduced."""
+    df.write.mode("overwrite").json(path, ignoreNullFields=False)
 
 
 def artifact_digests(spark: SparkSession, path: str) -> DataFrame:
