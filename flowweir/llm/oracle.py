@@ -45,7 +45,7 @@ covered AS (
 ruled AS (
   SELECT doc_id, text, tokens, lines,
          list_filter(lines, lambda x:
-           regexp_matches(x, '[.!?…。！？]["''”’»)\]]*([\x20\x09-\x0D]|$)')
+           regexp_matches(x, '[.!?…。！？｡؟۔।॥።፧։។။།]["''”’»)」』）\]]*([\x20\x09-\x0D]|$)')
            AND 10 * len(regexp_extract_all(x, '[#*$%&|<>!]')) <= length(x)
            AND len(regexp_extract_all(x, '[|»›•·→]')) < 2
            AND NOT (

@@ -9,7 +9,9 @@ from flowweir.llm.text import full_text, let, words
 
 # Fixed values of the rules.
 SYMBOLS = "#*$%&|<>"
-SENTENCE_END = r"""[.!?…。！？]["'”’»)\]]*([\x20\x09-\x0D]|$)"""
+# Full stops and question marks of Latin, CJK, Arabic, Indic, Ethiopic, Armenian, Khmer,
+# Burmese and Tibetan writing, then closing marks.
+SENTENCE_END = r"""[.!?…。！？｡؟۔।॥።፧։។။།]["'”’»)」』）\]]*([\x20\x09-\x0D]|$)"""
 SEPARATORS = r"[|»›•·→]"
 BOILERPLATE = (
     "all rights reserved|cookie policy|privacy policy|terms of (use|service)|"

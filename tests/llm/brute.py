@@ -133,3 +133,15 @@ def common_words(a, b):
         for j, other in enumerate(b, 1):
             last, line[j] = line[j], last + 1 if word == other else max(line[j], line[j - 1])
     return line[-1]
+
+
+def spectrum(text):
+    """Strings of one to three signs of a text of a-z words, spaces around it."""
+    line = re.sub("[^a-z]+", " ", f" {text.lower()} ")
+    return {line[i : i + n] for n in (1, 2, 3) for i in range(n == 1, len(line) - n + (n != 1))}
+
+
+def kernel(texts, others):
+    """Shared n-grams over the geometric mean of the set sizes."""
+    left, right = [spectrum(t) for t in texts], [spectrum(t) for t in others]
+    return [[len(a & b) / (len(a) * len(b)) ** 0.5 for b in right] for a in left]

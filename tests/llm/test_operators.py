@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -464,6 +465,16 @@ def test_escaping_is_reversible():
         assert chat.unescape(chat.escape(text)) == text
 
 
+def test_lines_end_in_the_marks_of_their_writing(spark):
+    words = " ".join(["शब्द"] * 9)
+    marks = ["।", "॥", "۔", "؟", "።", "፧", "։", "។", "။", "།", "。", "｡", "。」", "."]
+    docs = [(i, "\n".join(f"{words} {'ab' * n}{mark}" for n in range(1, 9))) for i, mark in enumerate(marks)]
+    docs.append((len(marks), "\n".join(f"{words} {'ab' * n}" for n in range(1, 9))))
+    got = by_id(clean_lines(table(spark, docs), repeat_percent=100).collect())
+    assert all(got[i].n_good_lines == 8 and got[i].kept for i in range(len(marks)))
+    assert got[-1].n_good_lines == 0 and not got[-1].kept
+
+
 # ---- language ------------------------------------------------------------
 
 
@@ -490,6 +501,30 @@ def test_language_on_held_out_rows(spark):
     assert again == {i: r.lang_pred for i, r in got.items()}
 
 
+def test_language_equals_plain_kernel_ridge(spark):
+    """With every learned row a landmark the scores are those of kernel ridge regression."""
+    forms = {"aa": "kat tar ram nak".split(), "bb": "ish tosh resh nath".split(), "cc": "lun kal tis rem".split()}
+    rng = random.Random(4)
+    rows = []
+    for i in range(90):
+        lang = rng.choice(list(forms))
+        pool = forms[lang] + forms[rng.choice(list(forms))][:2]
+        rows.append((i, " ".join("".join(rng.choices(pool, k=2)) for _ in range(12)), lang))
+    docs = table(spark, rows)
+    model = train(docs, sample_per_label=1000, landmarks_per_label=1000, ridge=0.01)
+    got = {r.id: r for r in identify(docs, model).collect()}
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    texts, labels = [r[1] for r in learned], sorted(forms)
+    own = np.array(brute.kernel(texts, texts))
+    wanted = np.where(np.array([r[2] for r in learned])[:, None] == np.array(labels), 1.0, -1.0)
+    dual = np.linalg.solve(own + 0.01 * len(learned) * np.eye(len(learned)), wanted)
+    scores = np.array(brute.kernel([r[1] for r in rows], texts)) @ dual
+    for (i, _, _), row in zip(rows, scores):
+        assert got[i].score == pytest.approx(min(1, max(0, (1 + row.max()) / 2)), abs=2e-3)
+        if np.diff(np.sort(row))[-1] > 0.01:
+            assert got[i].lang_pred == labels[row.argmax()]
+
+
 def test_language_without_labels(spark):
     docs = table(spark, [(1, "abc"), (2, None)])
     assert {r.lang_pred for r in identify(docs, train(docs)).collect()} == {"und"}
