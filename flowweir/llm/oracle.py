@@ -75,10 +75,26 @@ FROM verdicts
 """
 
 
+# Score without and with a word nearby that names the kind, in hundredths.
+_NAMED = {
+    "email": (80, "mail|contact|write to|reach"),
+    "ip": (60, "ip|address|server|host|client|login"),
+    "card": (70, "card|credit|debit|visa|master|payment|account"),
+    "phone": (60, "phone|call|tel|mobile|fax|reach|contact"),
+    "iban": (80, "iban|bank|account|transfer"),
+    "ssn": (40, "ssn|social security|taxpayer"),
+}
+
+
 def _places(kind: str, rank: int, pattern: str, valid: str) -> str:
-    """Confirmed matches of one kind with their places, from the pieces between them."""
+    """Confirmed matches of one kind with places and scores, from the pieces between them."""
+    points, named = _NAMED[kind]
     return f"""
-  SELECT doc_id, text, '{kind}' AS kind, {rank} AS rank, start, start + length(m) AS "end"
+  SELECT doc_id, text, '{kind}' AS kind, {rank} AS rank, start, start + length(m) AS "end",
+         {points} + CASE WHEN regexp_matches(
+           lower(substr(text, greatest(start - 48, 0) + 1, start - greatest(start - 48, 0))
+                 || ' ' || substr(text, start + length(m) + 1, 24)),
+           '(^|[^a-z])({named})') THEN 20 ELSE 0 END AS points
   FROM (
     SELECT doc_id, text, matches[i] AS m,
            length(array_to_string(pieces[1:i], '')) + length(array_to_string(matches[1:i - 1], ''))
@@ -152,7 +168,8 @@ SELECT t.doc_id,
        sha256(coalesce(string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, rank)
                        FILTER (rank < 4), '')) AS base_sha256,
        coalesce(string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, rank), '')
-         AS spans
+         AS spans,
+       coalesce(string_agg(points::VARCHAR, ',' ORDER BY start, rank), '') AS scores
 FROM (SELECT doc_id FROM documents) t LEFT JOIN spans USING (doc_id)
 GROUP BY t.doc_id
 """

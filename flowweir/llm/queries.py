@@ -63,6 +63,10 @@ def op7_personal_data(spark, sf_dir):
         *[count(kind) for kind in KINDS[:4]],
         F.sha2(listed(base), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
+        # In hundredths, in the order of the spans.
+        F.array_join(
+            F.transform("spans", lambda s: F.round(s.score * 100).cast("int").cast("string")), ","
+        ).alias("scores"),
     )
 
 

@@ -14,10 +14,12 @@ from flowweir.llm.exact_dedup import exact_dedup
 from flowweir.llm.language import identify, train
 from flowweir.llm.licences import scan_licences
 from flowweir.llm.mixing import mix, mix_sizes, mixed_documents
+from flowweir.llm.oracle import SQL as LLM_SQL
 from flowweir.llm.packing import WordIds, known_ids, pack, plan_by_counts
 from flowweir.llm.passages import _common_batches, _shared_batches, shared_passages
 from flowweir.llm.pii import find_personal_data
 from flowweir.llm.quality import clean_lines
+from flowweir.llm.queries import op7_personal_data
 from flowweir.llm.simhash import simhash_groups
 from flowweir.llm.vocabularies import vocabulary
 from tests.llm import brute
@@ -247,6 +249,24 @@ def test_personal_data_base_spans(spark):
         assert all(0 < s.score <= 1.0 for s in r.spans)
 
 
+def test_personal_data_scores_equal_statement(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    far = "x " * 30
+    texts = [
+        "Write to a@b.co or call +44 20 7946 0958", f"mail {far} a@b.co", "hotel 1.2.3.4", "tel +1 555 010 9999",
+        f"1.2.3.4 {far} server", "1.2.3.4 server", "visa 4242424242424242", "4242424242424242 debit", None, "",
+        "my ssn 123-45-6789, bank GB29 NWBK 6016 1331 9268 19 and host 10.0.0.1", "éé mail é@b.co a@b.co " * 40,
+    ]
+    table(spark, list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    names = ["doc_id", "spans", "scores"]
+    wanted = con.sql(f"SELECT doc_id, spans, scores FROM ({LLM_SQL['op7_personal_data']}) ORDER BY 1").fetchall()
+    got = op7_personal_data(spark, str(tmp_path)).select(*names).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == wanted
+    assert got[0].scores == "100,80" and got[1].scores == "80" and got[5].scores == "80" and got[8].scores == ""
+
+
 def test_personal_data_checksum_and_context(spark):
     rows = [
         (1, "account GB29 NWBK 6016 1331 9268 19 here"),
@@ -260,7 +280,9 @@ def test_personal_data_checksum_and_context(spark):
     got = by_id(find_personal_data(table(spark, rows)).collect())
     kinds = [[s.kind for s in r.spans] for r in got]
     assert kinds == [["iban"], [], ["iban"], ["ssn"], [], ["ip"], ["ip"]]
-    assert got[6].spans[0].score > got[5].spans[0].score
+    scores = [[round(100 * s.score) for s in r.spans] for r in got]
+    # Words nearby raise every kind; 1.2.3.4 is only "called" in row 6.
+    assert scores == [[100], [], [80], [60], [], [60], [80]]
 
 
 # ---- mixing --------------------------------------------------------------
