@@ -65,7 +65,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``; each result is written and read again."""
+    """Apply all stages to ``documents``; each result is written and read again.
+
+    Null and empty texts are rejected by the first stage, so no stage after it
+    has any. Texts of any length are worked on whole. Rows that repeat are one
+    after the second stage, whichever ids they have. A table that is empty, or
+    of which nothing is kept, gives an empty result with the same columns.
+    Further columns are carried to the mix, with the names that they have.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = shared_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))

@@ -113,8 +113,9 @@ def exact_dedup(
     Texts are equal when they are the same after lower-casing A-Z; a null text
     counts as empty. Of equal texts the row with the largest id stays (null is
     below every id; of rows that also share that id exactly one stays, and
-    which one is not defined). An empty table gives an empty result. Columns
-    other than id and text are not read.
+    which one is not defined). An empty table gives an empty result. Texts of any
+    length are digested and compared whole. Columns other than id and text are not
+    read.
 
     Returns ``row``, the id column as ``doc_id``, ``keep_id``, ``group_size``,
     ``kept`` and ``digest``. With ``carry`` also ``doc``, a struct of all given

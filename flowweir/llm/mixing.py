@@ -175,7 +175,8 @@ def mix(
 
     A null source is one of its own, after all others. Documents are laid out in
     order of id, then of text, so reruns agree, whatever the partitions; rows
-    equal in both are alike. Documents without words have no parts, sources
+    equal in both are alike. Words of very long texts are all counted and lie in
+    as many blocks as they fill. Documents without words have no parts, sources
     without words no slots, and an empty table gives empty results.
     """
     text = full_text(f"`{text_col}`")

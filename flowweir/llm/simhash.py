@@ -129,8 +129,8 @@ def simhash_groups(
     smallest id it reaches over links, its own included (null ids are passed
     over; null if there is no other). A null text counts as empty; texts without
     a word have fingerprint 0 and link like any other. Rows with equal
-    fingerprints are merged before linking, so copies cost nothing more. An
-    empty table gives an empty result. Columns other than id and text are
+    fingerprints are merged before linking, so copies cost nothing more. Very
+    long texts are read whole, inside their row. An empty table gives an empty result. Columns other than id and text are
     ignored, so none can clash.
     """
     marked = shared_table(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")

@@ -829,6 +829,8 @@ def every(docs):
 def test_empty_table(spark):
     for result in every(table(spark, [])):
         assert result.collect() == []
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string, id string")
+    assert format_conversations(turns, vocabulary("byte_bpe_50k.json")).collect() == []
 
 
 def test_odd_rows(spark, edges):

@@ -54,6 +54,16 @@ def test_run_gives_the_last_stage(spark):
     assert rows and {"doc_id", "sequence_id", "offset", "length"} <= set(rows[0].asDict())
 
 
+@pytest.mark.parametrize("texts", [[], [None, "", "too short."]])
+def test_run_without_kept_documents(spark, corpus, tmp_path, texts):
+    schema = spark.read.parquet(f"{corpus}/documents.parquet").schema
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    result = corpus_pipeline.run(spark, str(tmp_path))
+    assert {"doc_id", "sequence_id", "offset", "length"} <= set(result.columns)
+    assert result.collect() == []
+
+
 def test_registered_queries_and_sql(spark):
     names = {n.split("_")[0] for n in QUERIES}
     assert names == {f"op{n}" for n in range(1, 14)}
