@@ -12,6 +12,14 @@ from flowweir.schema import PACKET_SCHEMA
 from flowweir.sources.capture_files import ETHERNET, TCP, UDP
 
 
+def _address_bytes(text: str) -> bytes:
+    """Four bytes of a dotted address; a part above 255 carries into the one before it."""
+    number = 0
+    for part in text.split("."):
+        number = number * 256 + int(part)
+    return number.to_bytes(4, "big")
+
+
 def _frame_bytes(p) -> bytes:
     """Ethernet frame with the header fields of one packet row."""
     if p.src_ip is None:
@@ -28,12 +36,11 @@ def _frame_bytes(p) -> bytes:
         head = struct.pack(">HHHH", int(p.src_port), int(p.dst_port), 8 + len(payload), 0)
     else:
         head = b""
-    address = lambda text: bytes(int(x) for x in text.split("."))
     words = int(p.ip_ihl)
     ip = struct.pack(
         ">BBHHHBBH", 4 << 4 | words, 0, words * 4 + len(head) + len(payload), 0, 0, 64, proto, 0
     )
-    ip += address(p.src_ip) + address(p.dst_ip) + bytes(words * 4 - 20)
+    ip += _address_bytes(p.src_ip) + _address_bytes(p.dst_ip) + bytes(words * 4 - 20)
     return bytes(12) + b"\x08\x00" + ip + head + payload
 
 

@@ -216,12 +216,17 @@ def _capture_of_file(path):
     return F.regexp_extract(path, r"([^/]+)_\d+_\d+\.pcap$", 1)
 
 
+def _decoded(packets):
+    spelled = {c: F.expr(T.client_spelling(c)) for c in ("src_ip", "dst_ip")}
+    return packets.withColumns(spelled).select(*_DECODED)
+
+
 @query
 def pcap_ingest(spark, sf_dir):
     """Capture files, read by ranges much shorter than a file."""
     folder = _written_captures(spark, sf_dir)
     packets = CF.read_captures(spark, folder, capture_of=_capture_of_file, split_bytes=1 << 18)
-    return packets.select(*_DECODED)
+    return _decoded(packets)
 
 
 @query
@@ -231,7 +236,7 @@ def pcap_stream(spark, sf_dir):
         spark, _written_captures(spark, sf_dir), stage_path(spark, "capture-progress")
     )
     read = SK.run_available(packets, "captured")
-    return read.withColumn("capture_id", _capture_of_file(F.col("capture_id"))).select(*_DECODED)
+    return _decoded(read.withColumn("capture_id", _capture_of_file(F.col("capture_id"))))
 
 
 # ---- raw records and table preparation ------------------------------------

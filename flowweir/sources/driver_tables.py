@@ -66,6 +66,20 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def client_spelling(address: str) -> str:
+    """SQL that spells an address of a frame as ``packets`` does.
+
+    The third part of a client is its user over 256, without bound; a frame's four bytes
+    carry what is above 255 into the parts before it.
+    """
+    part = lambda i: f"cast(split_part({address}, '.', {i}) AS bigint)"
+    user = f"(({part(1)} - 10) * 256 + {part(2)}) * 256 + {part(3)}"
+    return (
+        f"CASE WHEN {address} LIKE '198.51.100.%' THEN {address} "
+        f"ELSE concat('10.0.', {user}, '.', {part(4)}) END"
+    )
+
+
 # Raw column name -> expression over q, x, k, m, n, bw, dur, fl, bl.
 _RAW_EXPRESSIONS = {
     "Flow Duration": "dur",

@@ -6,8 +6,10 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from flowweir.plans.queries import QUERIES
 from flowweir.sources import captures as CF
 from flowweir.sources.capture_files import CaptureFile, find_boundary
+from flowweir.sources.driver_tables import packets as packets_of
 from flowweir.streaming import sinks as SK
 from flowweir.streaming.capture_source import CaptureStreamReader, capture_stream
 
@@ -187,3 +189,25 @@ def test_progress_may_be_lost_or_ahead(tmp_path):
     (tmp_path / "a.pcap").write_bytes(content[:100])
     with pytest.raises(ValueError, match="shorter"):
         again.latestOffset()
+
+
+@pytest.fixture
+def crowded(spark, tmp_path):
+    """Events of users whose number over 256 does not fit a byte of an address."""
+    spark.createDataFrame(
+        [(n, 1_700_000_000 + n, user, "click", 20.5) for n, user in enumerate([3, 65_535, 65_536, 70_001, 16_777_216])],
+        "event_id long, at long, user_id long, event_type string, value double",
+    ).selectExpr("event_id", "timestamp_seconds(at) AS ts", "user_id", "event_type", "value").write.parquet(
+        f"{tmp_path}/events.parquet"
+    )
+    return str(tmp_path)
+
+
+def addresses(df):
+    return sorted((r.ts_us, r.src_ip or "", r.dst_ip or "") for r in df.select("ts_us", "src_ip", "dst_ip").collect())
+
+
+def test_ingested_addresses_of_many_users(spark, crowded):
+    found = addresses(QUERIES["pcap_ingest"](spark, crowded))
+    assert found == addresses(packets_of(spark, crowded))
+    assert any("10.0.65536.0" in row for row in found)
