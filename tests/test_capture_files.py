@@ -211,3 +211,8 @@ def test_ingested_addresses_of_many_users(spark, crowded):
     found = addresses(QUERIES["pcap_ingest"](spark, crowded))
     assert found == addresses(packets_of(spark, crowded))
     assert any("10.0.65536.0" in row for row in found)
+
+
+def test_streamed_addresses_of_many_users(spark, crowded):
+    found = addresses(QUERIES["pcap_stream"](spark, crowded))
+    assert found == addresses(packets_of(spark, crowded))
