@@ -69,26 +69,30 @@ def prepare_canonical(raw: DataFrame) -> DataFrame:
 def provenance_dedup(raw: DataFrame, order: str = "row_key") -> DataFrame:
     """First row of each (features, label) with the source it came from.
 
-    "First" is the least (source_file, ``order``). A minimum instead of a row
-    number: copies collapse on the map side, so a row repeated a billion times
-    costs no more to move than one.
+    "First" is the least (source_file, ``order``). Rows move once, by a digest of what is
+    compared, and are sorted once, behind the move, in the shares it makes. Merging on
+    the map side would sort whole input splits instead and spill them: the minimum has texts,
+    and rows with few copies do not shrink. Copies of one row meet in one task, which
+    keeps the first of them as it reads.
     """
+    # Both zeros compare as equal, so they are made one before the digest.
     clean = clean_flow_records(raw, "source_file", order).select(
         "source_file",
         order,
-        *FEATURES,
+        *[(F.col(f) + F.lit(0.0)).alias(f) for f in FEATURES],
         label_not_benign("Label").alias("binary_label"),
         trimmed("Label").alias("source_label"),
     )
-    first = clean.groupBy(*FEATURES, "binary_label").agg(
-        F.min(F.struct("source_file", order, "source_label")).alias("first")
-    )
+    compared = [*FEATURES, "binary_label"]
+    routed = clean.withColumn("_route", F.xxhash64(*compared)).repartition("_route")
+    copies = Window.partitionBy("_route", *compared).orderBy("source_file", order, "source_label")
+    first = routed.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") == 1)
     return first.select(
         *[F.col(f).cast("float").alias(f) for f in FEATURES],
         "binary_label",
-        "first.source_label",
-        "first.source_file",
-        f"first.{order}",
+        "source_label",
+        "source_file",
+        order,
     )
 
 

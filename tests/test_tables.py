@@ -54,6 +54,14 @@ def test_provenance_keeps_the_first_source(raw):
     assert len(got) == 1 and got[0].source_file == "a.csv"
 
 
+def test_provenance_sorts_behind_the_move_only(raw):
+    df = raw([raw_row("Bot")]).withColumns({"source_file": F.lit("b.csv"), "row_key": F.lit(1)})
+    plan = PR.provenance_dedup(df)._jdf.queryExecution().executedPlan().toString()
+    behind, _, before = plan.partition("Exchange")
+    assert behind.count("+- Sort [") == 1
+    assert "Sort" not in before
+
+
 def test_label_rules(spark):
     df = spark.createDataFrame(
         [(" BENIGN ",), ("Benign",), ("normal",), ("0",), (None,), ("Web Attack ? XSS",)], "l string"
