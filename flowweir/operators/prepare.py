@@ -251,14 +251,16 @@ def dataset_head(df: DataFrame, order: str, rows: int = 5) -> DataFrame:
 
 def reproduction_diff(regenerated: DataFrame, frozen: DataFrame, key: str) -> DataFrame:
     """Keyed comparison of two builds of the labelled table, one summary row."""
-    mine = regenerated.select(key, *[F.col(c).alias(f"_l_{c}") for c in [*FEATURES, "label"]])
-    theirs = frozen.select(key, *[F.col(c).alias(f"_r_{c}") for c in [*FEATURES, "label"]])
+    # Features move as one array: floats take four bytes each there, eight as columns.
+    mine = regenerated.select(key, F.array(*FEATURES).alias("_l"), F.col("label").alias("_l_label"))
+    theirs = frozen.select(key, F.array(*FEATURES).alias("_r"), F.col("label").alias("_r_label"))
     both = mine.withColumn("_in_l", F.lit(True)).join(
         theirs.withColumn("_in_r", F.lit(True)), key, "full_outer"
     )
     matched = F.col("_in_l").isNotNull() & F.col("_in_r").isNotNull()
     cells = sum(
-        F.when(F.col(f"_l_{f}").eqNullSafe(F.col(f"_r_{f}")), 0).otherwise(1) for f in FEATURES
+        F.when(F.get("_l", F.lit(i)).eqNullSafe(F.get("_r", F.lit(i))), 0).otherwise(1)
+        for i in range(len(FEATURES))
     )
     label_differs = ~F.col("_l_label").eqNullSafe(F.col("_r_label"))
     count = lambda c: F.count_if(c)
