@@ -257,15 +257,14 @@ def provenance_join(scored: DataFrame, provenance: DataFrame, key: str) -> DataF
 
 def alignment_report(frozen: DataFrame, provenance: DataFrame, key: str) -> DataFrame:
     """Rows on one side only, and rows whose features or labels differ."""
-    left = frozen.select(key, "label", *FEATURES)
-    right = provenance.select(
-        F.col(key), F.col("binary_label").alias("_label"), *[F.col(f).alias(f"_{f}") for f in FEATURES]
-    )
-    both = left.withColumn("_l", F.lit(1)).join(right.withColumn("_r", F.lit(1)), key, "full_outer")
+    # Features move as one array: floats take four bytes each there, eight as columns.
+    left = frozen.select(key, "label", F.array(*FEATURES).alias("_l"))
+    right = provenance.select(key, F.col("binary_label").alias("_label"), F.array(*FEATURES).alias("_r"))
+    both = left.join(right, key, "full_outer")
     matched = F.col("_l").isNotNull() & F.col("_r").isNotNull()
     same = F.lit(True)
-    for f in FEATURES:
-        same = same & F.col(f).eqNullSafe(F.col(f"_{f}"))
+    for i in range(len(FEATURES)):
+        same = same & F.get("_l", F.lit(i)).eqNullSafe(F.get("_r", F.lit(i)))
     return both.agg(
         F.count_if(matched).alias("matched"),
         F.count_if(F.col("_r").isNull()).alias("only_frozen"),

@@ -269,3 +269,20 @@ def test_overlapping_windows_label_a_flow_once(spark):
     key = lambda r: r[:2]
     assert sorted((tuple(r[c] for c in columns) for r in got), key=key) == sorted(expected, key=key)
     assert {r[4] for r in expected} >= {0, 1, 2, 3} and any(r[5] for r in expected)
+
+
+def test_builds_move_their_features_as_one_array(spark):
+    from flowweir.operators import errors as ER
+
+    frozen = spark.range(2).select(
+        F.col("id").cast("string").alias("row_key"),
+        *[F.col("id").cast("float").alias(f) for f in FEATURES],
+        F.lit(0).alias("label"),
+    )
+    changed = frozen.withColumn("idle_time", F.when(F.col("row_key") == "0", F.col("idle_time")))
+    diff = PR.reproduction_diff(changed, frozen, "row_key")
+    aligned = ER.alignment_report(changed, frozen.withColumnRenamed("label", "binary_label"), "row_key")
+    assert (diff.first().differing_cells, aligned.first().feature_mismatch) == (1, 1)
+    for result in (diff, aligned):
+        plan = result._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("array(") >= 2
