@@ -19,9 +19,18 @@ from flowweir.sources.captures import FILE_SPAN, RECORD, header_fields, range_wa
 
 FORMAT = "capture_records"
 SPLIT_BYTES = 64 << 20
+# What opening a file counts as when ranges are put together, as Spark counts it.
+OPEN_BYTES = 4 << 20
 
 
-class CaptureRange(InputPartition):
+class CaptureRanges(InputPartition):
+    """The byte ranges of one task."""
+
+    def __init__(self, ranges: list):
+        self.ranges = ranges
+
+
+class CaptureRange:
     """Records of [low, high) of one file; both are boundaries."""
 
     def __init__(self, path: str, low: int, high: int, order: str, held: list, first_id: int):
@@ -61,6 +70,10 @@ class CaptureStreamReader(DataSourceStreamReader):
         self.known: dict[str, dict] | None = None
         self.marks: dict[str, list[tuple]] = {}
 
+    def __getstate__(self) -> dict:
+        """Tasks get the reader without what it knows of every file: they need their ranges only."""
+        return {**self.__dict__, "known": None, "marks": {}}
+
     def initialOffset(self) -> dict:
         return {"files": {}}
 
@@ -103,7 +116,19 @@ class CaptureStreamReader(DataSourceStreamReader):
         file.close()
         return {**state, "at": at, "order": order, "interfaces": _pack(held)}
 
-    def partitions(self, start: dict, end: dict) -> list[CaptureRange]:
+    def partitions(self, start: dict, end: dict) -> list[CaptureRanges]:
+        """Ranges in the order of files, small ones together up to the split size."""
+        tasks, filled = [], 0
+        for found in self._ranges(start, end):
+            cost = found.high - found.low + OPEN_BYTES
+            if not tasks or filled + cost > self.split_bytes:
+                tasks.append([])
+                filled = 0
+            tasks[-1].append(found)
+            filled += cost
+        return [CaptureRanges(ranges) for ranges in tasks]
+
+    def _ranges(self, start: dict, end: dict) -> list[CaptureRange]:
         ranges = []
         for path, state in sorted(end["files"].items()):
             before = start["files"].get(path, {"at": 0, "order": "<", "interfaces": ""})
@@ -117,7 +142,11 @@ class CaptureStreamReader(DataSourceStreamReader):
                 low, order, held = high, next_order, next_held
         return ranges
 
-    def read(self, partition: CaptureRange):
+    def read(self, partition: CaptureRanges):
+        for part in partition.ranges:
+            yield from self._read_range(part)
+
+    def _read_range(self, partition: CaptureRange):
         low, order = partition.low, partition.order
         if low == 0:
             file = CaptureFile(partition.path, partition.high)

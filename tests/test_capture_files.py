@@ -4,6 +4,7 @@ import random
 import struct
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from flowweir.plans.queries import QUERIES
@@ -216,3 +217,20 @@ def test_ingested_addresses_of_many_users(spark, crowded):
 def test_streamed_addresses_of_many_users(spark, crowded):
     found = addresses(QUERIES["pcap_stream"](spark, crowded))
     assert found == addresses(packets_of(spark, crowded))
+
+
+def test_many_small_files_share_tasks_and_tasks_carry_no_file_list(tmp_path):
+    sizes = []
+    for n in range(40):
+        content, offsets = plain_file(random.Random(n), 5)
+        (tmp_path / f"{n:02d}.pcap").write_bytes(content)
+        sizes.append(len(offsets))
+    reader = CaptureStreamReader({"path": str(tmp_path), "progress": str(tmp_path / "p")})
+    blank = len(cloudpickle.dumps(reader.read))
+    end = reader.latestOffset()
+    parts = reader.partitions(reader.initialOffset(), end)
+    assert len(parts) < 5
+    assert len(cloudpickle.dumps(reader.read)) <= blank + 100
+    ids = [i for p in parts for b in reader.read(p) for i in b.column("packet_id").to_pylist()]
+    assert len(ids) == sum(sizes) == len(set(ids))
+    assert reader.latestOffset() == end
