@@ -153,3 +153,12 @@ def test_forest_scoring_and_gate(spark):
     rows = SC.detect_flows(model, df, enabled=True).collect()
     assert all(abs(sum(r.probabilities) - 1) < 1e-9 and len(r.leaves) == 5 for r in rows)
     assert sum(r.prediction == r.label for r in rows) > 190
+
+
+def test_forest_keeps_the_node_of_each_row_between_levels(spark):
+    df = spark.range(60).select(
+        *[((F.col("id") * (i + 3)) % 17).cast("double").alias(f) for i, f in enumerate(FEATURES)],
+        (F.col("id") % 2).cast("int").alias("label"),
+    )
+    model = SC.train_forest(df, numTrees=2, maxDepth=3)
+    assert model.stages[-1].getCacheNodeIds()
