@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowweir.functions.columns import sample_class, shift_verdict, unpivot_features
-from flowweir.functions.ordered import _join_null_safe, cumulative, quantiles_of_runs
+from flowweir.functions.ordered import _join_null_safe, cumulative, exact_quantiles
 from flowweir.schema import FEATURES
 
 SUMMARY_QUANTILES = {"q00": 0.0, "q50": 0.5, "q95": 0.95, "q99": 0.99, "q100": 1.0}
@@ -15,31 +15,17 @@ SUMMARY_QUANTILES = {"q00": 0.0, "q50": 0.5, "q95": 0.95, "q99": 0.99, "q100": 1
 def distribution_summary(df: DataFrame, by=()) -> DataFrame:
     """Per feature: count, mean, population deviation, share of zeros, quantiles."""
     group = [*by, "feature"]
-    long = unpivot_features(df, list(by))
-    value, n = F.col("value"), F.col("n")
-    # Moments are weighted sums over the distinct values: the same rows serve both.
-    runs = cumulative(long.filter(value.isNotNull()), group, "value", {"n": F.count(F.lit(1))})
-    summed = quantiles_of_runs(
-        runs,
-        group,
-        "value",
-        SUMMARY_QUANTILES,
-        F.sum(value * n) / F.sum(n),
-        F.sum(F.when(value == 0.0, n).otherwise(0)) / F.sum(n),
-    )
-    means = summed.select(*group, F.col("_more0").alias("_mean"))
-    apart = _join_null_safe(runs.select(*group, "value", "n"), F.broadcast(means), group)
-    deviation = apart.groupBy(*group).agg(
-        F.sqrt(F.sum(n * (value - F.col("_mean")) ** 2) / F.sum(n)).alias("std")
-    )
-    named = summed.select(
-        *group,
-        F.col("n").alias("count"),
-        F.col("_more0").alias("mean"),
-        F.col("_more1").alias("zero_fraction"),
-        *SUMMARY_QUANTILES,
+    long = unpivot_features(df, list(by)).filter(F.col("value").isNotNull())
+    value = F.col("value")
+    # Merged on the map side: one row per group and task moves.
+    moments = long.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("count"),
+        F.avg(value).alias("mean"),
+        F.stddev_pop(value).alias("std"),
+        (F.count_if(value == 0.0) / F.count(F.lit(1))).alias("zero_fraction"),
     )
-    return _join_null_safe(named, deviation, group)
+    quantiles = exact_quantiles(long, group, "value", SUMMARY_QUANTILES).drop("n")
+    return _join_null_safe(moments, quantiles, group)
 
 
 def distribution_comparison(train: DataFrame, live: DataFrame) -> DataFrame:

@@ -2,7 +2,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowweir.functions.ordered import cumulative, exact_quantiles, first_rows, with_rank
+from flowweir.functions.ordered import (
+    cumulative,
+    exact_quantiles,
+    first_rows,
+    runs_near,
+    with_rank,
+)
 
 
 @pytest.fixture(scope="module")
@@ -61,3 +67,20 @@ def test_first_rows_with_nulls_ties_and_few_rows(spark, n):
     order = lambda v: (v is not None, v or 0)
     assert sorted(got, key=order) == values[:n]
     assert first_rows(df.filter("i < 0"), "v", n).collect() == []
+
+
+def test_quantiles_move_only_values_near_them(spark):
+    rng = np.random.default_rng(5)
+    values = np.concatenate(
+        [rng.normal(size=4000) * 1e6, [0.0, -0.0, 5e-324, -5e-324, 1.7e308, -1.7e308], rng.random(4000) * 1e-9]
+    )
+    df = spark.createDataFrame([(None, float(v)) for v in values], "g string, v double")
+    probs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.95, "e": 1.0}
+    assert runs_near(df, ["g"], "v", probs).count() < 400
+    (got,) = exact_quantiles(df, ["g"], "v", probs).collect()
+    assert got.n == len(values)
+    for name, p in probs.items():
+        assert got[name] == pytest.approx(np.quantile(values, p), rel=1e-12)
+    endless = spark.createDataFrame([(float(v),) for v in ("-inf", 1, 2, "inf", "nan")], "v double")
+    (row,) = exact_quantiles(endless, [], "v", {"q": 0.25, "h": 0.5}).collect()
+    assert (row.q, row.h, row.n) == (1.0, 2.0, 5)
