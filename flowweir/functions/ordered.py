@@ -9,6 +9,8 @@ totals, with at most one row per (block, group) pair.
 
 from __future__ import annotations
 
+from os.path import commonprefix
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -202,6 +204,70 @@ def runs_near(df: DataFrame, by, value: str, probs) -> DataFrame:
     )
 
 
+def order_bucket(df: DataFrame, order: str) -> Column:
+    """Something that never falls as ``order`` grows, with a small part of the rows each."""
+    kind = df.schema[order].dataType
+    if isinstance(kind, T.NumericType):
+        return _value_bucket(order)
+    if not isinstance(kind, T.StringType):
+        return F.lit(0)
+    ends = df.agg(F.min(order), F.max(order)).first()
+    # Four characters behind those that all rows begin with.
+    return F.substring(order, len(commonprefix([end or "" for end in ends])) + 1, 4)
+
+
+def rank_cuts(
+    df: DataFrame, by, value: str, order: str, bucket: Column, probs: dict[str, float]
+) -> DataFrame:
+    """The row at rank 1 + floor((n-1)p) of each group, in the order of (value, order).
+
+    One row per (by, ``cut``), ``cut`` a name of ``probs``: ``value`` and ``last``, the
+    order of that row, or null if all rows of that value are up to it. Only rows of the
+    value at a cut are compared by ``order``, and of these only the ones in the bucket
+    of the cut are moved and sorted. ``order`` is unique in a group, ``bucket`` that of
+    ``order_bucket``. ``df`` is read four times.
+    """
+    by = list(by)
+    runs = runs_near(df, by, value, probs)
+    start = F.col("n_upto") - F.col("n")
+    hits = F.array(
+        *[
+            F.struct(F.lit(name).alias("cut"), (low - start + 1).cast("long").alias("take"))
+            for name, _, low, _ in _neighbours(probs)
+        ]
+    )
+    own = F.filter(hits, lambda h: (h["take"] >= 1) & (h["take"] <= F.col("n")))
+    cuts = stage_table(runs.select(*by, value, "n", F.inline(own)), "cuts")
+    split = cuts.filter(F.col("take") < F.col("n"))
+    group = [*by, value]
+    # A few rows per group, as many as there are probabilities.
+    tied = _join_null_safe(
+        df.select(*group, order, bucket.alias(_BUCKET)),
+        F.broadcast(split.select(*group).distinct()),
+        group,
+        "left_semi",
+    )
+    counts = stage_table(tied.groupBy(*group, _BUCKET).agg(F.count(F.lit(1)).alias("_n")), "ties")
+    upto = F.sum("_n").over(Window.partitionBy(*group).orderBy(_BUCKET))
+    laid = counts.withColumn("_before", upto - F.col("_n"))
+    place = F.col("take") - F.col("_before")
+    wanted = stage_table(
+        _join_null_safe(laid, split, group)
+        .filter((place >= 1) & (place <= F.col("_n")))
+        .select(*group, _BUCKET, "cut", place.alias("_place")),
+        "wanted-ties",
+    )
+    inside = [*group, _BUCKET]
+    near = _join_null_safe(
+        tied, F.broadcast(wanted.select(*inside).distinct()), inside, "left_semi"
+    )
+    ranked = with_rank(near, inside, [order], "_place")
+    found = _join_null_safe(ranked, wanted, [*inside, "_place"]).select(
+        *by, "cut", F.col(order).alias("last")
+    )
+    return _join_null_safe(cuts.select(*group, "cut"), found, [*by, "cut"], "left")
+
+
 def exact_quantiles(df: DataFrame, by, value: str, probs: dict[str, float]) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group.
 

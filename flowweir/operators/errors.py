@@ -6,7 +6,7 @@ Input columns: the features, ``binary_label``, ``prediction``, ``source_label``,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowweir.functions.columns import (
@@ -15,7 +15,7 @@ from flowweir.functions.columns import (
     is_weak_family,
     unpivot_features,
 )
-from flowweir.functions.ordered import exact_quantiles, with_rank
+from flowweir.functions.ordered import exact_quantiles, order_bucket, rank_cuts
 from flowweir.schema import FEATURES
 
 # The features cut into quartile slices.
@@ -33,40 +33,84 @@ def with_error_type(scored: DataFrame) -> DataFrame:
     return scored.withColumn("error_type", error_type("binary_label", "prediction"))
 
 
+_ENDS = {"Q1": 0.25, "Q2": 0.5, "Q3": 0.75}
+
+
+def _slice_ends(df: DataFrame, order: str, features) -> DataFrame:
+    """Per feature the last row of Q1, Q2 and Q3, each as (``at``, ``last``)."""
+    long = unpivot_features(df.select(order, *features), [order], features)
+    end = F.struct(F.col("value").alias("at"), "last")
+    return (
+        rank_cuts(
+            long.filter(F.col("value").isNotNull()),
+            ["feature"],
+            "value",
+            order,
+            order_bucket(df, order),
+            _ENDS,
+        )
+        .groupBy("feature")
+        .agg(*[F.max(F.when(F.col("cut") == q, end)).alias(q) for q in _ENDS])
+    )
+
+
+def _slice(value: Column, key: Column, ends: str) -> Column:
+    """Slice of a row; ``ends`` holds its feature's last rows of slices."""
+
+    def within(q):
+        at, last = F.col(f"{ends}.{q}.at"), F.col(f"{ends}.{q}.last")
+        tie = last.isNull() | F.coalesce(key <= last, key.isNull())
+        return (value < at) | ((value == at) & tie)
+
+    return (
+        F.when(within("Q1"), "Q1")
+        .when(within("Q2"), "Q2")
+        .when(within("Q3"), "Q3")
+        .when(value.isNotNull(), "Q4")
+    )
+
+
 def quartile_slices(df: DataFrame, order: str, features=SLICE_FEATURES) -> DataFrame:
     """(row, feature) pairs with their quartile Q1..Q4.
 
     Ranks break ties by ``order`` and are cut at 1 + (n-1)q, so the slices are
-    not those of ``ntile``. Ranking runs on range blocks, not one window.
+    not those of ``ntile``. The last row of each slice is looked up and all rows are
+    compared with it in place: none gets a rank of its own.
     """
     ids = [c for c in df.columns if c not in FEATURES]
     long = unpivot_features(df, ids, features).filter(F.col("value").isNotNull())
-    ranked = with_rank(long, ["feature"], ["value", order], "rank")
-    sizes = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
-    cut = lambda q: 1 + (F.col("n") - 1) * q
+    ends = _slice_ends(df, order, features).select("feature", F.struct(*_ENDS).alias("_ends"))
     # One row per feature: a fixed number of rows.
-    return ranked.join(F.broadcast(sizes), "feature").withColumn(
-        "slice",
-        F.when(F.col("rank") <= cut(0.25), "Q1")
-        .when(F.col("rank") <= cut(0.5), "Q2")
-        .when(F.col("rank") <= cut(0.75), "Q3")
-        .otherwise("Q4"),
-    )
+    joined = long.join(F.broadcast(ends), "feature")
+    return joined.withColumn("slice", _slice(F.col("value"), F.col(order), "_ends")).drop("_ends")
 
 
 def error_slices(scored: DataFrame, order="row_key", features=SLICE_FEATURES) -> DataFrame:
     """Per feature and quartile: rows, attacks, errors, benign FPR, attack recall."""
     narrow = scored.select(order, "binary_label", "prediction", *features)
-    y, p = F.col("binary_label"), F.col("prediction")
+    ends = _slice_ends(narrow, order, features)
+    # One row. Rows are counted by their slices of all features before these are listed.
+    row = ends.agg(
+        *[F.max(F.when(F.col("feature") == f, F.struct(*_ENDS))).alias(f"_{f}") for f in features]
+    )
+    sliced = narrow.crossJoin(F.broadcast(row)).select(
+        F.col("binary_label").alias("y"),
+        F.col("prediction").alias("p"),
+        *[_slice(F.col(f).cast("double"), F.col(order), f"_{f}").alias(f) for f in features],
+    )
+    counted = sliced.groupBy("y", "p", *features).count()
+    y, p = F.col("y"), F.col("p")
+    of = lambda test: F.sum(F.when(test, F.col("count")).otherwise(0))
     grouped = (
-        quartile_slices(narrow, order, features)
+        counted.unpivot(["y", "p", "count"], features, "feature", "slice")
+        .filter(F.col("slice").isNotNull())
         .groupBy("feature", "slice")
         .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.count_if(y == 1).alias("attacks"),
-            F.count_if((y == 0) & (p == 1)).alias("false_positives"),
-            F.count_if((y == 1) & (p == 0)).alias("false_negatives"),
-            F.count_if(y == 0).alias("benign"),
+            F.sum("count").alias("rows"),
+            of(y == 1).alias("attacks"),
+            of((y == 0) & (p == 1)).alias("false_positives"),
+            of((y == 1) & (p == 0)).alias("false_negatives"),
+            of(y == 0).alias("benign"),
         )
     )
     return grouped.select(
