@@ -3,15 +3,13 @@
 Two stateful steps. The first is a built-in aggregation that merges the packets of
 a key and microsecond and holds them back until the watermark has passed, so its
 output comes complete and in the order of time, batch by batch, whatever the order
-of arrival inside the lateness bound. The second keeps one small state per flow
-key and folds those rows into it.
+of arrival inside the lateness bound. The second keeps one small state per open flow,
+in a list per share of the flow keys, and folds those rows into it.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -34,26 +32,27 @@ _STATE = [
     *_SUMS,
     *_ACTIVITY,
 ]
-_STATE_SCHEMA = ", ".join(f"{c} bigint" for c in _STATE)
+_ROW = ["ts_us", "first_packet_id", "first_payload", "forward_is_lo", *_SUMS]
 _KEY_SCHEMA = (
     "capture_id string, protocol string, lo_ip string, lo_port int, hi_ip string, hi_port int"
 )
-OUTPUT_SCHEMA = f"{_KEY_SCHEMA}, {_STATE_SCHEMA}"
+OUTPUT_SCHEMA = f"{_KEY_SCHEMA}, state array<bigint>"
+_CLOSED = Row(*KEY, "state")
 _ABSENT = -1
+SHARES = 1024
 
 
-def _opened(rows: pd.DataFrame, at: int) -> dict:
-    """State of a flow that starts at row ``at``, before any packet is added."""
-    start = int(rows["ts_us"].iat[at])
+def _opened(at: int, packet_id: int, payload: int, forward_is_lo: int) -> dict:
+    """State of a flow that starts at ``at``, before any packet is added."""
     state = dict.fromkeys(_STATE, 0)
     state.update(
-        flow_start_us=start,
-        first_us=start,
-        last_us=start,
-        period_us=start,
-        first_packet_id=int(rows["first_packet_id"].iat[at]),
-        first_payload=int(rows["first_payload"].iat[at]),
-        forward_is_lo=int(rows["forward_is_lo"].iat[at]),
+        flow_start_us=at,
+        first_us=at,
+        last_us=at,
+        period_us=at,
+        first_packet_id=packet_id,
+        first_payload=payload,
+        forward_is_lo=forward_is_lo,
         lo_first_us=_ABSENT,
         lo_last_us=_ABSENT,
         hi_first_us=_ABSENT,
@@ -62,33 +61,36 @@ def _opened(rows: pd.DataFrame, at: int) -> dict:
     return state
 
 
-def _added(state: dict, rows: pd.DataFrame, gap_us: int) -> None:
-    """Add rows of one flow, in order of time and not before what the state holds."""
-    times = rows["ts_us"].to_numpy()
-    earlier = np.concatenate(([state["last_us"]], times[:-1]))
-    quiet = times - earlier > gap_us
-    if quiet.any():
-        opens = times[quiet]
-        active = earlier[quiet] - np.concatenate(([state["period_us"]], opens[:-1]))
-        state["active_us"] += int(active.sum())
-        state["active_periods"] += int((active > 0).sum())
-        state["idle_us"] += int((times - earlier)[quiet].sum())
-        state["idle_periods"] += int(quiet.sum())
-        state["period_us"] = int(opens[-1])
-    state["last_us"] = int(times[-1])
-    state["first_packet_id"] = min(state["first_packet_id"], int(rows["first_packet_id"].min()))
-    for name in _SUMS:
-        state[name] += int(rows[name].sum())
-    for side in ("lo", "hi"):
-        seen = times[rows[f"{side}_packets"].to_numpy() > 0]
-        if len(seen):
-            if state[f"{side}_first_us"] == _ABSENT:
-                state[f"{side}_first_us"] = int(seen[0])
-            state[f"{side}_last_us"] = int(seen[-1])
+def _add(state: dict, at: int, packet_id: int, sums: list, gap_us: int) -> None:
+    """Add one merged row of a flow, not before what the state holds."""
+    quiet = at - state["last_us"]
+    if quiet > gap_us:
+        active = state["last_us"] - state["period_us"]
+        state["active_us"] += active
+        state["active_periods"] += active > 0
+        state["idle_us"] += quiet
+        state["idle_periods"] += 1
+        state["period_us"] = at
+    state["last_us"] = at
+    state["first_packet_id"] = min(state["first_packet_id"], packet_id)
+    for name, more in zip(_SUMS, sums):
+        state[name] += more
+    for first, last, packets in (
+        ("lo_first_us", "lo_last_us", sums[0]),
+        ("hi_first_us", "hi_last_us", sums[1]),
+    ):
+        if packets:
+            if state[first] == _ABSENT:
+                state[first] = at
+            state[last] = at
 
 
 class FlowTracker(StatefulProcessor):
-    """Emits one aggregate row per closed flow. Python turns once per flow, not per packet."""
+    """Emits one aggregate row per closed flow; its key is a share of the flow keys.
+
+    A share's open flows are read and written at once, as each call to the state costs more
+    than many flows do. Numbers come, stay and go as one array for the same reason.
+    """
 
     def __init__(self, timeout_us: int = FLOW_TIMEOUT_US, gap_us: int = ACTIVITY_GAP_US):
         self.timeout_us = timeout_us
@@ -96,47 +98,54 @@ class FlowTracker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.flow = handle.getValueState("flow", _STATE_SCHEMA)
+        self.flows = handle.getListState("flows", OUTPUT_SCHEMA)
 
-    def _row(self, key, state) -> list:
-        return [*key, *[state[c] for c in _STATE]]
+    def _open(self) -> dict:
+        return {row[:-1]: dict(zip(_STATE, row[-1])) for row in self.flows.get()}
 
-    def _frame(self, rows) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=[*KEY, *_STATE])
+    def _row(self, flow, state) -> Row:
+        return _CLOSED(*flow, [state[c] for c in _STATE])
 
     def _alarm(self, state) -> int:
         # First whole millisecond at which no packet can still join the flow.
         return (state["flow_start_us"] + self.timeout_us) // 1000 + 1
 
+    def _first_alarm(self, held) -> int | None:
+        return min(map(self._alarm, held.values()), default=None)
+
+    def _settled(self, held, before, timerValues):
+        """Rows of the flows that are over; the others are kept, with one timer for the first of them."""
+        watermark = timerValues.getCurrentWatermarkInMs()
+        over = [flow for flow, state in held.items() if self._alarm(state) <= watermark]
+        closed = [self._row(flow, held.pop(flow)) for flow in over]
+        if held:
+            self.flows.put([tuple(self._row(*item)) for item in held.items()])
+        else:
+            self.flows.clear()
+        alarm = self._first_alarm(held)
+        if before != alarm:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if alarm is not None:
+                self.handle.registerTimer(alarm)
+        return closed
+
     def handleInputRows(self, key, rows, timerValues):
-        stored = self.flow.get() if self.flow.exists() else None
-        state = dict(zip(_STATE, stored)) if stored else None
-        if state:
-            self.handle.deleteTimer(self._alarm(state))
-        arrived = pd.concat(list(rows)).sort_values("ts_us", kind="stable", ignore_index=True)
-        times, at, closed = arrived["ts_us"].to_numpy(), 0, []
-        while at < len(times):
-            if state and times[at] - state["flow_start_us"] > self.timeout_us:
-                closed.append(self._row(key, state))
+        held = self._open()
+        before = self._first_alarm(held)
+        arrived = sorted(((r.numbers, tuple(r[1:-1])) for r in rows), key=lambda r: r[0][0])
+        for (at, packet_id, payload, forward_is_lo, *sums), flow in arrived:
+            state = held.get(flow)
+            if state and at - state["flow_start_us"] > self.timeout_us:
+                yield self._row(flow, state)
                 state = None
             if state is None:
-                state = _opened(arrived, at)
-            end = np.searchsorted(times, state["flow_start_us"] + self.timeout_us, side="right")
-            _added(state, arrived.iloc[at:end], self.gap_us)
-            at = end
-        if self._alarm(state) <= timerValues.getCurrentWatermarkInMs():
-            closed.append(self._row(key, state))
-            self.flow.clear()
-        else:
-            self.handle.registerTimer(self._alarm(state))
-            self.flow.update(tuple(int(state[c]) for c in _STATE))
-        yield self._frame(closed)
+                state = held[flow] = _opened(at, packet_id, payload, forward_is_lo)
+            _add(state, at, packet_id, sums, self.gap_us)
+        yield from self._settled(held, before, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.flow.exists():
-            state = dict(zip(_STATE, self.flow.get()))
-            self.flow.clear()
-            yield self._frame([self._row(key, state)])
+        yield from self._settled(self._open(), None, timerValues)
 
     def close(self) -> None:
         pass
@@ -147,13 +156,15 @@ def track_flows(
     timeout_us: int = FLOW_TIMEOUT_US,
     gap_us: int = ACTIVITY_GAP_US,
     lateness: str = LATENESS,
+    shares: int = SHARES,
 ) -> DataFrame:
     """Closed flows of a packet stream with their twenty features.
 
     Equals the batch operator for packets not later than ``lateness``; later ones
     are dropped. A flow is emitted when the watermark passes the end of its
     timeout; a packet of its own key with a later time closes those open at the
-    end of an input. Needs the RocksDB state store, which ``run_available``
+    end of an input. Keys are dealt to ``shares`` by a hash; a share's open flows are
+    in memory together while its rows are folded. Needs the RocksDB state store, which ``run_available``
     sets for its query.
     """
     measured = packet_measures(flow_keys(with_event_time(packets)))
@@ -174,9 +185,15 @@ def track_flows(
             *[F.sum(f).alias(f) for f in ("syn", "ack", "rst", "fin")],
         )
     )
-    closed = merged.groupBy(*KEY).transformWithStateInPandas(
+    rows = merged.select(
+        F.pmod(F.xxhash64(*KEY), F.lit(shares)).alias("share"),
+        *KEY,
+        F.array(*[F.col(c).cast("long") for c in _ROW]).alias("numbers"),
+    )
+    tracked = rows.groupBy("share").transformWithState(
         FlowTracker(timeout_us, gap_us), OUTPUT_SCHEMA, "Append", "EventTime"
     )
+    closed = tracked.select(*KEY, *[F.get("state", F.lit(i)).alias(c) for i, c in enumerate(_STATE)])
     present = lambda c: F.when(F.col(c) != _ABSENT, F.col(c)).alias(c)
     bounds = [f"{side}_{end}_us" for side in ("lo", "hi") for end in ("first", "last")]
     typed = closed.select(

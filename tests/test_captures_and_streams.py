@@ -98,12 +98,12 @@ def test_bad_capture_is_an_error(spark, tmp_path):
         CF.read_captures(spark, str(tmp_path)).collect()
 
 
-def _tracked(spark, batches, folder):
+def _tracked(spark, batches, folder, **options):
     for rows in batches:
         rows.coalesce(1).write.mode("append").parquet(folder)
     IN.end_marker(spark, 10**10).coalesce(1).write.mode("append").parquet(folder)
     stream = SK.packet_stream(spark, folder, maxFilesPerTrigger=1)
-    return SK.run_available(TK.track_flows(stream), "tracked")
+    return SK.run_available(TK.track_flows(stream, **options), "tracked")
 
 
 def test_stream_flow_tracker_equals_batch(spark, packets, traffic, tmp_path):
@@ -117,6 +117,14 @@ def test_stream_flow_tracker_equals_batch(spark, packets, traffic, tmp_path):
     assert got.exceptAll(expected).count() == 0
 
 
+def test_stream_flow_tracker_keeps_all_flows_of_a_share(spark, packets, traffic, tmp_path):
+    arriving = sorted(traffic, key=lambda r: r[2])
+    batches = [packets(arriving[:150]), packets(arriving[150:])]
+    got = _tracked(spark, batches, str(tmp_path / "in"), shares=1)
+    expected = FL.flow_features(packets(traffic)).select(*FLOW, *FEATURES)
+    assert got.exceptAll(expected).count() == 0 and got.count() == expected.count()
+
+
 def test_stream_flow_starts_at_its_first_packet_in_time(spark, packets, tmp_path):
     late = packet(2, 1000.0, src="10.0.0.2", dst="10.0.0.1", sport=80, dport=1000, payload=9)
     rows = [packet(1, 1003.0, payload=5), late]
