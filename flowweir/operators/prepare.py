@@ -289,12 +289,20 @@ def reproduction_diff(regenerated: DataFrame, frozen: DataFrame, key: str) -> Da
 
 
 def multiset_diff(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Order-free check: number of rows on one side only, repeats counted."""
-    columns = left.columns
-    sides = left.select(*columns, F.lit(1).alias("_n")).unionByName(
-        right.select(*columns, F.lit(-1).alias("_n"))
+    """Order-free check: number of rows on one side only, repeats counted.
+
+    Rows are compared by two digests of 64 bits with different seeds, so that no column is
+    moved. Columns are taken in the order and types of ``left``.
+    """
+    kinds = left.dtypes
+    columns = [F.col(f"`{c}`").cast(t) for c, t in kinds]
+    # A digest passes over nulls: where they are counts as well.
+    marked = [*columns, F.array(*[c.isNull() for c in columns])]
+    digests = [F.xxhash64(*marked).alias("_h1"), F.xxhash64(F.lit(1), *marked).alias("_h2")]
+    sides = left.select(*digests, F.lit(1).alias("_n")).unionByName(
+        right.select(*digests, F.lit(-1).alias("_n"))
     )
-    balance = sides.groupBy(*columns).agg(F.sum("_n").alias("_n"))
+    balance = sides.groupBy("_h1", "_h2").agg(F.sum("_n").alias("_n"))
     return balance.agg(
         F.coalesce(F.sum(F.when(F.col("_n") > 0, F.col("_n"))), F.lit(0)).alias("only_left"),
         F.coalesce(F.sum(F.when(F.col("_n") < 0, -F.col("_n"))), F.lit(0)).alias("only_right"),

@@ -286,3 +286,14 @@ def test_builds_move_their_features_as_one_array(spark):
     for result in (diff, aligned):
         plan = result._jdf.queryExecution().executedPlan().toString()
         assert plan.count("array(") >= 2
+
+
+def test_multiset_diff_moves_digests_and_tells_nulls_and_places_apart(spark):
+    kinds = "a float, b float, label int"
+    left = spark.createDataFrame([(1.0, None, 0), (1.0, 2.0, 1), (1.0, 2.0, 1), (0.0, 1.0, 1)], kinds)
+    right = spark.createDataFrame([(None, 1.0, 0), (1.0, 2.0, 1), (2.0, 1.0, 1), (-0.0, 1.0, 1)], kinds)
+    diff = PR.multiset_diff(left, right)
+    assert tuple(diff.first()) == (2, 2)
+    assert tuple(PR.multiset_diff(left, left).first()) == (0, 0)
+    moved = diff._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [_h1" in moved
