@@ -98,3 +98,8 @@ def test_stream_verdicts_of_a_forest_equal_the_batch(spark, packets, traffic, tm
 def test_a_window_longer_than_the_timeout_is_refused(packets, traffic):
     with pytest.raises(ValueError):
         SV.window_verdicts(packets(traffic[:2]), scores, width_us=121_000_000)
+
+
+def test_verdicts_join_no_streams(spark, packets, traffic):
+    plan = SV.window_verdicts(packets(traffic), scores)._jdf.queryExecution().optimizedPlan()
+    assert "Join" not in plan.toString()
