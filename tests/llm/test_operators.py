@@ -16,7 +16,15 @@ from flowweir.llm.licences import scan_licences
 from flowweir.llm.mixing import mix, mix_sizes, mixed_documents
 from flowweir.llm.oracle import SQL as LLM_SQL
 from flowweir.llm.packing import WordIds, known_ids, pack, plan_by_counts
-from flowweir.llm.passages import _common_batches, _shared_batches, shared_passages
+from flowweir.llm.passages import (
+    _across,
+    _common_batches,
+    _inside,
+    _many_held,
+    _shared,
+    _shared_batches,
+    shared_passages,
+)
 from flowweir.llm.pii import find_personal_data
 from flowweir.llm.quality import clean_lines
 from flowweir.llm.queries import op7_personal_data
@@ -772,6 +780,96 @@ def test_passage_with_excerpts_before_both_holders(spark):
     assert once < len(expected)
 
 
+def linked(spark, parts_of, cases=6):
+    """Pairs of numbers within a case that are linked; a case has these texts in this order."""
+    rng = random.Random(15)
+    fresh = lambda n: [f"v{rng.randrange(10**7)}" for _ in range(n)]
+    rows, size = [], 1000
+    for n in range(cases):
+        for i, part in enumerate(parts_of(fresh(60))):
+            rows.append((n * size + i, " ".join(fresh(70) + part + fresh(70))))
+    ordered = table(spark, rows).coalesce(1)
+    pairs = [sorted((r.doc_id, r.other_id)) for r in shared_passages(ordered).collect()]
+    assert len(pairs) == len({tuple(p) for p in pairs})
+    assert all(a // size == b // size for a, b in pairs)
+    return [{(a % size, b % size) for a, b in pairs if a // size == n} for n in range(cases)]
+
+
+@pytest.mark.parametrize("times", [1, 12])
+def test_passage_behind_short_excerpts_before_both_holders(spark, times):
+    """Excerpts of 20 words, which come to nothing with either holder, by few and by many texts."""
+
+    def parts(passage):
+        excerpts = [passage[:20], passage[20:40], passage[40:]] * times
+        return [*excerpts, passage, *excerpts, passage]
+
+    assert linked(spark, parts) == [{(3 * times, 6 * times + 1)}] * 6
+
+
+@pytest.mark.parametrize("layers", [4, 14])
+def test_passage_behind_more_layers_of_excerpts_than_rounds(spark, layers):
+    def parts(passage):
+        excerpts = [passage[:45], passage[15:]] * layers
+        return [*excerpts, passage, *excerpts, passage]
+
+    assert linked(spark, parts) == [{(2 * layers, 4 * layers + 1)}] * 6
+
+
+def test_every_pair_of_few_texts_with_a_passage(spark):
+    got = linked(spark, lambda passage: [passage] * 7)
+    assert got == [{(a, b) for b in range(7) for a in range(b)}] * 6
+
+
+def test_many_texts_with_a_passage_are_joined(spark):
+    got = linked(spark, lambda passage: [passage] * 40, cases=2)
+    for pairs in got:
+        assert {b for _, b in pairs} == set(range(1, 40)) and len(pairs) < 3 * 40
+
+
+def test_copies_stand_for_one_text(spark):
+    passage = prose(31, 60)
+    one, other = prose(32, 70) + " " + passage, passage + " " + prose(33, 80)
+    rows = [(i, one.upper() if i % 2 else one) for i in range(30)] + [(i, other) for i in (30, 31)]
+    rows += [(32, "short text"), (33, "short text")]
+    got = shared_passages(table(spark, rows).coalesce(1)).collect()
+    whole = {(r.doc_id, r.other_id) for r in got if r.matches >= 120}
+    assert whole == {(i, 0) for i in range(1, 30)} | {(31, 30)}
+    assert {(r.doc_id, r.other_id) for r in got} - whole == {(30, 0)}
+
+
+def test_common_seed_over_blocks_and_batches(spark):
+    """Ties of seeds whose holders lie in several blocks, against a plain loop."""
+    rng = random.Random(16)
+    entries = sorted({(rng.randrange(9), rng.randrange(400), rng.randrange(3)) for _ in range(900)})
+    entries += [(20, i, 0) for i in range(8)] + [(21, 3, 0)]
+    holders, places = {}, {}
+    for s, r, a in entries:
+        holders.setdefault(s, [])
+        if r not in holders[s][-1:]:
+            holders[s].append(r)
+            places[s, r] = a
+    expected = set()
+    for s, r, a in entries:
+        before = [h for h in holders[s] if h < r]
+        for h in before if len(holders[s]) <= 10 else {*before[:1], *before[-1:]}:
+            expected.add((r, h, a, places[s, h]))
+    possible = {(r, h, a, places[s, h]) for s, r, a in entries for h in holders[s] if h < r}
+    kinds = "seed long, row long, at int"
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    for whole_blocks in ("true", "false"):
+        spark.conf.set(coalesce, whole_blocks)
+        try:
+            seeds = _shared(spark.createDataFrame(entries, kinds), 10)
+            across, firsts = _across(seeds, 10)
+            got = {tuple(r) for r in _inside(seeds).unionByName(across).collect()}
+            first = {r.seed: r.first for r in _many_held(seeds, firsts, 10).collect()}
+        finally:
+            spark.conf.set(coalesce, "true")
+        assert expected <= got <= possible
+        assert first.items() >= {(s, h[0]) for s, h in holders.items() if len(h) > 10}
+    assert seeds.select("block").distinct().count() > 1
+
+
 def test_screen_keeps_what_common_words_allow(spark):
     """The screen against a plain subsequence count, with ends of every length up to 64."""
     rng = random.Random(14)
