@@ -121,6 +121,28 @@ class WordIds(TextIds):
     def is_plain(word: str) -> bool:
         return word.isalpha() and word == word.lower() and is_normalized("NFC", word)
 
+    def learn_plain(self, new: set[bytes]) -> list[bytes]:
+        """Learns the words of ASCII letters, before known marks or none; returns the others.
+
+        Such letters stand for themselves in the byte-level alphabet.
+        """
+        from array import array
+
+        words, cores, merge = self.words, self.cores, self.tokenizer.model.tokenize
+        others = []
+        for word in new:
+            core = word.rstrip(TAIL)
+            if not core.isalpha() or (len(core) < len(word) and word[len(core) :] not in cores):
+                others.append(word)
+                continue
+            plain = core.lower()
+            ids = cores.get(plain)
+            if ids is None:
+                ids = array("I", [t.id for t in merge(plain.decode())]).tobytes()
+                cores[plain] = ids
+            words[word] = ids + cores[word[len(core) :]] if len(core) < len(word) else ids
+        return others
+
     def learn(self, texts: list[list[bytes]]) -> None:
         from array import array
 
@@ -130,7 +152,7 @@ class WordIds(TextIds):
             new = set().union(*texts)
         if len(self.cores) > CACHED_WORDS:
             self.cores.clear()
-        parts = {word: self.parts(word) for word in new}
+        parts = {word: self.parts(word) for word in self.learn_plain(new)}
         wanted = {p for pair in parts.values() for p in pair if p}.difference(self.cores)
         fresh = [w.decode() for w in wanted]
         plain = [w for w in fresh if self.is_plain(w)]

@@ -400,6 +400,16 @@ def test_ids_of_words_whose_last_character_changes():
         assert list(memoryview(ids).cast("I")) == found.ids, ascii(text)
 
 
+def test_plain_words_go_to_the_merges_directly():
+    known = WordIds(vocabulary("word_bpe_49k.json"))
+    known.ids([". , ! ;"])
+    words = "Plain plain, PLAIN. plain! a é, x1 don't <|im_end|> im_end| im| |im ,a plain;".split()
+    left = known.learn_plain({w.encode() for w in words})
+    assert {w.decode() for w in left} == set("é, x1 don't <|im_end|> im_end| im| |im ,a".split())
+    for word, ids in zip(words, known.ids(words)):
+        assert list(memoryview(ids).cast("I")) == known.tokenizer.encode(word, add_special_tokens=False).ids
+
+
 def test_packing_with_a_tokenizer_that_keeps_white_space(spark):
     from tokenizers import Tokenizer
 
