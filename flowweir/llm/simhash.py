@@ -85,6 +85,8 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
     balls enumerated here have radius 1, so ``max_bits`` may be 3 at most. A pair
     that both segments find comes twice. A fingerprint has at most 43,744 others
     within 3 bits, so the links stay proportional to the distinct fingerprints.
+    Both sides are sorted and merged: Spark sizes the balls as if they had one row a fingerprint,
+    and would send all 33 to every executor.
     """
     if max_bits > 2 * SEGMENTS - 1:
         raise ValueError("balls of radius 1 in two segments find at most 3 differing bits")
@@ -108,7 +110,7 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
     left = probes[0].unionByName(probes[1]).alias("p")
     right = table[0].unionByName(table[1]).alias("t")
     same = (F.col("p.segment") == F.col("t.segment")) & (F.col("p.value") == F.col("t.value"))
-    return left.join(right, same & near & ~own).select("a", "b")
+    return left.hint("merge").join(right, same & near & ~own).select("a", "b")
 
 
 def _segment_equal(a: Column, b: Column, segment: Column) -> Column:

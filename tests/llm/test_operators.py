@@ -192,6 +192,15 @@ def test_simhash_links_every_distance_to_three(spark):
     assert got == expected
 
 
+def test_simhash_sends_no_balls_to_every_executor(spark):
+    """Spark sizes exploded balls as one row a fingerprint, far below what would be sent."""
+    from flowweir.llm.simhash import fingerprint_links
+
+    links = fingerprint_links(spark.range(50).withColumnRenamed("id", "fingerprint"))
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_simhash_repeated_and_null_ids(spark, edges):
     got = simhash_groups(edges).collect()
     assert len(got) == len(EDGES + NULL_ID)
