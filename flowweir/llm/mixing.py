@@ -244,9 +244,10 @@ def mix(
 def taken_parts(parts: DataFrame, slots: DataFrame) -> DataFrame:
     """Parts whose block the mix uses, with ``times``."""
     times = slots.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
-    # Written, so that the join is planned by its true size: it grows with the corpus.
+    # Written once. Both sides grow with the corpus, but Spark sizes files by what they have on disk,
+    # where numbers take little, and the parts as if each document had one: no size is to be trusted.
     times = shared_table(times, "mix-times")
-    return parts.join(times, ["source_no", "block"])
+    return parts.hint("merge").join(times, ["source_no", "block"])
 
 
 def mix_sizes(docs: DataFrame, **options) -> DataFrame:
@@ -296,7 +297,8 @@ def mixed_documents(
     planned = shared_table(planned.select(F.col("original").alias("row"), "size", "used"), "mix-used")
     rounds = F.explode(F.sequence(F.lit(1), F.lit(cap))).alias("turn")
     here = F.filter("used", lambda u: u.times >= F.col("turn"))
-    repeated = rows.join(planned, "row").select("doc", "size", "used", rounds)
+    # The arrays are small on disk only: by their files Spark would send them all to every executor.
+    repeated = rows.hint("merge").join(planned, "row").select("doc", "size", "used", rounds)
     chosen = repeated.select("doc", "size", here.alias("chosen")).filter(F.size("chosen") > 0)
     tokens = F.regexp_extract_all(full_text(f"doc.`{text_col}`"), F.lit(WORD), F.lit(0))
     some = F.array_join(

@@ -13,7 +13,7 @@ from flowweir.llm.chat import format_conversations
 from flowweir.llm.exact_dedup import exact_dedup
 from flowweir.llm.language import identify, train
 from flowweir.llm.licences import scan_licences
-from flowweir.llm.mixing import mix, mix_sizes, mixed_documents
+from flowweir.llm.mixing import mix, mix_sizes, mixed_documents, taken_parts
 from flowweir.llm.oracle import SQL as LLM_SQL
 from flowweir.llm.packing import WordIds, known_ids, pack, plan_by_counts
 from flowweir.llm.passages import (
@@ -368,6 +368,15 @@ def test_mixed_documents_hold_the_words_taken(spark):
     assert got == {i: n for i, n in expected.items() if n}
 
 
+def test_mix_sends_no_parts_to_every_executor(spark):
+    """Parts, block counts and arrays of parts grow with the corpus, but their files are small."""
+    docs = table(spark, mix_rows())
+    placed, parts, slots = mix(docs)
+    for result in (taken_parts(parts, slots), mixed_documents(docs)):
+        plan = result._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 # ---- packing -------------------------------------------------------------
 
 
