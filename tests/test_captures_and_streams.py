@@ -170,3 +170,30 @@ def test_forest_keeps_the_node_of_each_row_between_levels(spark):
     )
     model = SC.train_forest(df, numTrees=2, maxDepth=3)
     assert model.stages[-1].getCacheNodeIds()
+
+
+def test_forest_in_parts_votes_as_one(spark, monkeypatch):
+    """Parts have the trees of the whole forest, no more nodes than wanted, and add up their votes."""
+    df = spark.range(300).select(
+        "id",
+        *[((F.col("id") * (i + 3)) % 17).cast("double").alias(f) for i, f in enumerate(FEATURES)],
+        (F.col("id") % 5 % 2).cast("int").alias("label"),
+    )
+    params = {"numTrees": 14, "maxDepth": 4}
+    (first, *_) = parts = list(SC.forest_parts(df, **params))
+    assert [m.stages[-1].getNumTrees for m in parts] == [10, 4]
+    monkeypatch.setattr(SC, "PART_NODES", first.stages[-1].totalNumNodes // 4)
+    parts = list(SC.forest_parts(df, **params))
+    trees = [m.stages[-1].getNumTrees for m in parts]
+    assert sum(trees) == 14 and trees[0] == 10 and len(trees) > 2
+    votes = {}
+    for model in parts:
+        for r in model.transform(df).select("id", "rawPrediction").collect():
+            own = votes.setdefault(r.id, [0.0, 0.0])
+            votes[r.id] = [a + b for a, b in zip(own, r.rawPrediction)]
+    scored = SC.predict_parts(iter(parts), df)
+    assert scored.columns == [*df.columns, "prediction"]
+    got = {r.id: r.prediction for r in scored.collect()}
+    assert got == {i: int(b > a) for i, (a, b) in votes.items()} and set(got.values()) == {0, 1}
+    benign = SC.predict_parts(SC.forest_parts(df.withColumn("label", F.lit(0)), numTrees=2), df)
+    assert {r.prediction for r in benign.collect()} == {0}
