@@ -834,6 +834,16 @@ def test_passage_behind_short_excerpts_before_both_holders(spark, times):
     assert linked(spark, parts) == [{(3 * times, 6 * times + 1)}] * 6
 
 
+def test_passage_behind_overlapping_short_excerpts(spark):
+    """No seed and no pair of neighbouring seeds is rare, and no excerpt has enough in common."""
+
+    def parts(passage):
+        excerpts = [passage[:30], passage[15:45], passage[30:]] * 12
+        return [*excerpts, passage, *excerpts, passage]
+
+    assert linked(spark, parts) == [{(36, 73)}] * 6
+
+
 @pytest.mark.parametrize("layers", [4, 14])
 def test_passage_behind_more_layers_of_excerpts_than_rounds(spark, layers):
     def parts(passage):
